@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions.structure import markup_structure
-from glossmill.sources.readers import read_table
+from glossmill.sources.readers import read_table, spread
 
 LANGS = ("en", "de", "fr", "es")
 
@@ -22,6 +22,11 @@ def _s(col: Column) -> Column:
     return col.cast("string")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over all cores for per-text work."""
+    return spread(read_table(spark, sf_dir, "documents"))
+
+
 def watch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity log: clicks play the part of stars on 60 repositories."""
     ev = read_table(spark, sf_dir, "events")
@@ -86,7 +91,7 @@ def _code(name: Column, a: Column, b: Column, body: Column) -> Column:
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commented function per document; the comment holds the whole text."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     text, a, b, name = F.col("text"), F.col("a"), F.col("b"), F.col("name")
     doc = _s(F.col("doc_id"))
     fence = F.when(
@@ -124,7 +129,7 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def function_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several functions per content id: one per line of every document."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     path = F.concat("source", F.lit("/"), "lang", F.lit("/"), _s(F.col("doc_id")), F.lit(".ts"))
     lines = docs.select(
         "doc_id",
@@ -164,7 +169,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     string that looks like a function) and exported function. Bodies carry
     brackets inside strings, templates, patterns and comments.
     """
-    docs = read_table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
 
     def snippet(s: Column, i: Column) -> Column:
         n = _s(i)
@@ -277,7 +282,7 @@ def length_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     pages = read_table(spark, sf_dir, "pages")
     n_pages = pages.agg(F.count(F.lit(1))).scalar()
-    ast = pages.select("page_id", markup_structure(F.col("html")).alias("ast"))
+    ast = spread(pages).select("page_id", markup_structure(F.col("html")).alias("ast"))
     return (
         docs.withColumn("page_id", F.col("doc_id") % n_pages)
         .join(ast, "page_id")

@@ -37,6 +37,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core work when a scan has fewer splits than the session has cores.
+
+    Meant for plain scans in front of per-row heavy work (small or unsplittable
+    files). A scan with enough splits is returned as it is, so large inputs are
+    never shuffled for it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_shards(spark: SparkSession, pattern: str, schema: T.StructType | None = None) -> DataFrame:
     """All shards whose path matches a glob, as one relation."""
     reader = spark.read if schema is None else spark.read.schema(schema)
