@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -87,3 +87,8 @@ def leading_digits(n: Column) -> Column:
     digits = F.length(n.cast("string"))
     unit = F.pow(F.lit(10), F.greatest(digits - keep, F.lit(0))).cast("long")
     return n - n % unit
+
+
+def one_hot_cells(rows: DataFrame, key: str, ids: Column) -> DataFrame:
+    """``key, slot, token_id``: the non-zero cells of the indicator tensor."""
+    return rows.select(key, F.posexplode(ids).alias("slot", "token_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,3 +140,18 @@ def running_average(
         )
         .drop("_chunk", "_sum0", "_n0")
     )
+
+
+def random_pick(rows: DataFrame, key: str, seed: int, n: int = 1) -> DataFrame:
+    """``n`` pseudo-random rows, the same ones for the same seed and data."""
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return rows.orderBy(mixed, key).limit(n)
+
+
+def run_stages(
+    rows: DataFrame, column: str, stages: list[tuple[str, Callable[[Column], Column]]]
+) -> DataFrame:
+    """Apply named column stages in order; they collapse into one projection."""
+    for _, stage in stages:
+        rows = rows.transform(lambda df, stage=stage: df.withColumn(column, stage(F.col(column))))
+    return rows

@@ -209,7 +209,7 @@ def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     "f9_membership",
     with_inputs(
         "functions",
-        """SELECT tag, tag IN ('param', 'return', 'returns') AS kept, count(*) AS n FROM (
+        """SELECT tag, (tag IN ('param', 'return', 'returns'))::BIGINT AS kept, count(*) AS n FROM (
   SELECT unnest(regexp_extract_all(comments, '@([a-z]+)', 1)) AS tag FROM functions) GROUP BY 1, 2""",
     ),
 )
@@ -218,7 +218,7 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         inputs.functions(spark, sf_dir)
         .select(F.explode(tags).alias("tag"))
-        .groupBy("tag", C.is_kept_tag(F.col("tag")).alias("kept"))
+        .groupBy("tag", C.is_kept_tag(F.col("tag")).cast("long").alias("kept"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

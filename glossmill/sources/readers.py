@@ -75,3 +75,37 @@ def read_functions_jsonl(spark: SparkSession, path: str, partitions: int | None
 def read_entries_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Processed dataset entries from JSON lines."""
     return spark.read.schema(ENTRY_SCHEMA).json(path)
+
+
+#: Clean dataset: structure, normalised comment, original comment.
+CLEAN_SCHEMA = "ast string, comments string, comments_orig string"
+
+#: The one-row dataset profile.
+METADATA_SCHEMA = (
+    "skipped long, avg_comment_len double, max_comment_len long, avg_ast_len double, "
+    "max_ast_len long, observations long, entries long"
+)
+
+
+def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The clean dataset; texts may span lines."""
+    return (
+        spark.read.schema(CLEAN_SCHEMA)
+        .option("header", True)
+        .option("multiLine", True)
+        .option("escape", '"')
+        .option("lineSep", "\n")
+        .csv(path)
+    )
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A stored dataset profile."""
+    return spark.read.schema(METADATA_SCHEMA).json(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A stored vocabulary ``(token, id)`` and its parameters ``(name, value)``."""
+    tokens = spark.read.schema("token string, id int").json(f"{path}/tokens")
+    params = spark.read.schema("name string, value long").json(f"{path}/params")
+    return tokens, params
