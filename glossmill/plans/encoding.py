@@ -196,11 +196,11 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q6_map_tokens",
     """SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda t:
-  CASE WHEN length(t) > 3 THEN upper(t) ELSE t END), ' ') AS out FROM documents""",
+  CASE WHEN length(t) > 3 THEN reverse(t) ELSE t END), ' ') AS out FROM documents""",
 )
 def map_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = F.transform(
-        F.split("text", " "), lambda t: F.when(F.length(t) > 3, F.upper(t)).otherwise(t)
+        F.split("text", " "), lambda t: F.when(F.length(t) > 3, F.reverse(t)).otherwise(t)
     )
     return inputs.texts(spark, sf_dir).select("doc_id", F.array_join(mapped, " ").alias("out"))
 
@@ -261,14 +261,14 @@ def subword_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "v4_encode",
     f"""{_SUBWORDS.replace('WITH ', 'WITH RECURSIVE ', 1)},
 steps AS (
-  SELECT word, 1 AS at, 0 AS step, NULL::BIGINT AS id FROM words
+  SELECT word, 1 AS p0, 0 AS step, NULL::BIGINT AS id FROM words
   UNION ALL
-  SELECT word, at + width, step + 1, new_id FROM (
-    SELECT s.word, s.at, s.step, length(p.piece) AS width, p.id AS new_id
-    FROM (SELECT word, at, step, unnest(range(1, least({subwords.MAX_PIECE}, length(word) - at + 1) + 1)) AS l
-          FROM steps WHERE at <= length(word)) s
-    JOIN subwords p ON p.piece = substr(s.word, s.at, s.l)
-    QUALIFY row_number() OVER (PARTITION BY s.word, s.at ORDER BY s.l DESC) = 1)),
+  SELECT word, p0 + width, step + 1, new_id FROM (
+    SELECT s.word, s.p0, s.step, length(p.piece) AS width, p.id AS new_id
+    FROM (SELECT word, p0, step, unnest(range(1, least({subwords.MAX_PIECE}, length(word) - p0 + 1) + 1)) AS l
+          FROM steps WHERE p0 <= length(word)) s
+    JOIN subwords p ON p.piece = substr(s.word, s.p0, s.l)
+    QUALIFY row_number() OVER (PARTITION BY s.word, s.p0 ORDER BY s.l DESC) = 1)),
 encoded_words AS (SELECT word, list(id ORDER BY step) AS ids FROM steps WHERE step > 0 GROUP BY 1),
 doc_runs AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (
   SELECT doc_id, regexp_extract_all(text,
