@@ -1,8 +1,9 @@
 """Locate functions and methods in one source text.
 
-The only per-row Python of the package, called from Arrow batches. It knows tokens
-and matching brackets, not grammar: that is enough to find declarations with a
-body. Text it cannot balance yields nothing.
+The only parser-like Python of the package, called on Arrow batches. Strings,
+comments, templates and patterns are blanked first; declarations are then found with
+searches over the blanked text and a table of matching brackets. It knows no
+grammar beyond that. Text whose brackets do not match yields nothing.
 """
 
 from __future__ import annotations
@@ -10,210 +11,220 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-_TOKEN = re.compile(
-    r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)
-      |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
-      |(?P<word>[#@]?[^\W\d][\w$]*|[#@]?\$[\w$]*)
-      |(?P<number>\d[\w.]*)
-      |(?P<mark>=>|\.\.\.|[^\s"'])""",
-    re.X | re.S,
+# Words after which a value starts: "/" opens a pattern there, "function" an expression.
+_BEFORE_VALUE = (
+    "return|typeof|case|in|of|delete|void|throw|new|do|instanceof|yield|await|extends|default"
 )
-_PATTERN = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
-_TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+_OPAQUE = re.compile(
+    r"//[^\n]*|/\*.*?\*/"
+    r'|"[^"\\\n]*(?:\\.[^"\\\n]*)*"'
+    r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
+    r"|`"
+    rf"|(?:[=(,:;!&|?{{\[+\-*%~^<>]|\b(?:{_BEFORE_VALUE})\b)\s*"
+    r"(?P<pattern>/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*)",
+    re.S,
+)
+_IN_TEMPLATE = re.compile(rf"{_OPAQUE.pattern}|[{{}}]", re.S)
+_TEMPLATE_TEXT = re.compile(r"[^`\\$]*(?:(?:\\.|\$(?!\{))[^`\\$]*)*", re.S)
+_NOT_BREAK = re.compile(r"[^\n]")
+_BRACKET = re.compile(r"[()\[\]{}]")
+_PAIRS = {")": "(", "]": "[", "}": "{"}
 
-_OPEN = {"(": ")", "[": "]", "{": "}"}
-# Words after which a value starts, so that "/" opens a pattern and "function" an expression.
-_BEFORE_VALUE = frozenset(
-    "return typeof case in of delete void throw new else do instanceof yield await extends".split()
+# Possessive quantifiers: blanked comments are long runs of blanks.
+_FUNCTION = re.compile(
+    r"(?P<first>(?:\b(?:export|default|async|declare)\s++)*+)(?<![.\w$])function\b\s*+\*?\s*+"
+    r"(?P<name>[\w$]*+)\s*+(?=[<(])"
+)
+_METHOD = re.compile(
+    r"(?<=[{};,\n])[^\S\n]*+(?P<first>(?:(?:public|private|protected|static|async|abstract|readonly"
+    r"|override|declare)\s++(?=[\w$#\"*]))*+)\*?[^\S\n]*+(?P<name>#?[\w$]++|\"++)\s*+[?!]?\s*+(?=[<(])"
 )
 _NO_METHOD = frozenset(
     "if for while switch catch with function return typeof new await super constructor "
     "do else throw delete void in of instanceof yield case import".split()
 )
-_FUNCTION_MODIFIERS = frozenset("export default async declare".split())
-_METHOD_MODIFIERS = frozenset(
-    "public private protected static async abstract readonly override declare".split()
-)
+_TYPE_TOKEN = re.compile(r"=>|[{}()\[\];,=<>|&:]|[\w$.]+")
+_EXPECTS_TYPE = frozenset(("|", "&", "<", "=>", "is", "keyof", "typeof", ":"))
+_ANGLE = re.compile(r"=>|[<>({\[]")
+_PARAMETER_MARK = re.compile(r"=>|[<>,({\[]")
 _PARAMETER = re.compile(
-    r"\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|readonly|override)\s+(?=[\w$\[{]))*(?:\.\.\.)?\s*"
+    r"\s*(?:@\w+\s*)?(?:(?:public|private|protected|readonly|override)\s+(?=[\w$\[{]))*(?:\.\.\.)?\s*(?P<name>[\w$]+|[\[{])?"
 )
+_DECORATOR = re.compile(r"@[\w$.]+\s*$")
+_VALUE_EXPECTED = re.compile(rf"(?:[=(,:?&|!+\-*/%<>\[~^.]|\b(?:{_BEFORE_VALUE}))$")
+_LINE_BREAK = re.compile(r"\r\n|[\n\r\u2028\u2029]")
 
 
 class Unbalanced(ValueError):
-    """Brackets, strings or comments do not close."""
+    """Brackets or templates do not close."""
 
 
 def _template_end(src: str, pos: int) -> int:
-    """Offset after a template literal that opens at ``pos``; nested code is skipped."""
+    """Offset behind the template literal that opens at ``pos``."""
     pos = _TEMPLATE_TEXT.match(src, pos + 1).end()
-    while pos < len(src) and src[pos] != "`":
-        _, pos = _tokens(src, pos + 2, until="}")
+    while src.startswith("${", pos):
+        depth, pos = 1, pos + 2
+        while depth:
+            m = _IN_TEMPLATE.search(src, pos)
+            if m is None:
+                raise Unbalanced("template")
+            pos = _template_end(src, m.start()) if m.group() == "`" else m.end()
+            depth += {"{": 1, "}": -1}.get(m.group(), 0)
         pos = _TEMPLATE_TEXT.match(src, pos).end()
-    if pos >= len(src):
+    if not src.startswith("`", pos):
         raise Unbalanced("template")
     return pos + 1
 
 
-def _tokens(src: str, pos: int = 0, until: str | None = None):
-    """Tokens ``[text, start, end, partner]`` and the offset behind the last one.
-
-    ``partner`` is the index of the matching bracket. With ``until`` scanning stops
-    behind that closing bracket, for code inside templates.
-    """
-    out: list[list] = []
-    open_at: list[int] = []
-    while pos < len(src):
-        ch = src[pos]
-        if ch == "`":
-            end = _template_end(src, pos)
-        elif ch == "/" and src[pos + 1 : pos + 2] not in ("/", "*") and _value_follows(out):
-            m = _PATTERN.match(src, pos)
-            end = m.end() if m else pos + 1
+def _blanked(src: str) -> str:
+    """``src`` with comments as blanks and other opaque text as quotes, same offsets."""
+    out, pos = [], 0
+    while (m := _OPAQUE.search(src, pos)) is not None:
+        start = m.start("pattern") if m.group("pattern") else m.start()
+        end = _template_end(src, start) if m.group() == "`" else m.end()
+        out.append(src[pos:start])
+        if src.startswith(("//", "/*"), start):
+            comment = src[start:end]
+            out.append(_NOT_BREAK.sub(" ", comment) if "\n" in comment else " " * len(comment))
         else:
-            m = _TOKEN.match(src, pos)
-            if m is None or (ch == "/" and m.group("mark") and src.startswith("/*", pos)):
-                raise Unbalanced(ch)
-            end = m.end()
-            if m.lastgroup == "skip":
-                pos = end
-                continue
-        text = src[pos:end]
-        if until == text and not open_at:
-            return out, end
-        partner = -1
-        if text in _OPEN:
-            open_at.append(len(out))
-        elif text in (")", "]", "}"):
-            if not open_at or _OPEN[out[open_at[-1]][0]] != text:
-                raise Unbalanced(text)
-            partner = open_at.pop()
-            out[partner][3] = len(out)
-        out.append([text, pos, end, partner])
+            out.append('"' * (end - start))
         pos = end
-    if open_at or until:
-        raise Unbalanced("end of text")
-    return out, pos
+    out.append(src[pos:])
+    return "".join(out)
 
 
-def _value_follows(tokens: list[list]) -> bool:
-    """True where an expression starts, judged by the token before."""
-    if not tokens:
-        return True
-    last = tokens[-1][0]
-    if last[-1].isalnum() or last[-1] in "_$":
-        return last in _BEFORE_VALUE
-    return last[0] not in "\"'`)]}"
+def _partners(text: str) -> dict[int, int]:
+    """Offset of the matching bracket for every bracket."""
+    partner: dict[int, int] = {}
+    opened: list[tuple[int, str]] = []
+    for m in _BRACKET.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark in "([{":
+            opened.append((at, mark))
+            continue
+        if not opened or opened[-1][1] != _PAIRS[mark]:
+            raise Unbalanced(mark)
+        other = opened.pop()[0]
+        partner[other], partner[at] = at, other
+    if opened:
+        raise Unbalanced("end of text")
+    return partner
 
 
-def _body_after(tokens: list[list], i: int) -> int:
-    """Index of the ``{`` that opens the body after a parameter list, or -1.
+def _skip_blanks(text: str, pos: int) -> int:
+    while pos < len(text) and text[pos].isspace():
+        pos += 1
+    return pos
 
-    A result type may stand between; braces inside it are skipped.
-    """
-    if i < len(tokens) and tokens[i][0] == ":":
-        i += 1
-        expects_type = True
-        while i < len(tokens):
-            text = tokens[i][0]
-            if text == "{" and not expects_type:
-                return i
-            if text in (";", "}", ")", "=", ","):
-                return -1
-            i = tokens[i][3] + 1 if text in _OPEN else i + 1
-            expects_type = text in ("|", "&", "<", "=>", "is", "keyof", "typeof", ":")
-        return -1
-    return i if i < len(tokens) and tokens[i][0] == "{" else -1
+
+def _end_before(text: str, pos: int) -> int:
+    """Offset behind the last visible character before ``pos``."""
+    size = 256
+    while True:
+        low = max(0, pos - size)
+        seen = len(text[low:pos].rstrip())
+        if seen or low == 0:
+            return low + seen
+        size *= 4
 
 
-def _skip_generics(tokens: list[list], i: int) -> int:
-    """Index behind ``<...>`` starting at ``i``, or ``i`` itself."""
-    if i >= len(tokens) or tokens[i][0] != "<":
-        return i
+def _behind_generics(text: str, pos: int, partner: dict[int, int]) -> int:
+    """Offset behind ``<...>`` at ``pos`` and the blanks after it."""
+    if not text.startswith("<", pos):
+        return pos
     depth = 0
-    while i < len(tokens):
-        depth += {"<": 1, ">": -1}.get(tokens[i][0], 0)
+    while (m := _ANGLE.search(text, pos)) is not None:
+        pos = partner[m.start()] + 1 if m.group() in "({[" else m.end()
+        depth += {"<": 1, ">": -1}.get(m.group(), 0)
         if depth == 0:
-            return i + 1
-        i = tokens[i][3] + 1 if tokens[i][0] in _OPEN else i + 1
-    return i
+            break
+    return _skip_blanks(text, pos)
+
 
+def _body(text: str, pos: int, partner: dict[int, int]) -> int:
+    """Offset of the brace that opens the body behind a parameter list, or -1.
 
-def _parameters(src: str, tokens: list[list], opening: int) -> list[str]:
+    A result type may stand between; braces that belong to it are skipped.
+    """
+    pos = _skip_blanks(text, pos)
+    if text.startswith("{", pos):
+        return pos
+    if not text.startswith(":", pos):
+        return -1
+    expects_type, pos = True, pos + 1
+    while (m := _TYPE_TOKEN.search(text, pos)) is not None:
+        token = m.group()
+        if token == "{" and not expects_type:
+            return m.start()
+        if token in (";", "}", ")", "]", "=", ","):
+            return -1
+        pos = partner[m.start()] + 1 if token in ("{", "(", "[") else m.end()
+        expects_type = token in _EXPECTS_TYPE
+    return -1
+
+
+def _parameters(src: str, text: str, opening: int, partner: dict[int, int]) -> list[str]:
     """Names of the parameters; a destructured one is its source text."""
-    closing = tokens[opening][3]
-    names, start, i, depth = [], opening + 1, opening + 1, 0
-    while i <= closing:
-        text = tokens[i][0]
-        depth += {"<": 1, ">": -1}.get(text, 0)
-        if i == closing or (text == "," and depth <= 0):
-            if i > start:
-                names.append(_parameter_name(src, tokens, start, i))
-            start = i + 1
-        i = tokens[i][3] + 1 if text in _OPEN else i + 1
-    return names
-
-
-def _parameter_name(src: str, tokens: list[list], start: int, stop: int) -> str:
-    begin = _PARAMETER.match(src, tokens[start][1]).end()
-    for t in tokens[start:stop]:
-        if t[1] >= begin:
-            return src[t[1] : tokens[t[3]][2]] if t[0] in "[{" else t[0]
-    return tokens[start][0]
-
-
-def _with_modifiers(tokens: list[list], i: int, allowed: frozenset[str]) -> int:
-    """Index of the first modifier or decorator in front of token ``i``."""
-    while i > 0:
-        before = tokens[i - 1]
-        if before[0] in allowed:
-            i -= 1
-        elif before[0].startswith("@") and len(before[0]) > 1:
-            i -= 1
-        elif before[0] == ")" and before[3] > 0 and tokens[before[3] - 1][0].startswith("@"):
-            i = before[3] - 1
-        else:
-            return i
-    return i
+    closing, names, depth = partner[opening], [], 0
+    start = pos = opening + 1
+    while True:
+        m = _PARAMETER_MARK.search(text, pos, closing)
+        at = m.start() if m else closing
+        if m is None or (m.group() == "," and depth <= 0):
+            if text[start:at].strip():
+                names.append(_parameter(src, text, start, partner))
+            start = at + 1
+        if m is None:
+            return names
+        pos = partner[at] + 1 if m.group() in "({[" else m.end()
+        depth += {"<": 1, ">": -1}.get(m.group(), 0)
+
+
+def _parameter(src: str, text: str, start: int, partner: dict[int, int]) -> str:
+    m = _PARAMETER.match(text, start)
+    if m.group("name") is None:
+        behind = text.find("(", m.end())
+        if behind == m.end() and behind in partner:  # the decorator has arguments
+            return _parameter(src, text, partner[behind] + 1, partner)
+        return src[start : m.end()].strip()
+    at = m.start("name")
+    return src[at : partner[at] + 1] if m.group("name") in "[{" else m.group("name")
 
 
-def _starts_declaration(src: str, tokens: list[list], i: int) -> bool:
-    """True if a function declaration may start at token ``i``."""
-    if i == 0 or tokens[i - 1][0] in (";", "{", "}"):
+def _with_decorators(text: str, first: int, partner: dict[int, int]) -> int:
+    """Offset of the first decorator in front of ``first``."""
+    while True:
+        end = _end_before(text, first)
+        if end and text[end - 1] == ")":
+            end = partner[end - 1]
+        m = _DECORATOR.search(text, max(0, end - 200), end)
+        if m is None:
+            return first
+        first = m.start()
+
+
+def _declares(text: str, first: int) -> bool:
+    """True if a function declaration, not an expression, may start at ``first``."""
+    end = _end_before(text, first)
+    if end == 0 or text[end - 1] in ";{})":
         return True
-    last = tokens[i - 1]
-    new_line = "\n" in src[last[2] : tokens[i][1]]
-    return last[0] in (")", "else") or (new_line and not _value_follows(tokens[:i][-1:]))
-
-
-def _candidates(src: str, tokens: list[list]):
-    """``(kind, first, name index or -1, parameter list index)`` in text order."""
-    for i, (text, _, _, _) in enumerate(tokens):
-        if text == "function":
-            first = _with_modifiers(tokens, i, _FUNCTION_MODIFIERS)
-            j = i + 1
-            if j < len(tokens) and tokens[j][0] == "*":
-                j += 1
-            named = j < len(tokens) and tokens[j][0] != "(" and tokens[j][0] != "<"
-            opening = _skip_generics(tokens, j + 1 if named else j)
-            anonymous_ok = named or any(t[0] == "default" for t in tokens[first:i])
-            if anonymous_ok and _starts_declaration(src, tokens, first):
-                yield "function", first, j if named else -1, opening
-        elif text not in _NO_METHOD and (text[0].isalpha() or text[0] in "_$#\"'"):
-            before = tokens[i - 1][0] if i else ""
-            star = before == "*"
-            if star:
-                before = tokens[i - 2][0] if i > 1 else ""
-            if before in ("function", "get", "set", "new", "."):
-                continue
-            first = _with_modifiers(tokens, i - 1 if star else i, _METHOD_MODIFIERS)
-            lead = tokens[first - 1] if first else None
-            separated = lead is not None and (
-                lead[0] in ("{", "}", ";", ",") or "\n" in src[lead[2] : tokens[first][1]]
-            )
-            optional = i + 1 < len(tokens) and tokens[i + 1][0] in ("?", "!")
-            opening = _skip_generics(tokens, i + 2 if optional else i + 1)
-            if separated:
-                yield "method", first, i, opening
+    before = text[max(0, end - 12) : end]
+    if before.endswith("else") or ("\n" in text[end:first]):
+        return _VALUE_EXPECTED.search(before) is None
+    return False
+
+
+def _candidates(text: str, partner: dict[int, int]):
+    """``(first, kind, name start, name end, parameter list)`` of possible declarations."""
+    for m in _FUNCTION.finditer(text):
+        opening = _behind_generics(text, m.end(), partner)
+        named = m.group("name") or "default" in m.group("first")
+        if named and _declares(text, m.start("first")):
+            yield m.start("first"), "function", *m.span("name"), opening
+    for m in _METHOD.finditer(text):
+        if m.group("name") not in _NO_METHOD:
+            opening = _behind_generics(text, m.end(), partner)
+            yield m.start("first"), "method", *m.span("name"), opening
 
 
 def find_functions(src: str | None) -> list[dict]:
@@ -221,31 +232,38 @@ def find_functions(src: str | None) -> list[dict]:
     if not src:
         return []
     try:
-        tokens, _ = _tokens(src)
+        text = _blanked(src)
+        partner = _partners(text)
     except (Unbalanced, RecursionError):
         return []
-    line_starts = [0] + [m.end() for m in re.finditer(r"\r\n|[\n\r\u2028\u2029]", src)]
     found = []
-    for kind, first, name, opening in _candidates(src, tokens):
-        if opening >= len(tokens) or tokens[opening][0] != "(":
-            continue
-        body = _body_after(tokens, tokens[opening][3] + 1)
-        if body < 0:
+    for first, kind, name_start, name_end, opening in _candidates(text, partner):
+        if not text.startswith("(", opening):
             continue
-        start, end = tokens[first][1], tokens[tokens[body][3]][2]
+        body = _body(text, partner[opening] + 1, partner)
+        if body >= 0:
+            found.append((first, kind, src[name_start:name_end], opening, body))
+    if not found:
+        return []
+    line_starts = [0] + [m.end() for m in _LINE_BREAK.finditer(src)]
+    rows = []
+    for first, kind, name, opening, body in sorted(found):
+        # generators and modifiers may leave blanks in front of the declaration
+        start = _with_decorators(text, _skip_blanks(text, first), partner)
+        end = partner[body] + 1
         line = bisect_right(line_starts, start) - 1
-        found.append(
+        rows.append(
             {
                 "line": line,
                 "character": len(src[line_starts[line] : start].encode("utf-16-le")) // 2,
-                "comments": src[tokens[first - 1][2] if first else 0 : start].strip(),
+                "comments": src[_end_before(text, start) : start].strip(),
                 "text": src[start:end],
                 "kind": kind,
-                "name": tokens[name][0] if name >= 0 else "",
-                "params": _parameters(src, tokens, opening),
-                "body": src[tokens[body][1] : end],
+                "name": name,
+                "params": _parameters(src, text, opening, partner),
+                "body": src[body:end],
                 "start_off": start,
                 "end_off": end,
             }
         )
-    return found
+    return rows

@@ -66,14 +66,15 @@ PUNCTUATION_CLASSES = {
     "~": "TildeToken",
     "@": "AtToken",
 }
-#: Comments, strings, templates without nested code, numbers, words, punctuation.
+#: Numbers, words, common marks, comments, strings, templates without nested code,
+#: other marks. The frequent alternatives come first.
 CODE_TOKEN = (
-    r"(/\*(?s:.*?)\*/|//[^\n]*"
+    r"([0-9][\w.]*|[\w$]+|[(){};,]"
+    r"|/\*(?s:.*?)\*/|//[^\n]*"
     r'|"[^"\\\n]*(?:\\.[^"\\\n]*)*"'
     r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
     r"|`[^`\\]*(?:\\.[^`\\]*)*`"
-    r"|[0-9][0-9A-Za-z_.]*|[A-Za-z_$][A-Za-z0-9_$]*"
-    r"|\.\.\.|===|!==|=>|==|!=|<=|>=|\+\+|--|\+=|-=|\*\*|&&|\|\||[^\sA-Za-z0-9_$])"
+    r"|\.\.\.|===|!==|=>|==|!=|<=|>=|\+\+|--|\+=|-=|\*\*|&&|\|\||[^\s\w$])"
 )
 
 
@@ -105,17 +106,26 @@ def markup_structure(html: Column) -> Column:
 
 
 def token_class(token: Column) -> Column:
-    """Class of one code token; names keep their text, braces open and close a block."""
-    classes = {k: KEYWORD_CLASSES.get(k, k.capitalize() + "Keyword") for k in KEYWORDS}
-    word = _switch(token, classes, F.concat(F.lit("Identifier ["), token, F.lit("]")))
+    """Class of one code token; names keep their text, braces open and close a block.
+
+    The kind follows from the code of the first character and keywords from a hash
+    set, as this runs for every token of a corpus.
+    """
+    first = F.ascii(token)
+    keyword = _switch(
+        token, KEYWORD_CLASSES, F.concat(F.initcap(token), F.lit("Keyword"))
+    )
+    word = F.when(token.isin(*KEYWORDS), keyword).otherwise(
+        F.concat(F.lit("Identifier ["), token, F.lit("]"))
+    )
     punctuation = _switch(token, PUNCTUATION_CLASSES, F.lit("UnknownToken"))
     return (
         F.when(token == "{", "Block ( OpenBraceToken SyntaxList (")
         .when(token == "}", ") CloseBraceToken )")
-        .when(token.rlike(r"^[A-Za-z_$]"), word)
-        .when(token.rlike("^[0-9]"), "NumericLiteral")
-        .when(token.rlike("^[\"']"), "StringLiteral")
-        .when(token.startswith("`"), "TemplateLiteral")
+        .when(first.between(97, 122) | first.between(65, 90) | first.isin(36, 95), word)
+        .when(first.between(48, 57), "NumericLiteral")
+        .when(first.isin(34, 39), "StringLiteral")
+        .when(first == 96, "TemplateLiteral")
         .otherwise(punctuation)
     )
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +18,7 @@ from glossmill.session import materialise
 
 TARGET_SIZE = 1000
 MAX_PIECE = 20
-CHARACTER = r"(?s)(.)"
+STRETCH = r"(?s)(?=(.{{1,{}}}))"
 #: Words and the stretches between them; joined they give the text again.
 RUNS = r"([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+)"
 
@@ -28,24 +31,15 @@ def runs(text: Column) -> Column:
 def piece_counts(words: DataFrame, max_piece: int = MAX_PIECE) -> DataFrame:
     """``piece, n``: occurrences of every substring, from ``word, n``.
 
-    Words are split into characters once, so a substring costs its own length.
+    One pass gives the stretch of up to ``max_piece`` characters at each position;
+    its prefixes are the substrings that start there. Both levels are plain
+    explodes, so they run in generated code.
     """
-    chars = F.regexp_extract_all("word", F.lit(CHARACTER), F.lit(1))
-    size = F.size("_c")
-
-    def from_start(i: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max_piece), size - i + 1)),
-            lambda n: F.array_join(F.slice("_c", i, n), ""),
-        )
-
+    stretches = F.regexp_extract_all("word", F.lit(STRETCH.format(max_piece)), F.lit(1))
     return (
-        words.select("n", chars.alias("_c"))
-        .select(
-            "n",
-            F.explode(F.flatten(F.transform(F.sequence(F.lit(1), size), from_start))).alias("piece"),
-        )
-        .groupBy("piece")
+        words.select("n", F.explode(stretches).alias("_t"))
+        .select("n", "_t", F.explode(F.sequence(F.lit(1), F.length("_t"))).alias("_l"))
+        .groupBy(F.left("_t", F.col("_l")).alias("piece"))
         .agg(F.sum("n").alias("n"))
     )
 
@@ -86,8 +80,8 @@ def encode_subwords(vocab: DataFrame, text: Column, bound: int = 100_000) -> Col
 
     Characters outside the vocabulary fall back to their bytes, numbered after the
     last piece. The vocabulary is bounded by its target size and the alphabet, so
-    it travels with the function; every task encodes each distinct run once, and
-    nothing is shuffled.
+    it travels with the function; a batch encodes each distinct run once and
+    gathers the ids as arrays. Nothing is shuffled.
     """
     ids = _pieces(vocab, bound)
     last = max(ids.values(), default=0)
@@ -110,20 +104,19 @@ def encode_subwords(vocab: DataFrame, text: Column, bound: int = 100_000) -> Col
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        seen: dict[str, list[int]] = {}
         for batch in batches:
-            rows = []
-            for row in batch:
-                row_ids: list[int] = []
-                for run in row.as_py() or ():
-                    known = seen.get(run)
-                    if known is None:
-                        if len(seen) >= 500_000:
-                            seen.clear()
-                        known = seen[run] = encode_run(run)
-                    row_ids.extend(known)
-                rows.append(row_ids)
-            yield pa.array(rows, type=pa.list_(pa.int32()))
+            bounds = np.asarray(batch.offsets)
+            flat = batch.flatten().dictionary_encode()
+            encoded = [encode_run(run) for run in flat.dictionary.to_pylist()]
+            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            pool = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
+            which = np.asarray(flat.indices)
+            size = sizes[which]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            shift = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], size)
+            yield pa.ListArray.from_arrays(
+                pa.array(ends[bounds - bounds[0]], pa.int32()), pa.array(pool[shift + np.arange(ends[-1])])
+            )
 
     return encode(runs(text))
 
@@ -132,23 +125,17 @@ def decode_subwords(vocab: DataFrame, ids: Column, bound: int = 100_000) -> Colu
     """Text of subword ids: the inverse of ``encode_subwords``."""
     pieces = {i: p.encode() for p, i in _pieces(vocab, bound).items()}
     last = max(pieces, default=0)
+    table = [pieces.get(i, b"") for i in range(last + 1)] + [bytes([b]) for b in range(256)]
 
     @F.arrow_udf(T.StringType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        spelled = pa.array(table, pa.binary())
         for batch in batches:
-            yield pa.array(
-                [
-                    None
-                    if row.as_py() is None
-                    else b"".join(
-                        pieces[i] if i in pieces else bytes([i - last - 1])
-                        for i in row.as_py()
-                        if i in pieces or last < i <= last + 256
-                    ).decode("utf-8", "replace")
-                    for row in batch
-                ],
-                type=pa.string(),
-            )
+            flat = batch.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = np.where((flat >= 0) & (flat < len(table)), flat, 0)
+            bounds = pa.array(np.asarray(batch.offsets) - batch.offsets[0].as_py(), pa.int32())
+            texts = pc.binary_join(pa.ListArray.from_arrays(bounds, spelled.take(pa.array(flat))), b"")
+            yield pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
     return decode(ids)
 

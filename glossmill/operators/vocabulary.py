@@ -14,11 +14,16 @@ def word_counts(rows: DataFrame, tokens: Column | str, min_count: int = 1) -> Da
     """``word, n`` of words seen at least ``min_count`` times.
 
     Counts are combined per task before the shuffle, so frequent words arrive as
-    one row per task.
+    one row per task. The outer form of explode is deliberate: for the inner form
+    the optimiser adds a filter on the array's size, which would tokenise every
+    text a second time.
     """
     col = F.col(tokens) if isinstance(tokens, str) else tokens
     counts = (
-        rows.select(F.explode(col).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        rows.select(F.explode_outer(col).alias("word"))
+        .filter(F.col("word").isNotNull())
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     return counts if min_count <= 1 else counts.filter(F.col("n") >= min_count)
 
@@ -101,30 +106,29 @@ def decode_words(rows: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataF
 def context_pairs(rows: DataFrame, tokens: Column | str, window: int = 7) -> DataFrame:
     """``center, context, n``: how often two words lie within ``window`` positions.
 
-    Contexts are slices of the token array around each position, so a text gives
-    at most ``2 * window`` pairs per word and needs no self-join.
+    Contexts are slices of the token array behind each position, so a text gives at
+    most ``window`` pairs per word and needs no self-join. Pairs are counted without
+    regard to their order, which halves the rows to aggregate, and both directions
+    are written from the finished counts.
     """
     col = F.col(tokens) if isinstance(tokens, str) else tokens
-    return (
+    unordered = (
         rows.select(col.alias("_w"))
-        .select("_w", F.posexplode("_w").alias("_i", "center"))
-        .select(
-            "center",
-            F.explode(
-                F.concat(
-                    F.slice(
-                        "_w",
-                        F.greatest(F.col("_i") - window + 1, F.lit(1)),
-                        F.least(F.col("_i"), F.lit(window)),
-                    ),
-                    F.slice("_w", F.col("_i") + 2, F.lit(window)),
-                )
-            ).alias("context"),
-        )
-        .groupBy("center", "context")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .select("_w", F.posexplode_outer("_w").alias("_i", "_x"))
+        .filter(F.col("_i").isNotNull())
+        .select("_x", F.explode(F.slice("_w", F.col("_i") + 2, F.lit(window))).alias("_y"))
+        .groupBy(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
 
+    def directed(center: str, context: str, n: Column) -> Column:
+        return F.struct(F.col(center).alias("center"), F.col(context).alias("context"), n.alias("n"))
+
+    both = F.when(
+        F.col("_a") == F.col("_b"), F.array(directed("_a", "_b", F.col("_n") * 2))
+    ).otherwise(F.array(directed("_a", "_b", F.col("_n")), directed("_b", "_a", F.col("_n"))))
+    return unordered.select(F.explode(both).alias("p")).select("p.*")
+
 
 def longest(rows: DataFrame, tokens: Column, cap: int) -> DataFrame:
     """One row: the longest sequence, at most ``cap``."""

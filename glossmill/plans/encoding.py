@@ -295,7 +295,7 @@ def encode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.train_word_vectors(
-        inputs.texts(spark, sf_dir), F.split("text", " "), epochs=1, dimensions=50
+        inputs.texts(spark, sf_dir), F.split("text", " ")
     )
 
 
