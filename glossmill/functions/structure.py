@@ -108,10 +108,9 @@ def markup_structure(html: Column) -> Column:
 def token_class(token: Column) -> Column:
     """Class of one code token; names keep their text, braces open and close a block.
 
-    The kind follows from the code of the first character and keywords from a hash
-    set, as this runs for every token of a corpus.
+    Runs for every token of a corpus: cheap comparisons and frequent kinds come
+    first, keywords are looked up in a hash set. Comments have no class ('').
     """
-    first = F.ascii(token)
     keyword = _switch(
         token, KEYWORD_CLASSES, F.concat(F.initcap(token), F.lit("Keyword"))
     )
@@ -119,28 +118,29 @@ def token_class(token: Column) -> Column:
         F.concat(F.lit("Identifier ["), token, F.lit("]"))
     )
     punctuation = _switch(token, PUNCTUATION_CLASSES, F.lit("UnknownToken"))
+
+    def starts_within(low: str, behind: str) -> Column:
+        return (token >= low) & (token < behind)
+
+    out = F.when(starts_within("a", "{"), word)
+    for mark in ("(", ")", ";", ","):
+        out = out.when(token == mark, F.lit(PUNCTUATION_CLASSES[mark]))
     return (
-        F.when(token == "{", "Block ( OpenBraceToken SyntaxList (")
+        out.when(token == "{", "Block ( OpenBraceToken SyntaxList (")
         .when(token == "}", ") CloseBraceToken )")
-        .when(first.between(97, 122) | first.between(65, 90) | first.isin(36, 95), word)
-        .when(first.between(48, 57), "NumericLiteral")
-        .when(first.isin(34, 39), "StringLiteral")
-        .when(first == 96, "TemplateLiteral")
+        .when(starts_within("A", "[") | token.startswith("_") | token.startswith("$"), word)
+        .when(starts_within("0", ":"), "NumericLiteral")
+        .when(token.startswith('"') | token.startswith("'"), "StringLiteral")
+        .when(token.startswith("`"), "TemplateLiteral")
+        .when(token.startswith("//") | token.startswith("/*"), "")
         .otherwise(punctuation)
     )
 
 
-def code_tokens(code: Column) -> Column:
-    """Tokens of a piece of code without comments."""
-    return F.filter(
-        F.regexp_extract_all(code, F.lit(CODE_TOKEN), F.lit(1)),
-        lambda t: ~(t.startswith("/*") | t.startswith("//")),
-    )
-
-
 def block_structure(body: Column) -> Column:
     """Token classes of a body, bracketed by its braces; an empty list has no brackets."""
-    joined = F.array_join(F.transform(code_tokens(body), token_class), " ")
+    tokens = F.regexp_extract_all(body, F.lit(CODE_TOKEN), F.lit(1))
+    joined = F.array_join(F.array_remove(F.transform(tokens, token_class), ""), " ")
     return F.replace(joined, F.lit("SyntaxList ( )"), F.lit("SyntaxList"))
 
 

@@ -21,7 +21,7 @@ def greedy_decode(scores: DataFrame, end_token: int, limit: int) -> DataFrame:
     An example has at most ``limit`` steps, so its list is bounded and the cut is
     an array operation instead of a second join.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("step", "token")))["token"]
+    ordered = F.sort_array(F.collect_list(F.struct("step", "token")))["token"]
     stop = F.array_position("tokens", end_token).cast("int")
     return (
         best_tokens(scores.filter(F.col("step") < limit))

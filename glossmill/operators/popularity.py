@@ -55,7 +55,7 @@ def repository_profile(stars: DataFrame) -> DataFrame:
     dates = names.groupBy("repo_id").agg(
         F.max("last_star_date").alias("last_star_date"),
         F.min("first_star_date").alias("first_star_date"),
-        F.array_sort(F.collect_list("repo_name")).alias("repo_names"),
+        F.sort_array(F.collect_list("repo_name")).alias("repo_names"),
     )
     return repository_stars(stars).join(dates, "repo_id").select(
         "repo_id", "stars", "last_star_date", "first_star_date", "repo_names"

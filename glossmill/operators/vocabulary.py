@@ -79,7 +79,7 @@ def encode_words(rows: DataFrame, key: str, tokens: Column | str, vocab: DataFra
             ).alias("_t"),
         )
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
+        .agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
         .select(key, F.col("_ts.id").alias("ids"))
     )
 
@@ -98,7 +98,7 @@ def decode_words(rows: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataF
             ).alias("_t"),
         )
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
+        .agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
         .select(key, F.col("_ts.token").alias("tokens"))
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +12,13 @@ from glossmill.plans.cleaning import over_comments, sql_clean_comment, sql_norma
 from glossmill.functions.comments import clean_comment
 from glossmill.plans.oracle_inputs import with_inputs
 from glossmill.plans.registry import query
-from glossmill.session import ensure_checkpoint_dir
+from glossmill.session import scratch_path
 from glossmill.sources import readers, writers
 
 FITS = """comments <> '' AND len(string_split(comments, ' ')) <= 200
   AND len(string_split(ast, ' ')) <= 500"""
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared storage of the session."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 # --- files ---------------------------------------------------------------------
 
 _ENTRIES = f"""SELECT id::VARCHAR AS id, comments, ast FROM length_mix WHERE {FITS}"""
@@ -53,7 +45,7 @@ FROM functions""",
 )
 def gzip_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions to compressed JSON lines and back, positions stored as texts."""
-    path = scratch(spark, "functions")
+    path = scratch_path(spark, "functions")
     functions = inputs.functions(spark, sf_dir).select(
         "id", "paths", F.col("line").cast("string"), F.col("character").cast("string"), "comments", "text"
     )
@@ -69,7 +61,7 @@ def gzip_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s4_jsonl", with_inputs("length_mix", _ENTRIES))
 def jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "entries")
+    path = scratch_path(spark, "entries")
     writers.write_entries_jsonl(_entries(spark, sf_dir), path)
     return readers.read_entries_jsonl(spark, path).select("id", "comments", "ast")
 
@@ -80,7 +72,7 @@ def jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jsonl_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored line ends with carriage return and line feed."""
-    path = scratch(spark, "entries")
+    path = scratch_path(spark, "entries")
     writers.write_entries_jsonl(_entries(spark, sf_dir), path)
     return spark.read.option("lineSep", "\n").text(path).agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("value").endswith("\r")).alias("n_ended")
@@ -95,7 +87,7 @@ def jsonl_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "clean")
+    path = scratch_path(spark, "clean")
     clean = inputs.functions(spark, sf_dir).select(
         F.col("text").alias("ast"), "comments", F.concat("comments", F.lit(' "quoted", ')).alias("comments_orig")
     )
@@ -120,7 +112,7 @@ FROM (SELECT len(string_split(comments, ' ')) AS c, len(string_split(ast, ' '))
     ),
 )
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "metadata")
+    path = scratch_path(spark, "metadata")
     writers.write_metadata(dataset.dataset_profile(inputs.length_mix(spark, sf_dir)), path)
     return readers.read_metadata(spark, path)
 

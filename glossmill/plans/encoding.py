@@ -11,10 +11,9 @@ from glossmill.functions.normalise import normalise_comment
 from glossmill.operators import decoding, embedding, spans, subwords, vocabulary
 from glossmill.plans import inputs
 from glossmill.plans.cleaning import sql_normalise
-from glossmill.plans.datasets import scratch
 from glossmill.plans.oracle_inputs import with_inputs
 from glossmill.plans.registry import query
-from glossmill.session import materialise
+from glossmill.session import materialise, scratch_path
 from glossmill.sources import readers, writers
 
 MIN_COUNT = 3
@@ -81,7 +80,7 @@ def vocabulary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def stored_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "vocabulary")
+    path = scratch_path(spark, "vocabulary")
     vocab = materialise(comment_vocabulary(comment_tokens(spark, sf_dir)))
     writers.write_vocabulary(vocab, {"comment_vocab_size": vocab.count()}, path)
     tokens, params = readers.read_vocabulary(spark, path)

@@ -56,7 +56,7 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     path = F.concat("source", F.lit("/"), "lang", F.lit("/"), _s(F.col("doc_id")), F.lit(".ts"))
     return docs.groupBy(F.md5("text").alias("id")).agg(
-        F.array_sort(F.collect_list(path)).alias("paths"),
+        F.sort_array(F.collect_list(path)).alias("paths"),
         F.min("text").alias("content"),
     )
 

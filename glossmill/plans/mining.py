@@ -335,7 +335,7 @@ def array_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = ranking.function_paths(inputs.function_lines(spark, sf_dir))
     repeated = F.flatten(F.collect_list(F.expr("array_repeat(path, int(copies))")))
     return paths.groupBy("id").agg(
-        F.array_join(F.array_sort(repeated), "|").alias("paths"), F.sum("copies").alias("n_paths")
+        F.array_join(F.sort_array(repeated), "|").alias("paths"), F.sum("copies").alias("n_paths")
     )
 
 
