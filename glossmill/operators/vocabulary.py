@@ -60,6 +60,24 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     return unknown.unionByName(known)
 
 
+def _lookup(vocab: DataFrame) -> DataFrame:
+    """Both lookup columns under private names, broadcast if the size allows it."""
+    return checked_broadcast(
+        materialise(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id")))
+    )
+
+
+def _in_order(found: DataFrame, key: str, value: Column, out: str) -> DataFrame:
+    """Arrays of ``value`` per key, ordered by ``_pos``; keys without tokens stay."""
+    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", value.alias("_v")))
+    return (
+        found.select(key, item.alias("_t"))
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
+        .select(key, F.col("_ts._v").alias(out))
+    )
+
+
 def encode_words(rows: DataFrame, key: str, tokens: Column | str, vocab: DataFrame) -> DataFrame:
     """``key, ids``: ids of each row's tokens in order, 1 where a word is unknown.
 
@@ -67,40 +85,16 @@ def encode_words(rows: DataFrame, key: str, tokens: Column | str, vocab: DataFra
     text, and the arrays are assembled there before the shuffle by ``key``.
     """
     col = F.col(tokens) if isinstance(tokens, str) else tokens
-    lookup = checked_broadcast(materialise(vocab.select("token", "id")))
-    return (
-        rows.select(key, F.posexplode_outer(col).alias("_pos", "token"))
-        .join(lookup, "token", "left")
-        .select(
-            key,
-            F.when(
-                F.col("_pos").isNotNull(),
-                F.struct("_pos", F.coalesce("id", F.lit(1)).alias("id")),
-            ).alias("_t"),
-        )
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
-        .select(key, F.col("_ts.id").alias("ids"))
-    )
+    words = rows.select(key, F.posexplode_outer(col).alias("_pos", "_token"))
+    found = words.join(_lookup(vocab), "_token", "left")
+    return _in_order(found, key, F.coalesce("_id", F.lit(1)), "ids")
 
 
 def decode_words(rows: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
     """``key, tokens``: the inverse lookup of ``encode_words``."""
-    lookup = checked_broadcast(materialise(vocab.select("token", "id")))
-    return (
-        rows.select(key, F.posexplode_outer(ids).alias("_pos", "id"))
-        .join(lookup, "id", "left")
-        .select(
-            key,
-            F.when(
-                F.col("_pos").isNotNull(),
-                F.struct("_pos", F.coalesce("token", F.lit(UNK)).alias("token")),
-            ).alias("_t"),
-        )
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
-        .select(key, F.col("_ts.token").alias("tokens"))
-    )
+    numbers = rows.select(key, F.posexplode_outer(ids).alias("_pos", "_id"))
+    found = numbers.join(_lookup(vocab), "_id", "left")
+    return _in_order(found, key, F.coalesce("_token", F.lit(UNK)), "tokens")
 
 
 def context_pairs(rows: DataFrame, tokens: Column | str, window: int = 7) -> DataFrame:
