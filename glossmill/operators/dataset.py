@@ -12,6 +12,8 @@ from glossmill.functions.normalise import normalise_comment
 from glossmill.functions.placeholders import to_placeholders
 from glossmill.functions.sequences import leading_digits, token_count
 from glossmill.functions.structure import function_structure
+from glossmill.operators.vocabulary import dense_ids
+from glossmill.session import MAX_BROADCAST_ROWS
 
 # Limits of the published datasets; every job takes them as parameters.
 MAX_COMMENT_LENGTH = 200
@@ -57,8 +59,16 @@ def keep_fitting(entries: DataFrame, **limits: int) -> DataFrame:
 
 
 def capped(entries: DataFrame, n: int = N_OBSERVATIONS) -> DataFrame:
-    """The first ``n`` entries by position; a distributed top-k, not a full sort."""
-    return entries.orderBy("id", "line", "character").limit(n)
+    """The first ``n`` entries by position (``id, line, character``, unique).
+
+    A plain sorted limit would send up to ``n`` wide rows of every task to one task.
+    Here only the positions are ranked, over all tasks, and the ``n`` first ones
+    select the entries; they are few enough to broadcast up to the checked bound.
+    """
+    position = ["id", "line", "character"]
+    ranked = dense_ids(entries.select(*position), *position, out="_rank")
+    first = ranked.filter(F.col("_rank") < n).drop("_rank")
+    return entries.join(F.broadcast(first) if n <= MAX_BROADCAST_ROWS else first, position, "left_semi")
 
 
 def dataset_profile(entries: DataFrame, **limits: int) -> DataFrame:

@@ -8,7 +8,10 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.session import checked_broadcast, materialise
+from glossmill.session import fits_broadcast, materialise
+
+#: Largest profile that is sent to every task.
+MAX_TRIGRAMS = 500_000
 
 TRIGRAMS = r"(?s)(?=(.{3}))"
 
@@ -57,20 +60,22 @@ def identify_language(
 ) -> DataFrame:
     """``key, label`` of the most probable language.
 
-    The profile is joined inside the task that reads the text (its size is
-    checked), and a text's trigrams are summed there before the shuffle by key.
+    A profile of checked size is joined inside the task that reads the text, and a
+    text's trigrams are summed there before the shuffle by key. A larger profile is
+    joined by shuffle, after the trigrams were counted per text.
     """
     text = F.col(text) if isinstance(text, str) else text
-    sums = (
-        rows.select(key, F.explode_outer(trigrams(text)).alias("trigram"))
-        .join(checked_broadcast(profile.scores, 1_000_000), "trigram", "left")
-        .groupBy(key)
-        .agg(
-            *[
-                F.sum(F.coalesce(f"s_{x}", F.lit(profile.unseen[x]))).alias(f"s_{x}")
-                for x in profile.langs
-            ]
-        )
+    grams = rows.select(key, F.explode_outer(trigrams(text)).alias("trigram"))
+    if fits_broadcast(profile.scores, MAX_TRIGRAMS):
+        scored = grams.withColumn("_k", F.lit(1)).join(F.broadcast(profile.scores), "trigram", "left")
+    else:
+        counted = grams.groupBy(key, "trigram").agg(F.count(F.lit(1)).alias("_k"))
+        scored = counted.join(profile.scores, "trigram", "left")
+    sums = scored.groupBy(key).agg(
+        *[
+            F.sum(F.col("_k") * F.coalesce(f"s_{x}", F.lit(profile.unseen[x]))).alias(f"s_{x}")
+            for x in profile.langs
+        ]
     )
     best = F.array_max(
         F.array(*[F.struct(F.col(f"s_{x}").alias("s"), F.lit(x).alias("x")) for x in profile.langs])

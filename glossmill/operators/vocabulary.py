@@ -61,10 +61,11 @@ def vocabulary(counts: DataFrame) -> DataFrame:
 
 
 def _lookup(vocab: DataFrame) -> DataFrame:
-    """Both lookup columns under private names, broadcast if the size allows it."""
-    return checked_broadcast(
-        materialise(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id")))
-    )
+    """Both lookup columns under private names, broadcast if the size allows it.
+
+    ``vocab`` should be a stored table: it is counted here and read by the join.
+    """
+    return checked_broadcast(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id")))
 
 
 def _in_order(found: DataFrame, key: str, value: Column, out: str) -> DataFrame:

@@ -51,6 +51,14 @@ def test_running_average_with_a_hot_group(spark, chunk):
     assert len(got) == len(rows)
 
 
+def test_cap_is_exact_and_ordered(spark):
+    df = spark.range(5000).select(
+        (F.col("id") * 7919 % 5000).alias("id"), F.lit(0).alias("line"), F.lit(0).alias("character")
+    )
+    assert sorted(r.id for r in dataset.capped(df.repartition(16), 700).collect()) == list(range(700))
+    assert dataset.capped(df, 10_000).count() == 5000
+
+
 def test_random_pick_is_repeatable(spark):
     df = spark.range(1000)
     first = dataset.random_pick(df, "id", seed=1).first().id
@@ -153,6 +161,14 @@ def test_language_holdout(spark):
     assert right >= 0.99 * test.count()
 
 
+def test_large_profiles_are_joined_by_shuffle(spark, sf_dir, monkeypatch):
+    docs = read_table(spark, sf_dir, "documents")
+    profile = language.fit_language_profile(docs, "text", "lang", inputs.LANGS)
+    small = sorted(language.identify_language(docs, "doc_id", "text", profile).collect())
+    monkeypatch.setattr(language, "MAX_TRIGRAMS", 10)
+    assert sorted(language.identify_language(docs, "doc_id", "text", profile).collect()) == small
+
+
 def test_language_of_tiny_texts(spark):
     rows = spark.createDataFrame([(1, "the and"), (2, ""), (3, "x")], "id int, text string")
     train = spark.createDataFrame([("the the and", "en"), ("der die das", "de")], "text string, lang string")
