@@ -35,8 +35,11 @@ def comment_vocabulary(tokens: DataFrame) -> DataFrame:
 
 
 def encoded_comments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """``doc_id, ids`` and the vocabulary size."""
-    tokens = comment_tokens(spark, sf_dir)
+    """``doc_id, ids`` and the vocabulary size.
+
+    The normalised tokens are stored once; counting and encoding both read them.
+    """
+    tokens = materialise(comment_tokens(spark, sf_dir))
     vocab = materialise(comment_vocabulary(tokens))
     return vocabulary.encode_words(tokens, "doc_id", "tokens", vocab), vocab.count()
 

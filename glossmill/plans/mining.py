@@ -530,3 +530,15 @@ def lateral_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
            WHERE m.body <> '{{}}'""",
         files=files,
     )
+
+
+@query("u1_array_function", mined_sql("SELECT doc_id, name, kind, comments FROM mined"))
+def array_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The array form of the registered function, unnested in SQL."""
+    register_sql(spark, "glossmill_functions_of")
+    return spark.sql(
+        """SELECT doc_id, f.name, f.kind, f.comments FROM (
+             SELECT doc_id, explode(glossmill_functions_of_array(content)) AS f FROM {files})
+           WHERE f.body <> '{{}}'""",
+        files=inputs.source_files(spark, sf_dir),
+    )
