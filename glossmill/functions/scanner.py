@@ -32,9 +32,9 @@ _PAIRS = {")": "(", "]": "[", "}": "{"}
 
 # Possessive quantifiers: blanked comments are long runs of blanks.
 _FUNCTION = re.compile(
-    r"(?P<first>(?:\b(?:export|default|async|declare)\s++)*+)(?<![.\w$])function\b\s*+\*?\s*+"
-    r"(?P<name>[\w$]*+)\s*+(?=[<(])"
+    r"(?<![.\w$])function\b\s*+\*?\s*+(?P<name>[\w$]*+)\s*+(?=[<(])"
 )
+_BEFORE_FUNCTION = re.compile(r"(?:\b(?:export|default|async|declare)\s++)+$")
 _METHOD = re.compile(
     r"(?<=[{};,\n])[^\S\n]*+(?P<first>(?:(?:public|private|protected|static|async|abstract|readonly"
     r"|override|declare)\s++(?=[\w$#\"*]))*+)\*?[^\S\n]*+(?P<name>#?[\w$]++|\"++)\s*+[?!]?\s*+(?=[<(])"
@@ -43,6 +43,7 @@ _NO_METHOD = frozenset(
     "if for while switch catch with function return typeof new await super constructor "
     "do else throw delete void in of instanceof yield case import".split()
 )
+_ENDS_CALL = frozenset((";", ".", ",", ")"))
 _TYPE_TOKEN = re.compile(r"=>|[{}()\[\];,=<>|&:]|[\w$.]+")
 _EXPECTS_TYPE = frozenset(("|", "&", "<", "=>", "is", "keyof", "typeof", ":"))
 _ANGLE = re.compile(r"=>|[<>({\[]")
@@ -96,16 +97,18 @@ def _blanked(src: str) -> str:
 def _partners(text: str) -> dict[int, int]:
     """Offset of the matching bracket for every bracket."""
     partner: dict[int, int] = {}
-    opened: list[tuple[int, str]] = []
+    opened: list[int] = []
     for m in _BRACKET.finditer(text):
-        mark, at = m.group(), m.start()
+        at = m.start()
+        mark = text[at]
         if mark in "([{":
-            opened.append((at, mark))
-            continue
-        if not opened or opened[-1][1] != _PAIRS[mark]:
+            opened.append(at)
+        elif opened and text[opened[-1]] == _PAIRS[mark]:
+            other = opened.pop()
+            partner[other] = at
+            partner[at] = other
+        else:
             raise Unbalanced(mark)
-        other = opened.pop()[0]
-        partner[other], partner[at] = at, other
     if opened:
         raise Unbalanced("end of text")
     return partner
@@ -218,12 +221,18 @@ def _candidates(text: str, partner: dict[int, int]):
     """``(first, kind, name start, name end, parameter list)`` of possible declarations."""
     for m in _FUNCTION.finditer(text):
         opening = _behind_generics(text, m.end(), partner)
-        named = m.group("name") or "default" in m.group("first")
-        if named and _declares(text, m.start("first")):
-            yield m.start("first"), "function", *m.span("name"), opening
+        before = _BEFORE_FUNCTION.search(text, max(0, m.start() - 100), m.start())
+        first = before.start() if before else m.start()
+        named = m.group("name") or (before and "default" in before.group())
+        if named and _declares(text, first):
+            yield first, "function", *m.span("name"), opening
     for m in _METHOD.finditer(text):
+        opening = m.end()
+        if text[opening] == "<":
+            opening = _behind_generics(text, opening, partner)
+        elif text[partner[opening] + 1 : partner[opening] + 2] in _ENDS_CALL:
+            continue  # most matches are calls
         if m.group("name") not in _NO_METHOD:
-            opening = _behind_generics(text, m.end(), partner)
             yield m.start("first"), "method", *m.span("name"), opening
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from glossmill.operators import popularity, ranking
 from glossmill.operators.extraction import extract_functions, register_sql
+from glossmill.operators.vocabulary import dense_ids
 from glossmill.plans import inputs
-from glossmill.plans.oracle_inputs import with_inputs
+from glossmill.plans.oracle_inputs import statements, with_inputs
 from glossmill.plans.registry import query
 from glossmill.session import materialise
 from glossmill.sources.readers import read_shards
@@ -449,8 +450,6 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def window_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from glossmill.operators.vocabulary import dense_ids
-
     latest = profile(spark, sf_dir).select("repo_id", "last_star_date")
     placed = dense_ids(latest, F.col("last_star_date").desc(), F.col("repo_id"), first=1, out="place")
     return placed.select(
@@ -480,8 +479,6 @@ WHERE i % 4 <> 2"""
 
 
 def mined_sql(body: str) -> str:
-    from glossmill.plans.oracle_inputs import statements
-
     return with_inputs(
         "",
         body,
