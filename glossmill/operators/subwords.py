@@ -14,11 +14,13 @@ from pyspark.sql import types as T
 
 from glossmill.functions.sequences import pad, shifted_targets, with_bounds
 from glossmill.operators.vocabulary import dense_ids, word_counts
-from glossmill.session import materialise
+from glossmill.session import checked_broadcast, materialise
 
 TARGET_SIZE = 1000
 MAX_PIECE = 20
-STRETCH = r"(?s)(?=(.{{1,{}}}))"
+#: Shortest piece of each counting pass.
+PASSES = (2, 5, 9)
+STRETCH = r"(?s)(?=(.{{{},{}}}))"
 #: Words and the stretches between them; joined they give the text again.
 RUNS = r"([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+)"
 
@@ -28,20 +30,26 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(RUNS), F.lit(1))
 
 
-def piece_counts(words: DataFrame, max_piece: int = MAX_PIECE) -> DataFrame:
-    """``piece, n``: occurrences of every substring, from ``word, n``.
+def piece_counts(
+    words: DataFrame, low: int, high: int, inner: DataFrame | None = None
+) -> DataFrame:
+    """``piece, n``: occurrences of the substrings of ``low`` to ``high`` characters.
 
-    One pass gives the stretch of up to ``max_piece`` characters at each position;
-    its prefixes are the substrings that start there. Both levels are plain
-    explodes, so they run in generated code.
+    With ``inner``, frequent pieces of ``low - 1`` characters, only substrings that
+    start and end with one of them are counted. The start is tested before the
+    lengths are unfolded.
     """
-    stretches = F.regexp_extract_all("word", F.lit(STRETCH.format(max_piece)), F.lit(1))
-    return (
-        words.select("n", F.explode(stretches).alias("_t"))
-        .select("n", "_t", F.explode(F.sequence(F.lit(1), F.length("_t"))).alias("_l"))
-        .groupBy(F.left("_t", F.col("_l")).alias("piece"))
-        .agg(F.sum("n").alias("n"))
-    )
+    stretches = F.regexp_extract_all("word", F.lit(STRETCH.format(low, high)), F.lit(1))
+    found = words.filter(F.length("word") >= low).select("n", F.explode(stretches).alias("_t"))
+    if inner is not None:
+        known = checked_broadcast(inner.select(F.col("piece").alias("_known")))
+        found = found.join(known, F.left("_t", F.lit(low - 1)) == F.col("_known"), "left_semi")
+    found = found.select(
+        "n", "_t", F.explode(F.sequence(F.lit(low), F.length("_t"))).alias("_l")
+    ).select("n", F.left("_t", F.col("_l")).alias("piece"))
+    if inner is not None:
+        found = found.join(known, F.right("piece", F.lit(low - 1)) == F.col("_known"), "left_semi")
+    return found.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def build_subwords(
@@ -50,18 +58,31 @@ def build_subwords(
     """``piece, id, n``: all single characters plus the most frequent longer pieces.
 
     The number of longer pieces fills the vocabulary up to ``target_size``. Ids
-    start at 1, by falling frequency; 0 is left for padding. The text is read once
-    for word counts; substrings are then counted over distinct words.
+    start at 1, by falling frequency; 0 is left for padding.
+
+    The text is read once for word counts. Pieces are then counted over distinct
+    words in a few passes of growing length. A piece is never more frequent than
+    the pieces inside it, so a pass only counts extensions of pieces that are at
+    least as frequent as the last one that fits so far. That is exact, ties
+    included, and the shuffles carry few of the corpus' long substrings.
     """
     col = F.col(text) if isinstance(text, str) else text
-    counts = materialise(piece_counts(word_counts(rows, runs(col)), max_piece))
-    single = counts.filter(F.length("piece") == 1)
+    words = materialise(word_counts(rows, runs(col)))
+    single = materialise(piece_counts(words, 1, 1))
     room = max(target_size - single.count(), 0)
-    longer = (
-        counts.filter(F.length("piece") > 1)
-        .orderBy(F.col("n").desc(), F.col("piece"))
-        .limit(room)
-    )
+    best: list[tuple[str, int]] = []  # at most ``room`` pieces
+    counted = None
+    for low, high in zip(PASSES, (*(p - 1 for p in PASSES[1:]), max_piece)):
+        high = min(high, max_piece)
+        least = best[-1][1] if best and len(best) >= room else 1
+        frequent = F.col("n") >= least
+        inner = counted and counted.filter(frequent & (F.length("piece") == low - 1))
+        counted = materialise(piece_counts(words, low, high, inner).filter(frequent))
+        top = counted.orderBy(F.col("n").desc(), "piece").limit(room).collect()
+        best = sorted(best + [(r.piece, r.n) for r in top], key=lambda p: (-p[1], p[0]))[:room]
+        if not top or high == max_piece:
+            break
+    longer = rows.sparkSession.createDataFrame(best, "piece string, n long")
     return dense_ids(single.unionByName(longer), F.col("n").desc(), F.col("piece"), first=1).select(
         "piece", "id", "n"
     )

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -133,6 +134,23 @@ def test_subwords_against_brute_force(spark, sf_dir):
         assert r.ids == [i for run in r.runs for i in greedy(pieces, run)]
 
 
+@pytest.mark.parametrize("target, widest", [(6, 20), (40, 3), (60, 9), (400, 12)])
+def test_pieces_against_brute_force(spark, target, widest):
+    rng = random.Random(target)
+    texts = [" ".join(rng.choice(["abab", "abcabcabcabc", "xyz", "hello", "help"]) for _ in range(9)) for _ in range(30)]
+    counts = Counter()
+    for text in texts:
+        for run in re.findall(r"\w+|\W+", text):
+            counts.update(run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + widest) + 1))
+    order = lambda p: (-p[1], p[0])
+    single = [p for p in counts.items() if len(p[0]) == 1]
+    longer = sorted((p for p in counts.items() if len(p[0]) > 1), key=order)[: max(target - len(single), 0)]
+    want = [p for p, _ in sorted(single + longer, key=order)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = subwords.build_subwords(df, "text", target, widest).orderBy("id").collect()
+    assert [r.piece for r in got] == want
+
+
 def test_unseen_characters_fall_back_to_bytes(spark):
     corpus = spark.createDataFrame([("aa ab",)], "text string")
     vocab = subwords.build_subwords(corpus, "text", 6)
