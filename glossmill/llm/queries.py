@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import bitplanes, bpe, token_counts, warc
+from glossmill.llm import (
+    bitplanes,
+    bpe,
+    html_blocks,
+    ngram_join,
+    quality,
+    secrets,
+    tiling,
+    token_counts,
+    toxicity,
+    warc,
+)
 from glossmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +76,47 @@ def op9_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written as planes and read back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bitplanes.read_ids(bitplanes.write_ids(table(spark, sf_dir, "documents"), path))
+
+
+@query
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that leak into them."""
+    return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents the quality rules keep."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document by links of shingle sets."""
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: numbers by kind, digest of the base spans, all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        secrets.counted(F.col("base"), 0).alias("n_assign"),
+        secrets.counted(F.col("base"), 1).alias("n_access"),
+        secrets.counted(F.col("base"), 2).alias("n_hex"),
+        F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
