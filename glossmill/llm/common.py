@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glossmill.session import scratch_path
 
@@ -24,7 +25,7 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
 ) -> DataFrame:
     """Apply ``fn`` to every Arrow batch; batches of no rows are skipped."""
 
@@ -36,6 +37,18 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(
+    docs: DataFrame, keeps: Callable[[str | None], bool], text: str = "text"
+) -> DataFrame:
+    """The rows whose text is kept, with all their columns, without moving any."""
+    place = docs.columns.index(text)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(list(map(keeps, batch.column(place).to_pylist())), pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def shared_uri(spark: SparkSession, name: str) -> str:
     """A fresh folder for files that Python tasks write, in the shared folder."""
     path = scratch_path(spark, name)

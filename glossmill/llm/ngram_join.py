@@ -426,18 +426,26 @@ def groups(
     )
 
 
-def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
     """The document of each group whose key is the smallest; rows without a key stay.
 
-    Rows that repeat a kept key are one document: one of them stays.
+    Rows that repeat a key are one document: one of them stays.
     """
-    stay = found.where(F.col(key) == F.col("component_id")).select(key)
-    counted = materialise(stay.groupBy(key).agg(F.count("*").alias("rows_of_key")))
-    columns = docs.columns
-    single = docs.join(counted.where("rows_of_key = 1").select(key), key, "left_semi")
-    several = docs.join(counted.where("rows_of_key > 1").select(key), key, "left_semi")
+    found = groups(docs, key, width, percent).where(F.col(key).isNotNull())
+    rows = found.groupBy(key).agg(
+        F.count("*").alias("n"), F.max(F.col(key) == F.col("component_id")).alias("first")
+    )
+    rows = materialise(rows.where("n > 1 or not first"))
+    # the dropped keys are written, so their size decides how they are joined
+    kept = docs.join(materialise(rows.where("not first").select(key)), key, "left_anti").select(docs.columns)
+    repeated = materialise(rows.where("first").select(key))
+    if repeated.isEmpty():
+        return kept
+    several = kept.join(repeated, key, "left_semi").dropDuplicates([key])
     return (
-        single.select(columns)
-        .unionByName(several.dropDuplicates([key]).select(columns))
-        .unionByName(docs.where(F.col(key).isNull()).select(columns))
+        kept.join(repeated, key, "left_anti")
+        .select(docs.columns)
+        .unionByName(several.select(docs.columns))
     )

@@ -113,7 +113,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: numbers by kind, digest of the base spans, all spans."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         secrets.counted(F.col("base"), 0).alias("n_assign"),
         secrets.counted(F.col("base"), 1).alias("n_access"),
         secrets.counted(F.col("base"), 2).alias("n_hex"),

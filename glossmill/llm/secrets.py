@@ -193,23 +193,28 @@ def thresholds(found: DataFrame, rate: float) -> dict[str, int]:
     return {r[0]: r[1] for r in passing.groupBy("stratum").agg(F.min("bucket")).collect()}
 
 
-def scan(docs: DataFrame, key: str = "doc_id", rate: float = FALSE_DISCOVERY) -> DataFrame:
-    """key, base (sorted base spans) and spans (all, sorted) of every row, as arrays of
-    struct(s, k, e): start, kind's number (assign 0, access 1, hex 2, random 3), end."""
+def scan(
+    docs: DataFrame, rate: float = FALSE_DISCOVERY, columns: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """row (a struct of the named columns), base (base spans) and spans (all spans).
+
+    Spans are sorted arrays of struct(s, k, e): start, kind's number (assign 0, access 1,
+    hex 2, random 3), end.
+    """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col(key), text.alias("text"))
+    rows = docs.select(F.struct(*columns).alias("row"), text.alias("text"))
     read = rows.select(
-        key,
+        "row",
         F.filter(spans_of(F.col("text"), ASSIGN, 0, 1), lambda x: x["n"] >= 12).alias("assign"),
         spans_of(F.col("text"), ACCESS, 1).alias("access"),
         spans_of(F.col("text"), HEX, 2).alias("hexes"),
         spans_of(F.col("text"), RUN, 3).alias("runs"),
     )
     base = F.array_sort(F.concat("assign", "access", "hexes"))
-    # written once: spans are few, texts are not read again
+    # written once: texts are not scanned again
     placed = materialise(
-        read.select(key, base.alias("base"), "runs").select(
-            key,
+        read.select("row", base.alias("base"), "runs").select(
+            "row",
             F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))).alias(
                 "base"
             ),
@@ -218,15 +223,28 @@ def scan(docs: DataFrame, key: str = "doc_id", rate: float = FALSE_DISCOVERY) ->
     )
     found = placed.select(F.explode("found").alias("f")).select("f.stratum", "f.bucket")
     least = thresholds(found, rate)
-    table = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else None
-    if table is None:
-        more = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    else:
+    if least:
+        table = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
         more = F.transform(
             F.filter("found", lambda c: c["bucket"] >= F.coalesce(table[c["stratum"]], F.lit(BUCKETS))),
             lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e")),
         )
-    return placed.select(key, "base", F.array_sort(F.concat("base", more)).alias("spans"))
+    else:
+        more = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    return placed.select("row", "base", F.array_sort(F.concat("base", more)).alias("spans"))
+
+
+def without_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
+    """All rows and columns, with secrets replaced in the text and its length counted anew."""
+    found = scan(docs, rate, tuple(docs.columns))
+    text = redacted(F.coalesce("row.text", F.lit("")), F.col("spans"))
+    changed = F.size("spans") > 0
+    out = []
+    for name in docs.columns:
+        old = F.col("row")[name]
+        new = {"text": text, "n_chars": F.length(text).cast(docs.schema[name].dataType)}.get(name)
+        out.append((old if new is None else F.when(changed, new).otherwise(old)).alias(name))
+    return found.select(*out)
 
 
 NAMES = ("assign", "access", "hex", "random")

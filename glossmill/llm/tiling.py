@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import map_batches, texts
+from glossmill.llm.common import filter_rows, map_batches, texts
 from glossmill.session import materialise
 
 #: Words of the shortest tile.
@@ -178,18 +179,13 @@ class Block:
         return out
 
 
-def leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    key: str = "doc_id",
-    item_key: str = "item_id",
-    block_words: int = BLOCK_WORDS,
-) -> DataFrame:
-    """Documents with the items that leak into them: key, item key, item_words, covered, coverage."""
-    spark = docs.sparkSession
+def item_blocks(
+    benchmark: DataFrame, item_key: str = "item_id", block_words: int = BLOCK_WORDS
+) -> Iterator[Block]:
+    """The items in blocks of about ``block_words`` words, one at a time on the driver."""
     items = texts(benchmark, item_key).where("text <> ''")
-    # cost of an item in words, so that a block's size is bounded by its content
-    cost = F.size(F.split("text", r"\s+")) + 1
+    # the bound is on words, so one long item makes a block of its own
+    cost = (F.size(F.split("text", r"\s+")) + 1).cast("long")
     parts = materialise(
         items.select(item_key, "text", cost.alias("cost"))
         .repartition(F.xxhash64("text"))
@@ -198,46 +194,66 @@ def leaks(
     before = Window.partitionBy("part").orderBy(F.xxhash64("text"), F.col(item_key))
     blocks = materialise(
         parts.withColumn("seen", F.sum("cost").over(before) - F.col("cost")).withColumn(
-            "block", F.floor(F.col("seen") / block_words)
+            "block", F.concat_ws(":", "part", F.floor(F.col("seen") / block_words))
         )
     )
-    sums = blocks.groupBy("part", "block").agg(F.sum("cost").alias("cost")).toPandas()
-    source = texts(docs, key)
+    sums = blocks.groupBy("block").agg(F.sum("cost").alias("cost")).orderBy("block").collect()
+    group, held = [], 0
+    for k, row in enumerate(sums):
+        group.append(row["block"])
+        held += row["cost"]
+        if k + 1 == len(sums) or held + sums[k + 1]["cost"] > block_words:
+            some = blocks.where(F.col("block").isin(group)).select(item_key, "text").collect()
+            yield Block([tuple(x) for x in some])
+            group, held = [], 0
+
+
+def leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    item_key: str = "item_id",
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """Documents with the items that leak into them: key, item key, item_words, covered, coverage."""
+    spark, source = docs.sparkSession, texts(docs, key)
     kinds = [source.schema[key].dataType, benchmark.schema[item_key].dataType]
     schema = (
         f"{key} {kinds[0].simpleString()}, {item_key} {kinds[1].simpleString()}, "
         "item_words long, covered long, coverage double"
     )
-    out: DataFrame | None = None
-    group: list[tuple[int, int]] = []
-    held = 0
-    pending = sorted(sums.itertuples(index=False))
-    for k, row in enumerate(pending):
-        group.append((int(row.part), int(row.block)))
-        held += int(row.cost)
-        last = k + 1 == len(pending)
-        if last or held + int(pending[k + 1].cost) > block_words:
-            chosen = F.concat_ws(":", "part", "block").isin([f"{p}:{b}" for p, b in group])
-            some = [(r[0], r[1]) for r in blocks.where(chosen).select(item_key, "text").collect()]
-            found = _pass(source, spark.sparkContext.broadcast(Block(some)), schema, key, item_key)
-            out = found if out is None else out.union(found)
-            group, held = [], 0
+
+    def found_in(block) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [
+                (doc, item, n, covered, covered / n)
+                for doc, text in zip(*(x.to_pylist() for x in batch.columns), strict=True)
+                for item, n, covered in block.value.leaks(text)
+            ]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)],
+                [key, item_key, "item_words", "covered", "coverage"],
+            )
+
+        return map_batches(source, run, schema)
+
+    out = None
+    for block in item_blocks(benchmark, item_key, block_words):
+        found = found_in(spark.sparkContext.broadcast(block))
+        out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _pass(source: DataFrame, block, schema: str, key: str, item_key: str) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = block.value.leaks
-        rows = [
-            (doc, item, n, covered, covered / n)
-            for doc, text in zip(*(x.to_pylist() for x in batch.columns), strict=True)
-            for item, n, covered in found(text)
-        ]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)],
-            [key, item_key, "item_words", "covered", "coverage"],
-        )
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, item_key: str = "item_id", block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The rows, with all their columns, that no item leaks into."""
+
+    def clean_of(rows: DataFrame, block) -> DataFrame:
+        return filter_rows(rows, lambda text: not block.value.leaks(text or ""))
 
-    return map_batches(source, run, schema)
+    for block in item_blocks(benchmark, item_key, block_words):
+        docs = clean_of(docs, docs.sparkSession.sparkContext.broadcast(block))
+    return docs

@@ -32,7 +32,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import map_batches, texts
+from glossmill.llm.common import filter_rows, map_batches, texts
 from glossmill.session import materialise
 
 #: Labelled rows of each class that are learnt from, at most.
@@ -332,22 +332,28 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: s
     return lexicon, [*model.coefficients.toArray().tolist(), model.intercept]
 
 
+class Scorer:
+    """Scores of texts; made where the texts are."""
+
+    def __init__(self, lexicon: Lexicon, weights: list[float] | None):
+        self.lexicon, self.weights = lexicon, weights
+
+    def score(self, text: str) -> float:
+        if self.weights is None:
+            return 0.0
+        *factors, z = self.weights
+        z += sum(a * b for a, b in zip(self.lexicon.features(text), factors, strict=True))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+
+
 def score(
     docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id"
 ) -> DataFrame:
     """key, held_out, score, predicted of every row."""
-    lexicon, weights = learn(docs, labels, per_class, key)
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, weights))
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(*learn(docs, labels, per_class, key)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, factors = shared.value
-        scores = []
-        for text in batch.column(1).to_pylist():
-            if factors is None:
-                scores.append(0.0)
-                continue
-            z = sum(a * b for a, b in zip(words.features(text), factors, strict=False)) + factors[-1]
-            scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
+        scores = list(map(shared.value.score, batch.column(1).to_pylist()))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [key, "score"])
 
     source = texts(docs, key)
@@ -359,3 +365,15 @@ def score(
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id"
+) -> DataFrame:
+    """The rows, with all their columns, whose score is below one half."""
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(*learn(docs, labels, per_class, key)))
+
+    def keeps(text: str | None) -> bool:
+        return shared.value.score(text or "") < 0.5
+
+    return filter_rows(docs, keeps)
