@@ -3,10 +3,9 @@
 1. Each task sums the pre-tokens of its texts; a grouped sum makes them the distinct
    pre-tokens of the corpus with their frequencies.
 2. The tokenizer counts the pieces of each distinct pre-token, once.
-3. Pre-tokens that make up at least 1 / ``FREQUENT`` of all occurrences are at most
-   ``FREQUENT`` many, whatever the corpus: they reach every task. The frequencies of
-   the others, per document, are joined on the pre-token. No pre-token of that join is
-   a hot key, as hot ones are frequent.
+3. The ``FREQUENT`` most frequent pre-tokens, a bounded table whatever the corpus,
+   reach every task. The frequencies of the others, per document, are joined on the
+   pre-token; each is less than 1 / ``FREQUENT`` of all, so none is a hot key.
 4. A document's count is the sum of frequency times pieces; ids never exist.
 
 The special token's string in a text is one token and parts the text, as the library
@@ -21,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ from glossmill.llm.pretokens import UnitCache, pattern, units
 from glossmill.session import materialise
 
 #: Bound on the pre-tokens that reach every task.
-FREQUENT = 50_000
+FREQUENT = 250_000
 #: Units a task adds up before it hands them on.
 TASK_UNITS = 300_000
 
@@ -100,15 +100,30 @@ def pieces_of(tokens: DataFrame, path: str) -> DataFrame:
     return map_batches(tokens, run, "token string, n long, pieces long")
 
 
+def common_pieces(known: DataFrame, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """The most frequent pre-tokens, ``frequent`` at most, and the others: token, pieces.
+
+    A histogram of the frequencies gives the least one that keeps within the bound.
+    """
+    bucket = F.floor(F.log2("n") * 8).cast("int")
+    sizes = known.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("tokens")).collect()
+    held, least = 0, None
+    for row in sorted(sizes, reverse=True):
+        held += row["tokens"]
+        if held > frequent:
+            break
+        least = row["bucket"]
+    inside = F.lit(False) if least is None else bucket >= least
+    return known.where(inside).select("token", "pieces"), known.where(~inside).select("token", "pieces")
+
+
 def count_tokens(
     docs: DataFrame, path: str, key: str = "doc_id", frequent: int = FREQUENT
 ) -> DataFrame:
     """Tokens of every text: key, n_bytes, n_tokens."""
     spark = docs.sparkSession
     known = materialise(pieces_of(pretoken_frequencies(docs, path), path))
-    total = known.agg(F.sum("n")).first()[0] or 0
-    bound = -(-total // frequent)
-    common = known.where(F.col("n") >= F.lit(bound)).select("token", "pieces")
+    common, others = common_pieces(known, frequent)
     shared = spark.sparkContext.broadcast(dict(common.toPandas().itertuples(index=False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +140,11 @@ def count_tokens(
             return base, tuple(rare)
 
         cache = UnitCache(resolve)
-        row = 0
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, sizes, tokens, counts, rows = [], [], [], [], []
+            ids, sizes, rows, tokens, counts = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                base, rest = 0, Counter()
+                rest: Counter = Counter()
                 between, base = parts(text, marks)
                 for part in between:
                     for unit, n in Counter(units(part)).items():
@@ -137,34 +152,39 @@ def count_tokens(
                         base += n * sure
                         for token in rare:
                             rest[token] += n
-                # the first row carries what is settled; no pre-token mixes \0 and digits
-                ids += [doc] * (len(rest) + 1)
-                rows += [row] * (len(rest) + 1)
-                sizes += [len(text.encode())] * (len(rest) + 1)
-                tokens += [f"\0{doc}", *rest]
-                counts += [base, *rest.values()]
+                # a first row of what is settled; no pre-token mixes \0 and digits
+                ids.append(doc)
+                ids.extend([None] * len(rest))
+                sizes.append(len(text.encode()))
+                sizes.extend([None] * len(rest))
+                rows.extend([row] * (len(rest) + 1))
+                tokens.append(f"\0{row}")
+                tokens.extend(rest)
+                counts.append(base)
+                counts.extend(rest.values())
                 row += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, batch.column(0).type),
-                    pa.array(rows, pa.int64()),
                     pa.array(sizes, pa.int64()),
+                    pa.array(rows, pa.int64()),
                     pa.array(tokens, pa.string()),
                     pa.array(counts, pa.int64()),
                 ],
-                [key, "row", "n_bytes", "token", "count"],
+                [key, "n_bytes", "row", "token", "count"],
             )
 
     source = texts(docs, key)
     kind = source.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, row long, n_bytes long, token string, count long"
-    per_document = source.mapInArrow(run, schema).withColumn("part", F.spark_partition_id())
+    schema = f"{key} {kind}, n_bytes long, row long, token string, count long"
     # settled counts join nothing and count as they are
-    joined = per_document.join(
-        known.where(F.col("n") < F.lit(bound)).select("token", "pieces"), "token", "left"
-    )
+    joined = source.mapInArrow(run, schema).join(others, "token", "left")
     return (
-        joined.groupBy(key, "part", "row", "n_bytes")
-        .agg(F.sum(F.col("count") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
+        joined.groupBy("row")
+        .agg(
+            F.max(key).alias(key),
+            F.max("n_bytes").alias("n_bytes"),
+            F.sum(F.col("count") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"),
+        )
         .select(key, "n_bytes", "n_tokens")
     )
