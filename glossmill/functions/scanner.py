@@ -3,7 +3,8 @@
 The only parser-like Python of the package, called on Arrow batches. Strings,
 comments, templates and patterns are blanked first; declarations are then found with
 searches over the blanked text and a table of matching brackets. It knows no
-grammar beyond that. Text whose brackets do not match yields nothing.
+grammar beyond that. Brackets that do not match are left out of the table, and
+so are declarations that need them; the others are found.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ _OPAQUE = re.compile(
     r'|"[^"\\\n]*(?:\\.[^"\\\n]*)*"'
     r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
     r"|`"
-    rf"|(?:[=(,:;!&|?{{\[+\-*%~^<>]|\b(?:{_BEFORE_VALUE})\b)\s*"
+    rf"|(?:[=(,:;!&|?{{\[+\-*%~^<>]|(?P<behind>\))|\b(?:{_BEFORE_VALUE})\b)\s*"
     r"(?P<pattern>/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*)",
     re.S,
 )
@@ -34,15 +35,22 @@ _PAIRS = {")": "(", "]": "[", "}": "{"}
 _FUNCTION = re.compile(
     r"(?<![.\w$])function\b\s*+\*?\s*+(?P<name>[\w$]*+)\s*+(?=[<(])"
 )
-_BEFORE_FUNCTION = re.compile(r"(?:\b(?:export|default|async|declare)\s++)+$")
-_METHOD = re.compile(
-    r"(?<=[{};,\n])[^\S\n]*+(?P<first>(?:(?:public|private|protected|static|async|abstract|readonly"
-    r"|override|declare)\s++(?=[\w$#\"*]))*+)\*?[^\S\n]*+(?P<name>#?[\w$]++|\"++)\s*+[?!]?\s*+(?=[<(])"
+_BEFORE_FUNCTION = frozenset("export default async declare".split())
+_METHOD_HEAD = (
+    r"[^\S\n]*+(?P<first>(?:(?:public|private|protected|static|async|abstract|readonly"
+    r"|override|declare)\s++(?=[\w$#\"*]))*+)\*?[^\S\n]*+(?:(?P<name>#?[\w$]++|\"++)\s*+[?!]?\s*+(?=[<(])|(?P<computed>\[))"
 )
-_NO_METHOD = frozenset(
-    "if for while switch catch with function return typeof new await super constructor "
+_METHOD = re.compile(rf"(?<=[{{}};,\n]){_METHOD_HEAD}")
+_DECORATED = re.compile(r"@[\w$.]++")
+_BEHIND_DECORATOR = re.compile(_METHOD_HEAD)
+# Words that may stand before "(...) {" outside a class or an object.
+_STATEMENTS = frozenset(
+    "if for while switch catch with function return typeof new await super "
     "do else throw delete void in of instanceof yield case import".split()
 )
+_CONDITIONS = frozenset(("if", "while", "for", "with"))
+_CLASS = re.compile(r"(?<![.\w$])class\b(?=[\s{])")
+_LABEL = re.compile(r"\s*(?:case\b|default\s*:$|[\w$]+\s*:$)")
 _ENDS_CALL = frozenset((";", ".", ",", ")"))
 _TYPE_TOKEN = re.compile(r"=>|[{}()\[\];,=<>|&:]|[\w$.]+")
 _EXPECTS_TYPE = frozenset(("|", "&", "<", "=>", "is", "keyof", "typeof", ":"))
@@ -51,8 +59,8 @@ _PARAMETER_MARK = re.compile(r"=>|[<>,({\[]")
 _PARAMETER = re.compile(
     r"\s*(?:@\w+\s*)?(?:(?:public|private|protected|readonly|override)\s+(?=[\w$\[{]))*(?:\.\.\.)?\s*(?P<name>[\w$]+|[\[{])?"
 )
-_DECORATOR = re.compile(r"@[\w$.]+\s*$")
 _VALUE_EXPECTED = re.compile(rf"(?:[=(,:?&|!+\-*/%<>\[~^.]|\b(?:{_BEFORE_VALUE}))$")
+_EMPTY_BODY = re.compile(r"\{(?:\s++|/\*.*?\*/|//[^\n]*)*+\}", re.S)
 _LINE_BREAK = re.compile(r"\r\n|[\n\r\u2028\u2029]")
 
 
@@ -77,12 +85,48 @@ def _template_end(src: str, pos: int) -> int:
     return pos + 1
 
 
+def _word_before_group(text: str) -> str | None:
+    """The word in front of the brackets that end ``text``; None if ``text`` starts inside."""
+    depth = 0
+    for at in range(len(text) - 1, -1, -1):
+        depth += {")": 1, "(": -1}.get(text[at], 0)
+        if depth == 0:
+            end = _end_before(text, at)
+            start = _word_start(text, end)
+            if text[start:end] == "await":
+                end = _end_before(text, start)
+                start = _word_start(text, end)
+            return text[start:end] if start else None
+    return None
+
+
+def _closes_condition(pieces: list[str]) -> bool:
+    """True if the ``)`` that ends the pieces closes the condition of a statement."""
+    text = ""
+    for piece in reversed(pieces):
+        text = piece + text
+        if (word := _word_before_group(text)) is not None:
+            return word in _CONDITIONS
+    return (_word_before_group(" " + text) or "") in _CONDITIONS
+
+
 def _blanked(src: str) -> str:
     """``src`` with comments as blanks and other opaque text as quotes, same offsets."""
     out, pos = [], 0
     while (m := _OPAQUE.search(src, pos)) is not None:
+        if m.group("behind"):
+            # a slash behind a bracket divides, unless a statement begins there
+            out.append(src[pos : m.start() + 1])
+            pos = m.start() + 1
+            if _closes_condition(out):
+                out += [src[pos : m.start("pattern")], '"' * (m.end() - m.start("pattern"))]
+                pos = m.end()
+            continue
         start = m.start("pattern") if m.group("pattern") else m.start()
-        end = _template_end(src, start) if m.group() == "`" else m.end()
+        try:
+            end = _template_end(src, start) if m.group() == "`" else m.end()
+        except Unbalanced:
+            end = m.end()  # a stray mark opens nothing
         out.append(src[pos:start])
         if src.startswith(("//", "/*"), start):
             comment = src[start:end]
@@ -94,24 +138,43 @@ def _blanked(src: str) -> str:
     return "".join(out)
 
 
-def _partners(text: str) -> dict[int, int]:
-    """Offset of the matching bracket for every bracket."""
+def _partners(text: str) -> tuple[dict[int, int], dict[int, int]]:
+    """Offset of the matching bracket for every bracket, and the bracket around each.
+
+    A closing bracket that fits an opened one drops what was opened since; one that
+    fits none is dropped itself. An opened brace of a declaration outlives a single
+    bracket too many, so the text behind it is still read.
+    """
     partner: dict[int, int] = {}
+    around: dict[int, int] = {}
     opened: list[int] = []
+    waiting = {"(": 0, "[": 0, "{": 0}
     for m in _BRACKET.finditer(text):
         at = m.start()
         mark = text[at]
         if mark in "([{":
+            around[at] = opened[-1] if opened else -1
             opened.append(at)
-        elif opened and text[opened[-1]] == _PAIRS[mark]:
+            waiting[mark] += 1
+            continue
+        wanted = _PAIRS[mark]
+        if not waiting[wanted]:
+            continue
+        while True:
             other = opened.pop()
-            partner[other] = at
-            partner[at] = other
-        else:
-            raise Unbalanced(mark)
-    if opened:
-        raise Unbalanced("end of text")
-    return partner
+            waiting[text[other]] -= 1
+            if text[other] == wanted:
+                break
+        partner[other] = at
+        partner[at] = other
+    return partner, around
+
+
+def _word_start(text: str, end: int) -> int:
+    """Offset of the first character of the word that ends at ``end``."""
+    while end and (text[end - 1].isalnum() or text[end - 1] in "_$"):
+        end -= 1
+    return end
 
 
 def _skip_blanks(text: str, pos: int) -> int:
@@ -137,7 +200,7 @@ def _behind_generics(text: str, pos: int, partner: dict[int, int]) -> int:
         return pos
     depth = 0
     while (m := _ANGLE.search(text, pos)) is not None:
-        pos = partner[m.start()] + 1 if m.group() in "({[" else m.end()
+        pos = partner.get(m.start(), m.start()) + 1 if m.group() in "({[" else m.end()
         depth += {"<": 1, ">": -1}.get(m.group(), 0)
         if depth == 0:
             break
@@ -161,7 +224,7 @@ def _body(text: str, pos: int, partner: dict[int, int]) -> int:
             return m.start()
         if token in (";", "}", ")", "]", "=", ","):
             return -1
-        pos = partner[m.start()] + 1 if token in ("{", "(", "[") else m.end()
+        pos = partner.get(m.start(), m.start()) + 1 if token in ("{", "(", "[") else m.end()
         expects_type = token in _EXPECTS_TYPE
     return -1
 
@@ -179,7 +242,7 @@ def _parameters(src: str, text: str, opening: int, partner: dict[int, int]) -> l
             start = at + 1
         if m is None:
             return names
-        pos = partner[at] + 1 if m.group() in "({[" else m.end()
+        pos = partner.get(at, at) + 1 if m.group() in "({[" else m.end()
         depth += {"<": 1, ">": -1}.get(m.group(), 0)
 
 
@@ -191,7 +254,7 @@ def _parameter(src: str, text: str, start: int, partner: dict[int, int]) -> str:
             return _parameter(src, text, partner[behind] + 1, partner)
         return src[start : m.end()].strip()
     at = m.start("name")
-    return src[at : partner[at] + 1] if m.group("name") in "[{" else m.group("name")
+    return src[at : partner.get(at, at) + 1] if m.group("name") in "[{" else m.group("name")
 
 
 def _with_decorators(text: str, first: int, partner: dict[int, int]) -> int:
@@ -199,11 +262,18 @@ def _with_decorators(text: str, first: int, partner: dict[int, int]) -> int:
     while True:
         end = _end_before(text, first)
         if end and text[end - 1] == ")":
-            end = partner[end - 1]
-        m = _DECORATOR.search(text, max(0, end - 200), end)
-        if m is None:
+            end = partner.get(end - 1, 0)
+        start = end
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_$."):
+            start -= 1
+        if start == end or not start or text[start - 1] != "@":
             return first
-        first = m.start()
+        first = start - 1
+
+
+def _value_expected(text: str, end: int) -> bool:
+    """True if an expression, not a statement, goes on behind ``end``."""
+    return _VALUE_EXPECTED.search(text[min(_word_start(text, end), max(end - 2, 0)) : end]) is not None
 
 
 def _declares(text: str, first: int) -> bool:
@@ -211,46 +281,120 @@ def _declares(text: str, first: int) -> bool:
     end = _end_before(text, first)
     if end == 0 or text[end - 1] in ";{})":
         return True
-    before = text[max(0, end - 12) : end]
-    if before.endswith("else") or ("\n" in text[end:first]):
-        return _VALUE_EXPECTED.search(before) is None
+    if text[_word_start(text, end) : end] == "else" or "\n" in text[end:first]:
+        return not _value_expected(text, end)
     return False
 
 
-def _candidates(text: str, partner: dict[int, int]):
+def _class_bodies(text: str, partner: dict[int, int]) -> set[int]:
+    """Offsets of the braces that open class bodies."""
+    found = set()
+    for m in _CLASS.finditer(text):
+        pos, depth = m.end(), 0
+        while (mark := _ANGLE.search(text, pos)) is not None:
+            if mark.group() == "{" and depth <= 0:
+                found.add(mark.start())
+                break
+            if mark.group() in "({[":
+                if mark.start() not in partner:
+                    break
+                pos = partner[mark.start()] + 1
+            else:
+                pos = mark.end()
+            depth += {"<": 1, ">": -1}.get(mark.group(), 0)
+    return found
+
+
+def _is_object(text: str, brace: int) -> bool:
+    """True if the brace opens an object: where a value is expected, no block begins."""
+    end = _end_before(text, brace)
+    if end == 0 or text[:end].endswith("=>") or text[end - 1] in ";{})":
+        return False
+    if text[end - 1] == ":":
+        start = max(text.rfind(c, 0, end) for c in ";{}\n") + 1
+        if _LABEL.match(text, start, end) and text[start:end].lstrip().startswith(("case", "default")):
+            return False
+    return text[end - 1] in "=(,:?&|![" or text[_word_start(text, end) : end] in ("return", "default")
+
+
+def _candidates(text: str, partner: dict[int, int], around: dict[int, int]):
     """``(first, kind, name start, name end, parameter list)`` of possible declarations."""
     for m in _FUNCTION.finditer(text):
         opening = _behind_generics(text, m.end(), partner)
-        before = _BEFORE_FUNCTION.search(text, max(0, m.start() - 100), m.start())
-        first = before.start() if before else m.start()
-        named = m.group("name") or (before and "default" in before.group())
-        if named and _declares(text, first):
+        first, default = m.start(), False
+        while True:
+            end = _end_before(text, first)
+            start = _word_start(text, end)
+            if text[start:end] not in _BEFORE_FUNCTION:
+                break
+            first, default = start, default or text[start:end] == "default"
+        if (m.group("name") or default) and _declares(text, first):
             yield first, "function", *m.span("name"), opening
-    for m in _METHOD.finditer(text):
-        opening = m.end()
+    classes, brackets, kinds = _class_bodies(text, partner), sorted(around), {}
+
+    def holds_members(at: int) -> bool:
+        """True if the bracket around an offset is that of a class or an object."""
+        k = bisect_right(brackets, at - 1) - 1
+        brace = brackets[k] if k >= 0 else -1
+        while brace >= 0 and partner.get(brace, -1) < at:
+            brace = around[brace]
+        if brace < 0 or text[brace] != "{":
+            return False
+        if brace not in kinds:
+            kinds[brace] = brace in classes or _is_object(text, brace)
+        return kinds[brace]
+
+    heads = {m.start("first"): m for m in _METHOD.finditer(text)}
+    for m in _DECORATED.finditer(text):
+        pos = _end_of_decorator(text, m.end(), partner)
+        if (head := _BEHIND_DECORATOR.match(text, pos)) is not None:
+            heads.setdefault(head.start("first"), head)
+    for m in heads.values():
+        if m.group("computed"):
+            bracket = m.start("computed")
+            if bracket not in partner or not holds_members(bracket):
+                continue
+            start, stop = bracket, partner[bracket] + 1
+            opening = _skip_blanks(text, stop)
+            if opening >= len(text) or text[opening] not in "<(":
+                continue
+        else:
+            (start, stop), opening = m.span("name"), m.end()
         if text[opening] == "<":
             opening = _behind_generics(text, opening, partner)
-        elif text[partner[opening] + 1 : partner[opening] + 2] in _ENDS_CALL:
+        elif text[partner.get(opening, -2) + 1 : partner.get(opening, -2) + 2] in _ENDS_CALL:
             continue  # most matches are calls
-        if m.group("name") not in _NO_METHOD:
-            yield m.start("first"), "method", *m.span("name"), opening
+        name = text[start:stop]
+        if name == "constructor" or (name in _STATEMENTS and not holds_members(start)):
+            continue
+        yield m.start("first"), "method", start, stop, opening
+
+
+def _end_of_decorator(text: str, pos: int, partner: dict[int, int]) -> int:
+    """Offset behind a decorator's arguments, if it has any."""
+    return partner.get(pos, pos - 1) + 1 if text.startswith("(", pos) else pos
+
+
+def has_block(body: str) -> bool:
+    """True for a body with more than white space and comments between its braces."""
+    return _EMPTY_BODY.fullmatch(body) is None
 
 
 def find_functions(src: str | None) -> list[dict]:
-    """Functions and methods with a body, in text order."""
+    """Functions and methods whose body has a statement, in text order."""
     if not src:
         return []
     try:
         text = _blanked(src)
-        partner = _partners(text)
-    except (Unbalanced, RecursionError):
+    except RecursionError:
         return []
+    partner, around = _partners(text)
     found = []
-    for first, kind, name_start, name_end, opening in _candidates(text, partner):
-        if not text.startswith("(", opening):
+    for first, kind, name_start, name_end, opening in _candidates(text, partner, around):
+        if not text.startswith("(", opening) or opening not in partner:
             continue
         body = _body(text, partner[opening] + 1, partner)
-        if body >= 0:
+        if body in partner and has_block(src[body : partner[body] + 1]):
             found.append((first, kind, src[name_start:name_end], opening, body))
     if not found:
         return []

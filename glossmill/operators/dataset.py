@@ -66,7 +66,7 @@ def capped(entries: DataFrame, n: int = N_OBSERVATIONS) -> DataFrame:
     select the entries; they are few enough to broadcast up to the checked bound.
     """
     position = ["id", "line", "character"]
-    ranked = dense_ids(entries.select(*position), *position, out="_rank")
+    ranked = dense_ids(entries.select(*position), *position, out="_rank", kind="long")
     first = ranked.filter(F.col("_rank") < n).drop("_rank")
     return entries.join(F.broadcast(first) if n <= MAX_BROADCAST_ROWS else first, position, "left_semi")
 

@@ -15,6 +15,10 @@ MIN_COUNT = 3
 WINDOW = 7
 EPOCHS = 5
 SEED = 1
+#: Parts of a training round; fixed, so that vectors do not depend on the cluster.
+PARTITIONS = 8
+#: Longer than any text, so that no window is cut inside one.
+MAX_SENTENCE = 2**31 - 1
 
 #: The trainer keeps ``vocabulary x dimensions`` floats on the driver.
 MAX_WEIGHTS = 500_000_000
@@ -28,7 +32,7 @@ def train_word_vectors(
     window: int = WINDOW,
     epochs: int = EPOCHS,
     seed: int = SEED,
-    partitions: int | None = None,
+    partitions: int = PARTITIONS,
 ) -> DataFrame:
     """``word, vector`` (array of floats) by skip-gram training.
 
@@ -47,7 +51,8 @@ def train_word_vectors(
         windowSize=window,
         maxIter=epochs,
         seed=seed,
-        numPartitions=partitions or sentences.sparkSession.sparkContext.defaultParallelism,
+        numPartitions=partitions,
+        maxSentenceLength=MAX_SENTENCE,
         inputCol="tokens",
         outputCol="v",
     ).fit(sentences)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -37,11 +37,6 @@ def functions_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([find_functions(s.as_py()) for s in content], type=rows)
 
 
-def has_block(body: Column) -> Column:
-    """True for a body with at least one statement."""
-    return ~body.rlike(r"^\{(?:\s+|/\*(?s:.*?)\*/|//[^\n]*)*+\}$")
-
-
 def extract_functions(files: DataFrame, content: str = "content") -> DataFrame:
     """One row per function next to the other columns of the file.
 
@@ -52,7 +47,6 @@ def extract_functions(files: DataFrame, content: str = "content") -> DataFrame:
     return (
         files.filter(F.col(content).contains("(") & F.col(content).contains("{"))
         .select(*keep, F.explode(functions_of(F.col(content))).alias("f"))
-        .filter(has_block(F.col("f.body")))
         .select(*keep, "f.*")
     )
 
@@ -65,14 +59,18 @@ def with_structure(found: DataFrame) -> DataFrame:
 
 
 class _FunctionsTable:
-    """Rows of one source text for the SQL table function."""
+    """Rows of one source text for the SQL table function.
+
+    Table functions over whole Arrow batches cannot stand in a lateral join; this one
+    is called by text, and its rows still travel as Arrow batches.
+    """
 
-    def eval(self, content: str):
+    def eval(self, content: str) -> Iterator[tuple]:
         for f in find_functions(content):
             yield tuple(f[c] for c in FUNCTION_TYPE.names)
 
 
 def register_sql(spark: SparkSession, name: str = "functions_of") -> None:
     """Register the SQL surface: ``LATERAL <name>(content)`` and ``<name>_array(content)``."""
-    spark.udtf.register(name, F.udtf(_FunctionsTable, returnType=FUNCTION_TYPE))
+    spark.udtf.register(name, F.udtf(_FunctionsTable, returnType=FUNCTION_TYPE, useArrow=True))
     spark.udf.register(f"{name}_array", functions_of)

@@ -74,6 +74,8 @@ def build_subwords(
     counted = None
     for low, high in zip(PASSES, (*(p - 1 for p in PASSES[1:]), max_piece)):
         high = min(high, max_piece)
+        if low > high:
+            break
         least = best[-1][1] if best and len(best) >= room else 1
         frequent = F.col("n") >= least
         inner = counted and counted.filter(frequent & (F.length("piece") == low - 1))
@@ -161,12 +163,17 @@ def decode_subwords(vocab: DataFrame, ids: Column, bound: int = 100_000) -> Colu
     return decode(ids)
 
 
+def first_free_id(vocab: DataFrame) -> int:
+    """The id behind the pieces and the 256 bytes that stand for unknown characters."""
+    return (vocab.agg(F.max("id")).first()[0] or 0) + 257
+
+
 def training_sequences(
     rows: DataFrame, ids: str, vocab_size: int, limit: int, prefix: str = ""
 ) -> DataFrame:
     """Add the fixed-length ``inputs`` and ``targets`` of a trainer to ``rows``.
 
-    Start and end ids follow the vocabulary; inputs are padded with the end id,
+    ``vocab_size`` is the first free id (``first_free_id``). Start and end ids follow the vocabulary; inputs are padded with the end id,
     targets run one step ahead.
     """
     start, end = vocab_size, vocab_size + 1

@@ -28,7 +28,9 @@ def word_counts(rows: DataFrame, tokens: Column | str, min_count: int = 1) -> Da
     return counts if min_count <= 1 else counts.filter(F.col("n") >= min_count)
 
 
-def dense_ids(rows: DataFrame, *order: Column | str, first: int = 0, out: str = "id") -> DataFrame:
+def dense_ids(
+    rows: DataFrame, *order: Column | str, first: int = 0, out: str = "id", kind: str = "int"
+) -> DataFrame:
     """Consecutive ids in a global order without a single-task window.
 
     The range-sorted rows are written once; a row's id is the number of rows in
@@ -45,7 +47,7 @@ def dense_ids(rows: DataFrame, *order: Column | str, first: int = 0, out: str =
     )
     position = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.join(F.broadcast(offsets), "_part").select(
-        *rows.columns, (F.col("_offset") + position + first).cast("int").alias(out)
+        *rows.columns, (F.col("_offset") + position + first).cast(kind).alias(out)
     )
 
 

@@ -20,17 +20,21 @@ from glossmill.sources.readers import FUNCTION_SCHEMA, read_table, spread
 # --- SQL forms of the column functions --------------------------------------
 
 
+def sql_text(pattern: str) -> str:
+    """A pattern as an SQL literal."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 def sql_strip_markup(c: str) -> str:
-    out = f"regexp_replace({c}, '(?s)<!--.*?-->', '', 'g')"
-    for _ in range(C.MARKUP_LEVELS):
-        out = f"regexp_replace({out}, '<(?:[^\\s<>][^<>]*)?>', '', 'g')"
-    return out
+    """Remove tags as often as the text has marks, whatever their depth."""
+    first = f"regexp_replace({c}, {sql_text(C.HTML_COMMENT)}, '', 'g')"
+    marks = f"list_transform(range(length({c}) - length(replace({c}, '<', ''))), lambda i: '')"
+    once = f"regexp_replace(x, {sql_text(C.HTML_TAG)}, '', 'g')"
+    return f"list_reduce(list_prepend({first}, {marks}), lambda x, y: CASE WHEN contains(x, '<') THEN {once} ELSE x END)"
 
 
 def sql_strip_fences(c: str) -> str:
-    return (
-        f"regexp_replace({c}, '(^|\\r?\\n)[ \\t]*\\*[ \\t]*```(?s:.+)\\r?\\n[ \\t]*\\*[ \\t]*```', '', 'g')"
-    )
+    return f"regexp_replace({c}, {sql_text(C.FENCED_EXAMPLE)}, '', 'g')"
 
 
 def sql_strip_tag_lines(c: str) -> str:

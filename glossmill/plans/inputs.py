@@ -278,20 +278,28 @@ def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def length_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Processed entries: whole texts as comments, page structures as trees."""
+    """Processed entries: whole texts as comments, page structures as trees.
+
+    Every fiftieth document has a second entry, of a negative id, without a comment.
+    """
     docs = read_table(spark, sf_dir, "documents")
     pages = read_table(spark, sf_dir, "pages")
     n_pages = pages.agg(F.count(F.lit(1))).scalar()
     ast = spread(pages).select("page_id", markup_structure(F.col("html")).alias("ast"))
+    own = docs.select("doc_id", F.col("doc_id").alias("id"), "source", F.col("text").alias("comments"))
+    blank = docs.where(F.col("doc_id") % 50 == 0).select(
+        "doc_id", (-1 - F.col("doc_id")).alias("id"), "source", F.lit("").alias("comments")
+    )
     return (
-        docs.withColumn("page_id", F.col("doc_id") % n_pages)
+        own.unionByName(blank)
+        .withColumn("page_id", F.col("doc_id") % n_pages)
         .join(ast, "page_id")
         .select(
-            F.col("doc_id").alias("id"),
+            "id",
             F.lit(0).alias("line"),
             F.lit(0).alias("character"),
             "source",
-            F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.col("text")).alias("comments"),
+            "comments",
             "ast",
         )
     )

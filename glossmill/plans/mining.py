@@ -39,9 +39,9 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLICKS = "type = 'click' AND repo_id IS NOT NULL"
-PROFILE = f"""SELECT repo_id, count(DISTINCT actor_id) AS stars, max(created_at) AS last_star_date,
-  min(created_at) AS first_star_date, list_sort(array_agg(DISTINCT repo_name)) AS repo_names
-FROM watch_log WHERE {CLICKS} GROUP BY 1"""
+PROFILE = f"""SELECT g.repo_id, list_sort(list_distinct(list(g.repo_name))) AS repo_names,
+  len(list_distinct(list(g.actor_id)))::BIGINT AS stars, min(g.created_at) AS first_star_date,
+  max(g.created_at) AS last_star_date FROM watch_log g WHERE {CLICKS} GROUP BY ALL"""
 
 
 # --- scans -----------------------------------------------------------------
@@ -93,9 +93,9 @@ def alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RANKED = with_inputs(
     "watch_log",
-    f"""SELECT repo_id, stars, repo_name, {sql_stamp('last_star_date')},
-  row_number() OVER (PARTITION BY repo_name ORDER BY last_star_date DESC, repo_id DESC) AS rn
-FROM (SELECT *, unnest(repo_names) AS repo_name FROM profile)""",
+    f"""SELECT repo_id, stars, n.repo_name, {sql_stamp('last_star_date')}, rank() OVER latest AS rn
+FROM profile, unnest(repo_names) AS n(repo_name)
+WINDOW latest AS (PARTITION BY n.repo_name ORDER BY last_star_date DESC, repo_id DESC)""",
     profile=PROFILE,
 )
 
@@ -523,8 +523,7 @@ def lateral_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         """SELECT f.doc_id, bigint(m.line) AS line, bigint(m.character) AS character,
              m.comments, m.text
-           FROM {files} f, LATERAL glossmill_functions_of(f.content) m
-           WHERE m.body <> '{{}}'""",
+           FROM {files} f, LATERAL glossmill_functions_of(f.content) m""",
         files=files,
     )
 
@@ -535,7 +534,6 @@ def array_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_sql(spark, "glossmill_functions_of")
     return spark.sql(
         """SELECT doc_id, f.name, f.kind, f.comments FROM (
-             SELECT doc_id, explode(glossmill_functions_of_array(content)) AS f FROM {files})
-           WHERE f.body <> '{{}}'""",
+             SELECT doc_id, explode(glossmill_functions_of_array(content)) AS f FROM {files})""",
         files=inputs.source_files(spark, sf_dir),
     )

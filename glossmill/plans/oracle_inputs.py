@@ -60,16 +60,13 @@ FROM (SELECT *, event_id % 60 AS k FROM events)""",
     ),
     "stars_table": (
         ("watch_log",),
-        """SELECT repo_id, stars, repo_name, last_star_date, first_star_date FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo_name
-      ORDER BY last_star_date DESC, repo_id DESC) AS rn
-  FROM (SELECT repo_id, stars, last_star_date, first_star_date,
-               unnest(repo_names) AS repo_name
-        FROM (SELECT repo_id, count(DISTINCT actor_id) AS stars,
-                     max(created_at) AS last_star_date, min(created_at) AS first_star_date,
-                     array_agg(DISTINCT repo_name) AS repo_names
-              FROM watch_log WHERE type = 'click' AND repo_id IS NOT NULL GROUP BY 1)))
-WHERE rn = 1 AND repo_name LIKE '%/%'""",
+        """WITH clicked AS (SELECT * FROM watch_log WHERE type = 'click' AND repo_id IS NOT NULL),
+numbers AS (SELECT repo_id, count(DISTINCT actor_id) AS stars, min(created_at) AS first_star_date,
+    max(created_at) AS last_star_date FROM clicked GROUP BY ALL),
+owners AS (SELECT repo_name, arg_max(repo_id, (last_star_date, repo_id)) AS repo_id
+  FROM (SELECT DISTINCT repo_name, repo_id FROM clicked WHERE contains(repo_name, '/')) n
+  JOIN numbers USING (repo_id) GROUP BY ALL)
+SELECT repo_id, stars, repo_name, last_star_date, first_star_date FROM owners JOIN numbers USING (repo_id)""",
     ),
     "contents": (
         (),
@@ -129,9 +126,9 @@ JOIN documents d ON d.doc_id = e.doc_id""",
     ),
     "length_mix": (
         (),
-        f"""SELECT doc_id AS id, 0 AS line, 0 AS "character", source,
-  CASE WHEN doc_id % 50 = 0 THEN '' ELSE text END AS comments, ast
-FROM documents d JOIN (SELECT page_id, {markup_structure()} AS ast FROM pages) p
+        f"""SELECT d.id, 0 AS line, 0 AS "character", source, comments, ast
+FROM (SELECT doc_id, doc_id AS id, source, text AS comments FROM documents
+  UNION ALL SELECT doc_id, -1 - doc_id, source, '' FROM documents WHERE doc_id % 50 = 0) d JOIN (SELECT page_id, {markup_structure()} AS ast FROM pages) p
   ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)""",
     ),
 }

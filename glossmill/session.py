@@ -33,13 +33,15 @@ def local_session(cores: int | str = "*", app: str = "glossmill") -> SparkSessio
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the cluster; fall back to a local one.
 
-    The fallback only applies where ``spark.checkpoint.dir`` is unset, that is in
-    tests and on a single machine.
+    The fallback only applies where ``spark.checkpoint.dir`` is unset on a single
+    machine; on a cluster other machines would not see a local folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="glossmill-checkpoint-"))
 
 
