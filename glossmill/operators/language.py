@@ -13,6 +13,9 @@ from glossmill.session import fits_broadcast, materialise
 #: Largest profile that is sent to every task.
 MAX_TRIGRAMS = 500_000
 
+#: Log-probabilities are summed as whole numbers of this part, so sums do not depend on order.
+UNIT = 1 << 20
+
 TRIGRAMS = r"(?s)(?=(.{3}))"
 
 
@@ -23,11 +26,14 @@ def trigrams(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class LanguageProfile:
-    """``scores`` holds one log-probability column per language; ``unseen`` its default."""
+    """``scores`` holds one log-probability column per language; ``unseen`` its default.
+
+    Both are in units of 1 / ``UNIT``.
+    """
 
     langs: tuple[str, ...]
     scores: DataFrame
-    unseen: dict[str, float]
+    unseen: dict[str, int]
 
 
 def fit_language_profile(
@@ -49,16 +55,20 @@ def fit_language_profile(
     ).first()
     size = {x: float((totals[f"n_{x}"] or 0) + totals["v"]) for x in langs}
     scores = counts.select(
-        "trigram", *[F.log((F.col(f"n_{x}") + 1) / F.lit(size[x])).alias(f"s_{x}") for x in langs]
+        "trigram",
+        *[
+            F.round(F.log((F.col(f"n_{x}") + 1) / F.lit(size[x])) * UNIT).cast("long").alias(f"s_{x}")
+            for x in langs
+        ],
     )
-    unseen = {x: -log(size[x]) if size[x] else 0.0 for x in langs}
+    unseen = {x: -round(log(size[x]) * UNIT) if size[x] else 0 for x in langs}
     return LanguageProfile(langs, scores, unseen)
 
 
 def identify_language(
     rows: DataFrame, key: str, text: Column | str, profile: LanguageProfile
 ) -> DataFrame:
-    """``key, label`` of the most probable language.
+    """``key, label`` of the most probable language; NULL for a text without a trigram.
 
     A profile of checked size is joined inside the task that reads the text, and a
     text's trigrams are summed there before the shuffle by key. A larger profile is
@@ -73,11 +83,17 @@ def identify_language(
         scored = counted.join(profile.scores, "trigram", "left")
     sums = scored.groupBy(key).agg(
         *[
-            F.sum(F.col("_k") * F.coalesce(f"s_{x}", F.lit(profile.unseen[x]))).alias(f"s_{x}")
+            F.sum(
+                F.when(
+                    F.col("trigram").isNotNull(),
+                    F.col("_k") * F.coalesce(f"s_{x}", F.lit(profile.unseen[x])),
+                )
+            ).alias(f"s_{x}")
             for x in profile.langs
         ]
     )
+    known = F.coalesce(*[F.col(f"s_{x}") for x in profile.langs]).isNotNull()
     best = F.array_max(
         F.array(*[F.struct(F.col(f"s_{x}").alias("s"), F.lit(x).alias("x")) for x in profile.langs])
     )
-    return sums.select(key, best["x"].alias("label"))
+    return sums.select(key, F.when(known, best["x"]).alias("label"))

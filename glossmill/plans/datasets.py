@@ -234,18 +234,26 @@ def random_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- language ------------------------------------------------------------------------
 
-_TRIGRAMS = """docs AS (SELECT doc_id, lang, lower(text) AS t FROM documents),
-grams AS (SELECT doc_id, lang, substr(t, i, 3) AS trigram
-  FROM (SELECT doc_id, lang, t, unnest(range(1, greatest(length(t) - 1, 1))) AS i FROM docs)),
-per_doc AS (SELECT doc_id, lang, trigram, count(*) AS k FROM grams GROUP BY 1, 2, 3),
+def sql_languages(fitted: str = "true") -> str:
+    """CTEs up to ``labels_found``, fitted on the documents with ``fitted``."""
+    return f"""docs AS (SELECT doc_id, lang, lower(text) AS t, {fitted} AS fitted FROM documents),
+grams AS (SELECT doc_id, lang, fitted, substr(t, i, 3) AS trigram
+  FROM (SELECT *, unnest(range(1, greatest(length(t) - 1, 1))) AS i FROM docs)),
+per_doc AS (SELECT doc_id, lang, fitted, trigram, count(*) AS k FROM grams GROUP BY ALL),
+langs AS (SELECT unnest(['en', 'de', 'fr', 'es']) AS lang),
 counts AS (SELECT trigram, l.lang, coalesce(sum(k) FILTER (WHERE p.lang = l.lang), 0) AS n
-  FROM per_doc p, (SELECT unnest(['en', 'de', 'fr', 'es']) AS lang) l GROUP BY 1, 2),
-totals AS (SELECT lang, sum(n) + count(*) AS total FROM counts GROUP BY 1),
-scores AS (SELECT trigram, lang, ln((n + 1) / total::DOUBLE) AS s FROM counts JOIN totals USING (lang)),
-sums AS (SELECT p.doc_id, s.lang, sum(k * s) AS s FROM per_doc p JOIN scores s USING (trigram) GROUP BY 1, 2),
-labels_found AS (SELECT d.doc_id, coalesce(arg_max(s.lang, s.s),
-    (SELECT max_by(lang, total * -1) FROM totals)) AS label
-  FROM documents d LEFT JOIN sums s USING (doc_id) GROUP BY 1)"""
+  FROM per_doc p, langs l WHERE fitted GROUP BY ALL),
+totals AS (SELECT lang, (sum(n) + count(*))::DOUBLE AS total FROM counts GROUP BY ALL),
+scores AS (SELECT trigram, lang, round(ln((n + 1) / total) * {language.UNIT})::BIGINT AS s
+  FROM counts JOIN totals USING (lang)),
+sums AS (SELECT doc_id, t.lang, sum(k * coalesce(s, -round(ln(total) * {language.UNIT})::BIGINT)) AS s
+  FROM per_doc p CROSS JOIN totals t LEFT JOIN scores c ON c.trigram = p.trigram AND c.lang = t.lang
+  GROUP BY ALL),
+labels_found AS (SELECT d.doc_id, arg_max(s.lang, (s.s, s.lang)) AS label
+  FROM documents d LEFT JOIN sums s USING (doc_id) GROUP BY ALL)"""
+
+
+_TRIGRAMS = sql_languages()
 
 
 def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +267,29 @@ def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_labels(spark, sf_dir)
 
 
+@query(
+    "r4_language_held_out",
+    f"""WITH {sql_languages("doc_id % 5 <> 0")} SELECT lang, count(*) AS n,
+  count(*) FILTER (WHERE label = lang) AS n_right
+FROM documents JOIN labels_found USING (doc_id) WHERE doc_id % 5 = 0 GROUP BY ALL""",
+)
+def identified_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy on every fifth document of a profile fitted on the others."""
+    docs = inputs.texts(spark, sf_dir)
+    held = F.col("doc_id") % 5 == 0
+    profile = language.fit_language_profile(docs.where(~held), "text", "lang", inputs.LANGS)
+    labels = language.identify_language(docs.where(held), "doc_id", "text", profile)
+    return (
+        docs.where(held)
+        .select("doc_id", "lang")
+        .join(labels, "doc_id")
+        .groupBy("lang")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("lang")).alias("n_right")
+        )
+    )
+
+
 @query(
     "f7_language_filter",
     f"""WITH {_TRIGRAMS} SELECT doc_id, CASE WHEN label = 'en' THEN text ELSE '' END AS kept

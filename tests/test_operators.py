@@ -170,6 +170,14 @@ def test_training_sequences(spark):
 # --- language, vectors -------------------------------------------------------------
 
 
+def test_texts_without_a_trigram_have_no_language(spark):
+    rows = [(1, "aaaa", "en"), (2, "bbbb", "de"), (3, "", "en"), (4, None, "de"), (5, "ab", "de"), (6, "xyzw", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profile = language.fit_language_profile(docs.where("doc_id < 3"), "text", "lang", ("en", "de"))
+    found = {r.doc_id: r.label for r in language.identify_language(docs, "doc_id", "text", profile).collect()}
+    assert found == {1: "en", 2: "de", 3: None, 4: None, 5: None, 6: "en"}
+
+
 def test_language_holdout(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     train, test = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
