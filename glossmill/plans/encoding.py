@@ -292,6 +292,87 @@ def encode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- training tensors, both sides -----------------------------------------------------
+
+SIDES = {"ast": AST_LIMIT, "comments": COMMENT_LIMIT}
+_PATTERN = r"([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+)"
+
+
+def sql_side(side: str) -> dict[str, str]:
+    """CTEs from the entries' column to ``<side>_bounded``: ids between start and end."""
+    longest, size = subwords.MAX_PIECE, subwords.TARGET_SIZE
+    w, s = f"{side}_words", f"{side}_steps"
+    runs = f"regexp_extract_all({side}, '{_PATTERN}', 1)"
+    return {
+        w: f"SELECT word, count(*) AS n FROM (SELECT unnest({runs}) AS word FROM length_mix) GROUP BY ALL",
+        f"{side}_pieces": f"""SELECT substr(word, i, l) AS piece, sum(n)::BIGINT AS n
+FROM (SELECT *, unnest(range(1, least({longest}, length(word) - i + 1) + 1)) AS l
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM {w})) GROUP BY ALL""",
+        f"{side}_ids": f"""SELECT piece, row_number() OVER (ORDER BY n DESC, piece) AS id FROM {side}_pieces
+WHERE length(piece) = 1 OR piece IN (SELECT piece FROM {side}_pieces WHERE length(piece) > 1
+  ORDER BY n DESC, piece LIMIT greatest(0, {size} - (SELECT count(*) FROM {side}_pieces WHERE length(piece) = 1)))""",
+        s: f"""SELECT word, 1 AS place, 0 AS step, NULL::BIGINT AS id FROM {w}
+UNION ALL SELECT word, place + width, step + 1, id FROM (
+  SELECT x.word, x.place, x.step, length(p.piece) AS width, p.id
+  FROM (SELECT word, place, step, unnest(range(1, least({longest}, length(word) - place + 1) + 1)) AS l
+    FROM {s} WHERE place <= length(word)) x JOIN {side}_ids p ON p.piece = substr(x.word, x.place, x.l)
+  QUALIFY row_number() OVER (PARTITION BY x.word, x.place ORDER BY x.l DESC) = 1)""",
+        f"{side}_coded": f"SELECT word, list(id ORDER BY step) AS ids FROM {s} WHERE step > 0 GROUP BY ALL",
+        f"{side}_bounded": f"""SELECT id, list_concat([base], coalesce(ids, []), [base + 1]) AS ids, base + 1 AS fill
+FROM length_mix CROSS JOIN (SELECT max(id) + 257 AS base FROM {side}_ids)
+LEFT JOIN (SELECT r.id, flatten(list(c.ids ORDER BY i)) AS ids FROM (
+    SELECT id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT id, {runs} AS ws FROM length_mix)) r
+  JOIN {side}_coded c USING (word) GROUP BY ALL) e USING (id)""",
+    }
+
+
+def sql_tensors(value: str) -> str:
+    """``id`` and one blank-joined column per side; ``value`` gives element i of n."""
+    columns = ", ".join(
+        f"""array_to_string(list_transform(range(1, {limit} + 1), lambda i: coalesce(({
+            value.format(t=side, limit=limit)})::VARCHAR, '')), ' ') AS {side}"""
+        for side, limit in SIDES.items()
+    )
+    ctes = {name: sql for side in SIDES for name, sql in sql_side(side).items()}
+    body = f"SELECT id, {columns} FROM ast_bounded AS ast JOIN comments_bounded AS comments USING (id)"
+    return with_inputs("length_mix", body, **ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def tensors(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Fixed-length sequences of structure and comment subwords, each with its own vocabulary."""
+    entries = materialise(inputs.length_mix(spark, sf_dir).select("id", *SIDES))
+    for side, limit in SIDES.items():
+        vocab = materialise(subwords.build_subwords(entries.select(side), side))
+        coded = entries.withColumn("_ids", subwords.encode_subwords(vocab, F.col(side)))
+        first = subwords.first_free_id(vocab)
+        entries = subwords.training_sequences(coded, "_ids", first, limit, f"{side}_").drop("_ids")
+
+    def listed(side: str) -> Column:
+        values = F.transform(f"{side}_{kind}", lambda x: F.coalesce(x.cast("string"), F.lit("")))
+        return F.array_join(values, " ").alias(side)
+
+    return entries.select("id", *map(listed, SIDES))
+
+
+@query(
+    "q8_training_inputs",
+    sql_tensors("CASE WHEN i <= len({t}.ids) THEN {t}.ids[i] ELSE {t}.fill END"),
+)
+def training_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensors(spark, sf_dir, "inputs")
+
+
+@query(
+    "q9_training_targets",
+    sql_tensors(
+        "CASE WHEN i < least(len({t}.ids), {limit}) THEN {t}.ids[i + 1] "
+        "WHEN i = {limit} AND len({t}.ids) > {limit} THEN NULL ELSE {t}.fill END"
+    ),
+)
+def training_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensors(spark, sf_dir, "targets")
+
+
 # --- vectors ------------------------------------------------------------------------------
 
 
