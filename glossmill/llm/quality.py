@@ -4,9 +4,9 @@ Every rule scores texts, higher is worse, and rejects from a cutoff on. Labelled
 that pass the base rules are the holdout. In every stratum (language) and rule the
 cutoffs of a fixed grid are tested from the mildest to the strictest: a cutoff is safe
 if the exact binomial probability of seeing so few good rows rejected, were the true
-rate ``RISK`` / rules, is at most ``ERROR`` / (strata * rules). The sequence ends at the
-first cutoff that fails, so it needs no further correction, and the division corrects
-for the strata and rules (Bonferroni). With probability 1 - ``ERROR`` no stratum loses
+rate the rule's share of ``RISK``, is at most its share of ``ERROR`` / strata. The
+sequence ends at the first cutoff that fails, so it needs no further correction, and
+the shares correct for the strata and rules (weighted Bonferroni). With probability 1 - ``ERROR`` no stratum loses
 more than ``RISK`` of its good rows. Of the safe cutoffs the one that rejects the most
 bad rows per good row lost is used, the mildest among equals; without a safe one that
 helps, the rule is off in that stratum.
@@ -36,8 +36,8 @@ RISK = 0.05
 ERROR = 0.05
 #: Cutoffs of each rule from the mildest to the strictest.
 GRID = (1.0, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01)
-#: The measures that have a rule.
-RULES = ("symbols", "duplicate_lines", "repeats", "capitals", "marks")
+#: The measures that have a rule, with their shares of the risk and of the error.
+RULES = {"symbols": 0.5, "marks": 0.15, "repeats": 0.15, "duplicate_lines": 0.1, "capitals": 0.1}
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 MARKS = re.compile(rb"[!?|*=_~^\\{}@]")
 
@@ -143,11 +143,12 @@ def cutoffs(rows: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFr
     )
     counts = materialise(counts)
     strata = max(counts.select("stratum").distinct().count(), 1)
-    rate, level = risk / len(RULES), error / (strata * len(RULES))
 
     def choose(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         good, bad = (group[group["quality"] == q] for q in (1, 0))
         n, best = int(good["n"].sum()), None
+        share = RULES[keys[1]]
+        rate, level = share * risk, share * error / strata
         # a row is hit by the strictest ``hit`` cutoffs of the grid
         for step, cutoff in enumerate(GRID):
             need = len(GRID) - step
