@@ -389,6 +389,22 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "v1_trained_words",
+    f"""SELECT word, count(*) AS n, {embedding.DIMENSIONS}::BIGINT AS dimensions, true AS finite
+FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY ALL HAVING n >= {embedding.MIN_COUNT}""",
+)
+def trained_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word that is frequent enough has a vector of finite numbers."""
+    counts = vocabulary.word_counts(
+        inputs.texts(spark, sf_dir), F.split("text", " "), embedding.MIN_COUNT
+    )
+    finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return counts.join(document_vectors(spark, sf_dir), "word").select(
+        "word", "n", F.size("vector").cast("long").alias("dimensions"), finite.alias("finite")
+    )
+
+
 @query("v2_projection")
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.project(document_vectors(spark, sf_dir))
