@@ -101,7 +101,7 @@ class Bloom:
             map_batches(keys.select(column), slots, "word long, bits long")
             .groupBy("word")
             .agg(F.bit_or("bits").alias("bits"))
-            .toPandas()
+            .toArrow()
         )
         words = np.zeros(1 << (log_bits - 6), dtype=np.int64)
         words[rows["word"].to_numpy()] = rows["bits"].to_numpy()

@@ -4,14 +4,14 @@ Exact, by token-combination prefixes. A set's tokens are 64-bit hashes of its sh
 ``x`` can miss at most t(x) = |x| - ceil(threshold * |x|) tokens of a set it links to.
 
 1. Documents with equal sets become one class; its smallest key stands for it.
-2. The first t + 1 tokens by hash order are a class's prefix: linked classes share a
-   prefix token. Tokens held by one prefix alone are dropped by a count and a bit table
-   of fixed size (which may keep too many, never too few).
+2. The first t + s tokens by hash order are a class's prefix: linked classes share s
+   prefix tokens (the s of one of them). Tokens held by one prefix alone are dropped by
+   a count and a bit table of fixed size (which may keep too many, never too few).
 3. Classes are first compared with a head per token and size band, and what links is
    joined to components, so that large groups of near copies need no pairs of members.
 4. Tokens whose buckets still hold many components (passages that many documents share)
-   are frequent. Classes with one in their prefix get another prefix: rare tokens first.
-   t + 1 rare tokens are indexed alone. Where a class has fewer, frequent tokens follow,
+   are frequent, and so is what their texts have in common. Classes with one in their prefix get another prefix: rare tokens first.
+   t + s rare tokens are indexed alone. Where a class has t or fewer, frequent tokens follow,
    parted into subclasses by hash; the prefix grows until the tokens beyond one per
    subclass make up for what is missing, and pairs of tokens of one subclass are
    indexed: a linked class shares a rare token or two frequent ones of a subclass. The
@@ -34,11 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import Bloom, map_batches, texts
-from glossmill.session import materialise
+from glossmill.session import checked_broadcast, fits_broadcast, materialise
 
 #: Words of a shingle.
 WIDTH = 4
@@ -46,8 +46,11 @@ WIDTH = 4
 PERCENT = 85
 #: Components under one token from which it is frequent.
 FREQUENT = 12
+#: Classes read whole for each frequent token.
+WITNESSES = 24
 #: Bits of the tables over tokens and over keys, as powers of two.
 TOKEN_BITS, KEY_BITS = 26, 24
+INDEX = "token long, rep long, n long, length long"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -88,67 +91,81 @@ def misses(n, percent: int = PERCENT):
     return n - -(-n * percent // 100)
 
 
+def shared_least(n: int, percent: int = PERCENT) -> int:
+    """Tokens that linked sets share at least within prefixes of misses + as many."""
+    return 1 + misses(n, percent) * 2 // 5
+
+
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return min(n, misses(n, percent) + shared_least(n, percent))
+
+
 def linked(n: int, m: int, both: int, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
-def sketches(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
-    """key, n, digest of the set, prefix by hash order."""
+def sketches(
+    docs: DataFrame, key: str, width: int, percent: int, frequent: Bloom | None = None
+) -> DataFrame:
+    """key, n, digest of the set, its prefix, and the length of the prefix.
+
+    The prefix is by hash order, or with ``frequent`` by rare tokens first; the length
+    is 0 where it has pairs of tokens.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, digests, prefixes = [], [], []
+        often = shared.value
+        sizes, digests, prefixes, lengths = [], [], [], []
         for text in batch.column(1).to_pylist():
             found = shingles(text, width)
             n = len(found)
+            if often is None or not misses(n + 1, percent):
+                # sets that may lack no token are in no index
+                prefix = found[: prefix_length(n, percent)]
+                length = len(prefix)
+            else:
+                prefix, length = combination_keys(found, often.has(found), percent)
             sizes.append(n)
             digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-            prefixes.append(found[: misses(n, percent) + 1].tobytes() if n else b"")
+            prefixes.append(prefix.tobytes())
+            lengths.append(length)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array(sizes, pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array(prefixes, pa.binary()),
+                pa.array(lengths, pa.int64()),
             ],
-            [key, "n", "digest", "prefix"],
+            [key, "n", "digest", "prefix", "length"],
         )
 
     source = texts(docs, key)
     kind = source.schema[key].dataType.simpleString()
-    return map_batches(source, run, f"{key} {kind}, n long, digest binary, prefix binary")
-
+    return map_batches(source, run, f"{key} {kind}, n long, digest binary, prefix binary, length long")
 
-def index_rows(
-    prefixes: DataFrame, keep: list[Bloom] | None = None, without: Bloom | None = None
-) -> DataFrame:
-    """One row per prefix token that any of the bit tables has: token, rep, n.
 
-    Prefixes with a token of ``without`` are left out as a whole.
-    """
-    shared = prefixes.sparkSession.sparkContext.broadcast((keep, without))
+def index_rows(prefixes: DataFrame, keep: Bloom) -> DataFrame:
+    """One row per prefix token that the bit table has: token, rep, n, length."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tables, barred = shared.value
-        found = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-        if barred is not None:
-            found = [x[:0] if barred.has(x).any() else x for x in found]
+        found = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
         tokens = np.concatenate(found)
         rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        if tables is not None:
-            kept = np.zeros(len(tokens), bool)
-            for bits in tables:
-                kept |= bits.has(tokens)
-            tokens, rows = tokens[kept], rows[kept]
-        reps, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        kept = shared.value.has(tokens)
+        tokens, rows = tokens[kept], rows[kept]
+        others = (batch.column(k).to_numpy(zero_copy_only=False)[rows] for k in range(3))
         return pa.RecordBatch.from_arrays(
-            [pa.array(tokens), pa.array(reps[rows]), pa.array(sizes[rows])], ["token", "rep", "n"]
+            [pa.array(tokens), *map(pa.array, others)], ["token", "rep", "n", "length"]
         )
 
-    return map_batches(prefixes.select("rep", "n", "prefix"), run, "token long, rep long, n long")
+    return map_batches(prefixes.select("rep", "n", "length", "prefix"), run, INDEX)
 
 
-def repeated_tokens(tokens: DataFrame) -> DataFrame:
-    """Tokens that occur twice or more, from rows combined in each task: token."""
+def repeated_tokens(prefixes: DataFrame) -> DataFrame:
+    """Tokens that occur twice or more in the prefixes, combined in each task: token."""
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -161,9 +178,10 @@ def repeated_tokens(tokens: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            held.append(batch.column(0).to_numpy(zero_copy_only=False))
-            size += len(held[-1])
-            if size > 4_000_000:
+            for raw in batch.column(0).to_pylist():
+                held.append(np.frombuffer(raw, np.int64))
+                size += len(held[-1])
+            if size > 2_000_000:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -179,7 +197,7 @@ def repeated_tokens(tokens: DataFrame) -> DataFrame:
         counts = np.bincount(places, np.concatenate([x[1] for x in got]))
         yield pa.RecordBatch.from_arrays([pa.array(values[counts > 1])], ["token"])
 
-    once = tokens.select("token").mapInArrow(combined, "token long, n long")
+    once = prefixes.select("prefix").mapInArrow(combined, "token long, n long")
     return once.repartition(F.col("token")).mapInArrow(repeated, "token long")
 
 
@@ -200,25 +218,49 @@ def sets_of(docs: DataFrame, wanted: DataFrame, key: str, width: int) -> DataFra
 
 
 def verified(docs: DataFrame, pairs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of keys those whose whole sets link; materialised."""
+    """Of the pairs (a, b) of keys those whose whole sets link; materialised.
+
+    Both sets of a pair are sent to one place; a key of many pairs is no hot key, as
+    rows are dealt by pair.
+    """
     pairs = materialise(pairs.distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-    # repeated rows of a key: any one of its texts is its class's or the pair is not proven
-    sets = materialise(sets_of(docs, ends, key, width).join(ends.distinct(), "rep", "left_semi"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"), "a", "b")
+    sets = sets_of(docs, ends, key, width)
+    # a row for each set and pair; the ends are written down narrow, their number is checked
+    sent = sets.join(checked_broadcast(materialise(ends)), "rep").select("a", "b", "rep", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, first, found = None, [], []
+        for batch in batches:
+            for a, b, rep, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (a, b) != pair:
+                    pair, first = (a, b), []
+                tokens = np.frombuffer(raw, np.uint64)
+                if rep == a:
+                    # several sets only where rows of one key differ
+                    first.append(tokens)
+                elif any(linked_sets(x, tokens, percent) for x in first):
+                    found.append(pair)
+            if len(found) > 10_000:
+                yield pair_rows(found)
+                found = []
+        yield pair_rows(found)
+
+    dealt = sent.repartition(F.col("a"), F.col("b"))
+    # the set of a comes first: a < b
+    return materialise(
+        dealt.sortWithinPartitions("a", "b", "rep").mapInArrow(run, "a long, b long").distinct()
+    )
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            kept.append(linked(len(x), len(y), both, percent))
-        rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
-        return rows.filter(pa.array(kept, pa.bool_()))
 
-    left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return materialise(map_batches(joined, run, "a long, b long").distinct())
+def linked_sets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return linked(len(x), len(y), both, percent)
+
+
+def pair_rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,37 +300,52 @@ def with_components(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def star_pairs(index: DataFrame, percent: int, smallest: bool) -> DataFrame:
-    """Each class with a head of its token and size band, in other components: a, b.
+def star_pairs(index: DataFrame, found: DataFrame | None, percent: int, smallest: bool) -> DataFrame:
+    """Each class with the head it shares most tokens with, in another component: a, b.
 
-    Sizes of a band differ by less than the threshold, so heads of the band and of the
-    one below can link. ``smallest`` takes the least key as head, or else the largest.
+    A head is the least (or largest) key of a token and size band; sizes of a band
+    differ by less than the threshold, and heads of the band below may link too. Pairs
+    that share few tokens are left to the exact step.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    rows = index.withColumn("band", band)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("band")
+    rows = index.select("token", "rep", "length", band)
     pick = F.min if smallest else F.max
-    heads = rows.groupBy("token", "band").agg(pick(F.struct("rep", "n", "comp")).alias("head"))
+    heads = rows.groupBy("token", "band").agg(pick("rep").alias("head"))
     near = heads.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "head")
-    small, large = F.least("n", "head.n"), F.greatest("n", "head.n")
-    return (
+    met = (
         rows.join(near, ["token", "band"])
-        .where((F.col("head.comp") != F.col("comp")) & (100 * small >= percent * large))
-        .select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
+        .where("rep <> head")
+        .groupBy("rep", "head", "length")
+        .agg(F.count("*").alias("shared"))
+        .where("5 * shared >= length")
     )
+    own = with_components(met, found).withColumnRenamed("comp", "own")
+    if found is None:
+        other = own.withColumn("other", F.col("head"))
+    else:
+        seen = found.select(F.col("rep").alias("head"), F.col("comp").alias("other"))
+        other = own.join(seen, "head", "left").withColumn("other", F.coalesce("other", "head"))
+    order = Window.partitionBy("rep").orderBy(F.desc("shared"), "head")
+    best = other.where("own <> other").withColumn("k", F.row_number().over(order)).where("k = 1")
+    return best.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
 
 
 def subclasses(level: int) -> int:
     return max(1, (1 << level) // 16)
 
 
-def combination_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set with frequent tokens: rare tokens, then pairs of frequent ones."""
+def combination_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of a set with frequent tokens: rare tokens, then pairs of frequent ones.
+
+    With them the length of the prefix of rare tokens, or 0 if there are pairs.
+    """
     n = len(tokens)
-    need = misses(n, percent) + 1
     rare, often = tokens[~frequent], tokens[frequent]
-    keys = [rare[:need]]
-    need -= len(keys[0])
+    keys = [rare[: prefix_length(n, percent)]]
+    length = len(keys[0])
+    need = misses(n, percent) + 1 - length
     if need > 0:
+        length = 0
         # linked sets differ in size by less than a factor of two: they meet on a level
         low = -(-n * percent // 100)
         for level in sorted({n.bit_length() - 1, low.bit_length() - 1}):
@@ -306,37 +363,28 @@ def combination_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) ->
                 own = taken[part == p]
                 i, j = np.triu_indices(len(own), 1)
                 keys.append(mixed(own[i] * _FACTOR + own[j] + np.uint64(level + 1 << 32)))
-    return np.concatenate(keys)
+    return np.concatenate(keys), length
 
 
-def combination_index(
-    docs: DataFrame, touched: DataFrame, bits: Bloom, key: str, width: int, percent: int
-) -> DataFrame:
-    """Index rows of the touched classes in the order of rare tokens first: token, rep, n."""
-    sets = sets_of(docs, touched, key, width).join(touched.select("rep", "n"), "rep")
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def cross_pairs(index: DataFrame, percent: int) -> DataFrame:
+    """Classes of different components that share enough of their prefixes: a, b.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, counts = [np.zeros(0, np.uint64)], []
-        for raw in batch.column(1).to_pylist():
-            tokens = np.frombuffer(raw, np.uint64)
-            keys.append(combination_keys(tokens, shared.value.has(tokens), percent))
-            counts.append(len(keys[-1]))
-        reps, sizes = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), counts) for k in (0, 2))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(reps), pa.array(sizes)],
-            ["token", "rep", "n"],
+    The prefix that ends first lacks no shared token of the other, so linked classes
+    share its length less what may miss; classes indexed by pairs share one key.
+    """
+    least = F.col("length") - (F.col("n") - F.ceil(F.col("n") * percent / 100))
+    rows = index.select("token", "rep", "n", "comp", F.greatest(least, F.lit(1)).alias("least"))
+    x, y = (rows.select("token", *(F.col(c).alias(c + k) for c in rows.columns[1:])) for k in "xy")
+    fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    met = x.join(y, "token").where("repx < repy and compx <> compy").where(fits)
+    return (
+        met.groupBy(
+            F.col("repx").alias("a"), F.col("repy").alias("b"), F.least("leastx", "leasty").alias("least")
         )
-
-    return map_batches(sets.select("rep", "tokens", "n"), run, "token long, rep long, n long")
-
-
-def cross_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Classes of different components that meet under a token: a, b."""
-    x = index.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = index.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return x.join(y, "token").where("a < b and ca <> cb").where(fits).select("a", "b")
+        .agg(F.count("*").alias("shared"))
+        .where("shared >= least")
+        .select("a", "b")
+    )
 
 
 def mixed_buckets(index: DataFrame) -> DataFrame:
@@ -345,81 +393,106 @@ def mixed_buckets(index: DataFrame) -> DataFrame:
     return once.groupBy("token").agg(F.count("*").alias("comps")).where("comps > 1")
 
 
-def links_between(
-    docs: DataFrame, prefixes: DataFrame, key: str, width: int, percent: int, frequent: int = FREQUENT
-) -> DataFrame | None:
-    """Links that join the classes (rep, n, prefix) into their components: a, b."""
-    repeated = materialise(repeated_tokens(index_rows(prefixes)))
-    bits = Bloom.of(repeated, "token", TOKEN_BITS)
-    index = materialise(index_rows(prefixes, [bits]))
-    links, found = None, None
-    for smallest in (True, False):
-        new = verified(
-            docs, star_pairs(with_components(index, found), percent, smallest), key, width, percent
+def indexed(prefixes: DataFrame) -> DataFrame:
+    """The rows of tokens that more than one prefix may have; materialised."""
+    repeated = materialise(repeated_tokens(prefixes))
+    return materialise(index_rows(prefixes, Bloom.of(repeated, "token", TOKEN_BITS)))
+
+
+class Classes:
+    """One document for each set that can link with another set."""
+
+    def __init__(self, docs: DataFrame, key: str, width: int, percent: int):
+        self.docs, self.key, self.width, self.percent = docs, key, width, percent
+        self.base = materialise(sketches(docs, key, width, percent))
+        self.usable = (F.col("n") > 0) & F.col(key).isNotNull()
+        # sets that may lack no token link with equal sets alone, which are one class
+        least = next(n for n in range(1, 1000) if misses(n + 1, percent) > 0)
+        self.indexed = self.usable & (F.col("n") >= least)
+        self.classes = materialise(
+            self.base.where(self.usable).groupBy("digest").agg(F.min(key).cast("long").alias("rep"))
         )
-        links = new if links is None else links.union(new)
-        found = components(links)
-    located = materialise(with_components(index, found))
-    buckets = materialise(mixed_buckets(located))
-    if buckets.isEmpty():
-        return links
-    often = buckets.where(F.col("comps") >= frequent)
-    common = Bloom.of(often, "token", KEY_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    def frequent_ones(batch: pa.RecordBatch) -> pa.RecordBatch:
-        has = [
-            len(x) > 0 and bool(shared.value.has(np.frombuffer(x, np.int64)).any())
-            for x in batch.column(2).to_pylist()
-        ]
-        rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["rep", "n"])
-        return rows.filter(pa.array(has, pa.bool_()))
+        self.copies = materialise(
+            self.base.where(self.indexed)
+            .select(key, "digest")
+            .join(self.classes, "digest")
+            .where(F.col(key) != F.col("rep"))
+            .select(key, "digest")
+        )
+        self.few = fits_broadcast(self.copies)
+
+    def prefixes(self, frequent: Bloom | None = None) -> DataFrame:
+        """rep, n, length, prefix; with ``frequent`` in the order of rare tokens first."""
+        rows = self.base
+        if frequent is not None:
+            rows = sketches(self.docs, self.key, self.width, self.percent, frequent)
+        copies = F.broadcast(self.copies) if self.few else self.copies
+        found = (
+            rows.where(self.indexed)
+            .join(copies, [self.key, "digest"], "left_anti")
+            .select(F.col(self.key).cast("long").alias("rep"), "n", "length", "prefix")
+        )
+        return found if self.few and frequent is None else materialise(found)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        return verified(self.docs, pairs, self.key, self.width, self.percent)
 
-    touched = materialise(
-        map_batches(prefixes.select("rep", "n", "prefix"), frequent_ones, "rep long, n long")
+
+def widened(own: Classes, located: DataFrame, often: DataFrame) -> DataFrame:
+    """More tokens of the texts that hold frequent ones: token.
+
+    Passages lie partly outside the prefixes. Of each frequent token's classes the
+    ``WITNESSES`` first by a hash of the key, which are much the same for all tokens of a
+    passage, are read whole; what several of them hold is taken for frequent too. This
+    only shapes the order of tokens, so it may be incomplete.
+    """
+    first = Window.partitionBy("token").orderBy(F.xxhash64("rep"))
+    chosen = (
+        located.join(often, "token")
+        .withColumn("k", F.row_number().over(first))
+        .where(F.col("k") <= WITNESSES)
+        .select("rep")
+        .distinct()
     )
-    if touched.isEmpty():
-        final = index
-    else:
-        own = materialise(combination_index(docs, touched, common, key, width, percent))
-        met = Bloom.of(own, "token", TOKEN_BITS)
-        others = index_rows(prefixes, [bits, met], without=common)
-        both = materialise(own.union(others))
-        again = Bloom.of(materialise(repeated_tokens(both)), "token", TOKEN_BITS)
-        final = _only(both, again)
-    located = materialise(with_components(final, found))
-    meeting = located.join(mixed_buckets(located).select("token"), "token")
-    return links.union(verified(docs, cross_pairs(meeting, percent), key, width, percent))
+    sets = sets_of(own.docs, materialise(chosen), own.key, own.width)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+            if tokens:
+                values, counts = np.unique(np.concatenate(tokens), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["token", "n"])
 
-def _only(index: DataFrame, bits: Bloom) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(bits)
+    counts = sets.select("tokens").mapInArrow(counted, "token long, n long")
+    return counts.groupBy("token").agg(F.sum("n").alias("n")).where("n > 2").select("token")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = shared.value.has(batch.column(0).to_numpy(zero_copy_only=False))
-        return batch.filter(pa.array(kept))
 
-    return map_batches(index, run, "token long, rep long, n long")
+def links_between(own: Classes, frequent: int = FREQUENT) -> DataFrame:
+    """Links that join the classes into their components: a, b."""
+    percent = own.percent
+    index = indexed(own.prefixes())
+    links, found = None, None
+    for smallest in (True, False):
+        new = own.verified(star_pairs(index, found, percent, smallest))
+        links = new if links is None else links.union(new)
+        found = components(links)
+    located = materialise(with_components(index, found))
+    often = mixed_buckets(located).where(F.col("comps") >= frequent)
+    often = materialise(often.select("token"))
+    if not often.isEmpty():
+        common = Bloom.of(often.union(widened(own, located, often)), "token", KEY_BITS)
+        located = materialise(with_components(indexed(own.prefixes(common)), found))
+    meeting = located.join(mixed_buckets(located).select("token"), "token")
+    return links.union(own.verified(cross_pairs(meeting, percent)))
 
 
 def groups(
     docs: DataFrame, key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
     """key, n_shingles, component_id of every row."""
-    base = materialise(sketches(docs, key, width, percent))
-    usable = base.where((F.col("n") > 0) & F.col(key).isNotNull())
-    classes = materialise(
-        usable.groupBy("digest").agg(F.min(key).cast("long").alias("rep"), F.max("n").alias("size"))
-    )
-    # sets that may lack no token link with equal sets alone, which are one class
-    least = next(n for n in range(1, 1000) if misses(n + 1, percent) > 0)
-    large = classes.where(F.col("size") >= least).select("digest", "rep")
-    prefixes = materialise(
-        usable.join(large, (usable["digest"] == large["digest"]) & (usable[key] == large["rep"]))
-        .select("rep", "n", "prefix")
-    )
-    links = links_between(docs, prefixes, key, width, percent)
-    located = with_components(classes.select("digest", "rep"), components(links))
+    own = Classes(docs, key, width, percent)
+    located = with_components(own.classes, components(links_between(own)))
+    base = own.base
     component = F.when(F.col(key).isNotNull(), F.coalesce("comp", F.col(key)))
     return base.select(key, "n", "digest").join(located, "digest", "left").select(
         key, F.col("n").alias("n_shingles"), component.alias("component_id")
