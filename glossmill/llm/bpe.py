@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -26,49 +27,49 @@ from glossmill.llm.pretokens import UnitCache, pattern, units
 
 
 class RankQueue:
-    """Positions by rank; the smallest rank first, and its smallest position first."""
+    """Positions by rank; the smallest rank first, and its smallest position first.
+
+    ``bits`` has a word of 256 bits for as many ranks, ``top`` a bit a word.
+    A bucket of one position is that position, a larger one a heap.
+    """
 
     def __init__(self, ranks: int):
-        self.levels: list[list[int]] = []
-        size = ranks
-        while not self.levels or size > 1:
-            size = (size + 63) // 64
-            self.levels.append([0] * size)
-        self.buckets: dict[int, list[int]] = {}
+        self.bits = [0] * ((ranks >> 8) + 1)
+        self.top = 0
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is not None:
+        if bucket is None:
+            self.buckets[rank] = position
+            word = rank >> 8
+            self.bits[word] |= 1 << (rank & 255)
+            self.top |= 1 << word
+        elif bucket.__class__ is int:
+            self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
+        else:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            known = level[word]
-            level[word] = known | bit
-            if known:
-                return
-            rank = word
 
     def pop(self) -> tuple[int, int] | None:
         """The next entry, or None when the queue is empty."""
-        rank = 0
-        for level in reversed(self.levels):
-            bits = level[rank]
-            if not bits:
-                return None
-            rank = (rank << 6) + (bits & -bits).bit_length() - 1
+        top = self.top
+        if not top:
+            return None
+        word = (top & -top).bit_length() - 1
+        bits = self.bits[word]
+        least = bits & -bits
+        rank = (word << 8) + least.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            slot = rank
-            for level in self.levels:
-                word = slot >> 6
-                level[word] &= ~(1 << (slot & 63))
-                if level[word]:
-                    break
-                slot = word
+        if bucket.__class__ is not int:
+            position = heappop(bucket)
+            if bucket:
+                return rank, position
+        else:
+            position = bucket
+        del self.buckets[rank]
+        self.bits[word] = bits = bits ^ least
+        if not bits:
+            self.top = top & (top - 1)
         return rank, position
 
 
@@ -79,49 +80,54 @@ class Codec:
         self.ranks = ranks
         self.pieces = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.cache = UnitCache(self._unit)
+        # pre-tokens repeat more than units do, and cost more
+        self.pretokens = UnitCache(self._pretoken, 1_000_000)
+        self.cache = UnitCache(self._unit, 400_000)
 
     def encode_pretoken(self, piece: bytes) -> list[int]:
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        n, queue = len(piece), self.queue
-        after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+        n, push, pop = len(piece), self.queue.push, self.queue.pop
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [rank_of(piece[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        for i, rank in enumerate(pair):
             if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
+                push(rank, i)
+        while (entry := pop()) is not None:
             rank, i = entry
             if pair[i] != rank:
                 continue  # stale
             gone = after[i]
-            end = after[gone]
-            after[i], pair[gone], pair[i] = end, -1, -1
+            after[i] = end = after[gone]
+            pair[gone] = None
             if end < n:
                 before[end] = i
-                rank = ranks.get(piece[i : after[end]])
+                pair[i] = rank = rank_of(piece[i : after[end]])
                 if rank is not None:
-                    pair[i] = rank
-                    queue.push(rank, i)
+                    push(rank, i)
+            else:
+                pair[i] = None
             left = before[i]
             if left >= 0:
-                rank = ranks.get(piece[left:end])
-                pair[left] = -1
+                pair[left] = rank = rank_of(piece[left:end])
                 if rank is not None:
-                    pair[left] = rank
-                    queue.push(rank, left)
+                    push(rank, left)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            out.append(rank_of(piece[i:end]))
+            i = end
         return out
 
+    def _pretoken(self, pretoken: str) -> bytes:
+        ids = self.encode_pretoken(pretoken.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _unit(self, unit: str) -> bytes:
-        ids = [x for p in pattern().findall(unit) for x in self.encode_pretoken(p.encode())]
-        return np.array(ids, dtype="<u4").tobytes()
+        return b"".join(map(self.pretokens.__getitem__, pattern().findall(unit)))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""

@@ -36,17 +36,16 @@ def units(text: str) -> list[str]:
 class UnitCache(dict):
     """Results by unit for one Python worker, of bounded size; long units are not kept."""
 
-    MAX_UNITS = 400_000
     MAX_LENGTH = 64
 
-    def __init__(self, compute):
+    def __init__(self, compute, limit: int = 400_000):
         super().__init__()
-        self.compute = compute
+        self.compute, self.limit = compute, limit
 
     def __missing__(self, unit: str):
         value = self.compute(unit)
         if len(unit) <= self.MAX_LENGTH:
-            if len(self) >= self.MAX_UNITS:
+            if len(self) >= self.limit:
                 self.clear()
             self[unit] = value
         return value
