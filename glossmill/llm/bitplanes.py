@@ -21,6 +21,7 @@ empty table gives no file. Other columns are not read.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,14 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import filesystem, fresh_name, map_batches, shared_uri, texts
-from glossmill.llm.pretokens import UnitCache, units
+from glossmill.llm.pretokens import pattern, units
 from glossmill.llm.token_counts import parts, specials, tokenizer
 from glossmill.session import materialise
 
 MAGIC = b"IDPLANES"
 #: Ids per block.
 BLOCK = 1 << 16
-#: Batches of units the tokenizer encodes at once.
+#: Pre-tokens the tokenizer encodes at once.
 MISSES = 2_000
 
 
@@ -173,27 +174,40 @@ class Reader:
 
 
 class LibraryCodec:
-    """Ids by the tokenizers library; units that repeat are encoded once per worker."""
+    """Ids by the tokenizers library; a worker has every pre-token encoded once.
+
+    Both tables are bounded: they start anew before a batch once they are full.
+    """
+
+    UNITS, PRETOKENS = 400_000, 1_000_000
 
     def __init__(self, path: str):
         self.tokenizer, self.marks = tokenizer(path), specials(path)
-        self.mark_ids = {m: self.tokenizer.token_to_id(m) for m in self.marks}
-        self.cache = UnitCache(lambda unit: self._encode([unit])[0])
+        self.units: dict[str, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}
 
     def _encode(self, found: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(found, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in encoded]
+        return [struct.pack(f"<{len(x)}I", *x.ids) for x in encoded]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of whole texts, without special tokens but those the texts spell out."""
+        if len(self.units) > self.UNITS:
+            self.units.clear()
+        if len(self.pretokens) > self.PRETOKENS:
+            self.pretokens.clear()
+        # texts with such tokens are parted by the library itself
         cut = [None if parts(x, self.marks)[1] else units(x) for x in batch]
-        new = list({u for x in cut if x for u in x if len(u) <= UnitCache.MAX_LENGTH and u not in self.cache})
-        for start in range(0, len(new), MISSES):
-            some = new[start : start + MISSES]
-            if len(self.cache) + len(some) > UnitCache.MAX_UNITS:
-                self.cache.clear()
-            self.cache.update(zip(some, self._encode(some), strict=True))
-        get = self.cache.__getitem__
+        new = set().union(*(x for x in cut if x)).difference(self.units)
+        made = {unit: pattern().findall(unit) for unit in new}
+        fresh = list(set().union(*made.values()).difference(self.pretokens))
+        for start in range(0, len(fresh), MISSES):
+            some = fresh[start : start + MISSES]
+            self.pretokens.update(zip(some, self._encode(some), strict=True))
+        ids_of = self.pretokens.__getitem__
+        for unit, tokens in made.items():
+            self.units[unit] = b"".join(map(ids_of, tokens))
+        get = self.units.__getitem__
         return [
             self._encode([text])[0] if x is None else b"".join(map(get, x))
             for text, x in zip(batch, cut, strict=True)
@@ -267,5 +281,6 @@ def read_ids(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                     [key, "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = files.repartition(F.col("uri"))
+    # a file per task; a stated number is kept as it is
+    spread = files.repartition(max(1, manifest.count()))
     return spread.mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
