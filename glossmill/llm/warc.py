@@ -191,7 +191,8 @@ def normalise(manifest: DataFrame) -> DataFrame:
                     ["uri", "index_uri", "records"],
                 )
 
-    spread = manifest.repartition(F.col("uri"))
+    # an archive per task; a stated number is kept as it is
+    spread = manifest.repartition(max(1, manifest.count()))
     return materialise(spread.mapInArrow(run, "uri string, index_uri string, records long"))
 
 
@@ -252,5 +253,5 @@ def read_records(manifest: DataFrame, key: str = "page_id") -> DataFrame:
         )
 
     schema = f"{key} long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    spread = manifest.select("uri", "index_uri").repartition(F.col("uri"))
+    spread = manifest.select("uri", "index_uri").repartition(max(1, manifest.count()))
     return spread.mapInArrow(run, schema)
