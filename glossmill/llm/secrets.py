@@ -106,68 +106,120 @@ def encoding(run: Column) -> Column:
     )
 
 
-def tested(run: Column, kind: Column) -> Column:
-    """struct(random: p-value under randomness, text: p-value under ordinary text)."""
-    alphabet = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])[kind]
-    plain = F.when(kind == "hex", F.lower(run)).otherwise(F.translate(run, "-_", "+/"))
-    n, k = F.length(plain).cast("double"), F.length(alphabet).cast("double")
-    chars = F.split(plain, "")
-    counts = F.transform(F.array_distinct(chars), lambda c: n - F.length(F.replace(plain, c)))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    # chi-squared, made normal by the cube root (Wilson and Hilferty)
-    free = 2 / (9 * (k - 1))
-    chi = (F.pow((squares * k / n - n) / (k - 1), F.lit(1 / 3)) - (1 - free)) / F.sqrt(free)
-    values = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double"))
-    # runs above and below the middle of the alphabet
-    sides = F.array_join(F.transform(values, lambda v: F.when(v * 2 > k, "H").otherwise("L")), "")
-    high = n - F.length(F.replace(sides, F.lit("H")))
-    low = n - high
-    mean = 2 * high * low / n + 1
-    spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-    changes = F.length(F.regexp_replace(sides, r"(.)\1*", "$1")).cast("double")
-    runs = F.abs(changes - mean) / F.sqrt(spread)
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    centred = F.transform(values, lambda v: v - total / n)
-    power = F.greatest(F.aggregate(centred, F.lit(0.0), lambda a, v: a + v * v), F.lit(1e-9))
-    lagged = F.zip_with(
-        F.slice(centred, F.lit(1), F.size(centred) - 1),
-        F.slice(centred, F.lit(2), F.size(centred) - 1),
-        lambda a, b: a * b,
+def with_fields(rows: Column, keep: tuple[str, ...], **fields) -> Column:
+    """Structs with some of their fields and new ones made from each.
+
+    A step's values are fields of the next step's variable, so no expression is
+    written out (or evaluated) more than once.
+    """
+    return F.transform(
+        rows,
+        lambda r: F.struct(*(r[k].alias(k) for k in keep), *(f(r).alias(k) for k, f in fields.items())),
+    )
+
+
+def tested(runs: Column) -> Column:
+    """Runs as struct(s, e, n, kind, random: p under randomness, text: p under ordinary text)."""
+    alphabets = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
+    rows = with_fields(runs, ("s", "e", "v"), kind=lambda r: encoding(r["v"]))
+    rows = with_fields(
+        F.filter(rows, lambda r: r["kind"].isNotNull()),
+        ("s", "e", "kind"),
+        plain=lambda r: F.when(r["kind"] == "hex", F.lower(r["v"])).otherwise(F.translate(r["v"], "-_", "+/")),
+        alphabet=lambda r: alphabets[r["kind"]],
+    )
+    place = ("s", "e", "kind")
+    rows = with_fields(
+        rows,
+        (*place, "plain", "alphabet"),
+        n=lambda r: F.length(r["plain"]).cast("double"),
+        k=lambda r: F.length(r["alphabet"]).cast("double"),
+        chars=lambda r: F.split(r["plain"], ""),
+    )
+    rows = with_fields(
+        rows,
+        (*place, "n", "k"),
+        squares=lambda r: F.aggregate(
+            F.transform(
+                F.array_distinct(r["chars"]), lambda c: r["n"] - F.length(F.replace(r["plain"], c))
+            ),
+            F.lit(0.0),
+            lambda a, c: a + c * c,
+        ),
+        values=lambda r: F.transform(r["chars"], lambda c: F.instr(r["alphabet"], c).cast("double")),
+    )
+    rows = with_fields(
+        rows,
+        (*place, "n", "k", "squares", "values"),
+        # above and below the middle of the alphabet
+        sides=lambda r: F.array_join(
+            F.transform(r["values"], lambda v: F.when(v * 2 > r["k"], "H").otherwise("L")), ""
+        ),
+        mean=lambda r: F.aggregate(r["values"], F.lit(0.0), lambda a, v: a + v) / r["n"],
+    )
+    rows = with_fields(
+        rows,
+        (*place, "n", "k", "squares"),
+        high=lambda r: r["n"] - F.length(F.replace(r["sides"], F.lit("H"))),
+        changes=lambda r: F.length(F.regexp_replace(r["sides"], r"(.)\1*", "$1")).cast("double"),
+        centred=lambda r: F.transform(r["values"], lambda v: v - r["mean"]),
+    )
+    rows = with_fields(
+        rows,
+        (*place, "n", "k", "squares", "changes"),
+        expected=lambda r: 2 * r["high"] * (r["n"] - r["high"]) / r["n"] + 1,
+        power=lambda r: F.greatest(
+            F.aggregate(r["centred"], F.lit(0.0), lambda a, v: a + v * v), F.lit(1e-9)
+        ),
+        lagged=lambda r: F.aggregate(
+            F.zip_with(
+                F.slice(r["centred"], F.lit(1), F.size(r["centred"]) - 1),
+                F.slice(r["centred"], F.lit(2), F.size(r["centred"]) - 1),
+                lambda a, b: a * b,
+            ),
+            F.lit(0.0),
+            lambda a, v: a + v,
+        ),
+        # coincidences among all pairs of characters, fewer than in text
+        pairs=lambda r: r["n"] * (r["n"] - 1) / 2,
+        rate=lambda r: F.greatest(F.lit(TEXT_RATE), 2 / r["k"]),
+        # the cube root makes chi-squared normal (Wilson and Hilferty)
+        free=lambda r: 2 / (9 * (r["k"] - 1)),
+    )
+    rows = with_fields(
+        rows,
+        (*place, "n"),
+        chi=lambda r: (
+            F.pow((r["squares"] * r["k"] / r["n"] - r["n"]) / (r["k"] - 1), F.lit(1 / 3)) - (1 - r["free"])
+        )
+        / F.sqrt(r["free"]),
+        runs=lambda r: F.abs(r["changes"] - r["expected"])
+        / F.sqrt(F.greatest((r["expected"] - 1) * (r["expected"] - 2) / (r["n"] - 1), F.lit(1e-9))),
+        serial=lambda r: F.abs(r["lagged"] / r["power"]) * F.sqrt(r["n"]),
+        together=lambda r: (r["pairs"] * r["rate"] - (r["squares"] - r["n"]) / 2)
+        / F.sqrt(r["pairs"] * r["rate"] * (1 - r["rate"])),
+    )
+    return with_fields(
+        rows,
+        (*place, "n"),
+        random=lambda r: F.least(
+            3 * F.least(normal_tail(r["chi"]), 2 * normal_tail(r["runs"]), 2 * normal_tail(r["serial"])),
+            F.lit(1.0),
+        ),
+        text=lambda r: normal_tail(r["together"]),
     )
-    serial = F.abs(F.aggregate(lagged, F.lit(0.0), lambda a, v: a + v) / power) * F.sqrt(n)
-    least = F.least(normal_tail(chi), 2 * normal_tail(runs), 2 * normal_tail(serial))
-    # coincidences among all pairs of characters, fewer than in text
-    pairs = n * (n - 1) / 2
-    rate = F.greatest(F.lit(TEXT_RATE), 2 / k)
-    together = (squares - n) / 2
-    text = normal_tail((pairs * rate - together) / F.sqrt(pairs * rate * (1 - rate)))
-    return F.struct(F.least(3 * least, F.lit(1.0)).alias("random"), text.alias("text"))
 
 
 def candidates(runs: Column, base: Column) -> Column:
     """Runs outside base spans that randomness is not rejected for, with bucket and stratum."""
     free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
-
-    def judged(r: Column) -> Column:
-        kind = encoding(r["v"])
-        p = tested(r["v"], kind)
-        return F.struct(
-            r["s"].alias("s"),
-            r["e"].alias("e"),
-            kind.alias("kind"),
-            # strata of lengths: halves of powers of two
-            F.floor(F.log2(r["n"].cast("double")) * 2).cast("int").alias("stratum"),
-            p["random"].alias("random"),
-            p["text"].alias("text"),
-        )
-
-    known = F.filter(F.transform(free, judged), lambda c: c["kind"].isNotNull() & (c["random"] >= ALPHA))
     return F.transform(
-        known,
+        F.filter(tested(free), lambda c: c["random"] >= ALPHA),
         lambda c: F.struct(
             c["s"].alias("s"),
             c["e"].alias("e"),
-            F.concat_ws("/", c["kind"], c["stratum"].cast("string")).alias("stratum"),
+            # strata of lengths: halves of powers of two
+            F.concat_ws("/", c["kind"], F.floor(F.log2(c["n"]) * 2).cast("string")).alias("stratum"),
             F.least(
                 F.lit(BUCKETS - 1), F.floor(-8 * F.log(F.greatest(c["text"], F.lit(1e-300))))
             )
