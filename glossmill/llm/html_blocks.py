@@ -5,7 +5,9 @@ density (share of words inside links), both of its neighbours, and where it stan
 inside the article, inside elements that by tag or name hold other matter, or as a
 heading. A decision tree over these measures, fitted by Spark ML on a small labelled
 table, keeps or drops the block. Scripts, styles, form controls and comments in the
-markup never become text.
+markup never become text. Only scripts, styles, textareas and titles without an end tag
+reach to the end of the page; what else is silent ends with the element around it, and
+without an end tag of its own at the first block inside.
 
 The labelled table is built here by rule: layouts with and without an article element,
 with menus, notices, sidebars, adverts and reader comments around short and long
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -29,10 +32,10 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.common import map_batches
 
-#: Elements whose content is no text of the page.
-SILENT = frozenset(
-    "script style noscript template iframe object svg math textarea select option title canvas audio video".split()
-)
+#: Elements whose content is no text of the page: without markup inside, and with it.
+RAW = frozenset("script style textarea title".split())
+NESTED = frozenset("noscript template iframe object svg math select datalist option canvas audio video".split())
+SILENT = RAW | NESTED
 #: Elements that end a block.
 BREAKING = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
@@ -56,6 +59,8 @@ _TAG = re.compile(
     r"|<[!?][^>]*(?:>|\Z)",
     re.S,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+_NESTED = re.compile(rf"<(?:{'|'.join(sorted(NESTED))})\b", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _HIDDEN = re.compile(r"""(?:\s|^)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -76,6 +81,66 @@ FEATURES = (
 )
 
 
+def raw_end(page: str, tag: str, at: int) -> int:
+    stop = _RAW_END[tag].search(page, at)
+    return stop.end() if stop else len(page)
+
+
+def silent_ends(page: str) -> dict[int, int]:
+    """Where the text goes on behind each silent element, by the place of its start tag."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    whole: list[int] = []  # silent elements no block has begun in
+    block: dict[int, int] = {}  # where the first block in a silent element begins
+
+    def pop(at: int) -> None:
+        """Close the last element, for want of its end tag, at a place."""
+        tag, start = stack.pop()
+        opened[tag] -= 1
+        if tag in NESTED:
+            ends[start] = min(at, block.get(start, at))
+
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = tag and tag.lower()
+        if tag not in SILENT and (tag not in BREAKING or tag in EMPTY):
+            continue
+        if closing:
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    pop(m.start())
+                start = stack.pop()[1]
+                opened[tag] -= 1
+                if tag in NESTED:
+                    ends[start] = at
+            continue
+        if tag in SILENT and attributes.endswith("/"):
+            continue
+        if tag in RAW:
+            # titles of drawings may hold markup
+            if tag != "title" or not (opened["svg"] or opened["math"]):
+                at = raw_end(page, tag, at)
+            ends[m.start()] = at
+            continue
+        if tag in NESTED:
+            if tag == "option" and stack and stack[-1][0] == "option":
+                pop(m.start())
+            whole.append(m.start())
+        else:
+            block.update((x, m.start()) for x in whole)
+            whole.clear()
+            while stack and stack[-1][0] in ("p", "li" if tag == "li" else "p"):
+                pop(m.start())
+        stack.append((tag, m.start()))
+        opened[tag] += 1
+    while stack:
+        pop(len(page))
+    return ends
+
+
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """Flat blocks of a page in order: text, measures."""
     found: list[tuple[str, int, int, list[float]]] = []
@@ -100,6 +165,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         for k in range(3):
             counts[k] -= marks[k]
 
+    ends = silent_ends(page) if _NESTED.search(page) else {}
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -122,8 +188,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             link = not closing
         if tag in SILENT:
             if not closing and not attributes.endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                at = ends[m.start()] if ends else raw_end(page, tag, at)
             pieces.append(" ")
             continue
         if tag not in BREAKING:

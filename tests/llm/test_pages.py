@@ -86,6 +86,27 @@ def test_main_text(spark):
     assert html_blocks.extract(pages.limit(0)).count() == 0
 
 
+def test_silent_elements_end_with_what_holds_them(spark):
+    nodes = html_blocks.fit_tree(spark)
+    story = f"<article><p>{'Words of the story. ' * 9}</p><p>{'And its end, too. ' * 9}</p></article>"
+    want = html_blocks.main_text(nodes, story)
+    assert want.count("\n") == 1
+    starts = ["<datalist id=x><option value=a>a<option value=b>b</datalist>"]
+    starts += ["<select><option>a<option>b</select>", "<div><option>a<option>b</div>", "<svg><title>a</svg>"]
+    starts += [f"<div><{x} data-x=y>old browser</div>" for x in sorted(html_blocks.NESTED)]
+    starts += [f"<{x} data-x=y>old browser" for x in sorted(html_blocks.NESTED)]
+    for start in starts:
+        assert html_blocks.main_text(nodes, start + story) == want, start
+        # an end tag of another element further down is not that of the first
+        later = html_blocks.main_text(nodes, f"{start}{story}<div><object>a<p>b</p></object><svg>a</svg></div>")
+        assert later == want, start
+    for x in sorted(html_blocks.SILENT):
+        assert html_blocks.blocks(f"<div><{x}><{x}a>no</{x}></div>") == []
+    for x in sorted(html_blocks.RAW):
+        assert html_blocks.blocks(f"<div><{x}>no</div><p>no") == []
+    assert len(html_blocks.blocks("<p>a</p>" + "<div><svg>" * 50_000 + "<option>" * 50_000)) == 1
+
+
 def test_labelled_table_is_learnt(spark):
     nodes = html_blocks.fit_tree(spark)
     rows = html_blocks.labelled_pages()
