@@ -5,8 +5,9 @@ more characters given to a name such as password), ``access`` (keys that begin w
 AKIA) and ``hex`` (16 or more hexadecimal digits).
 
 The battery looks at all other runs of 20 or more characters of the base64 alphabets.
-A run's encoding is inferred (hex, base32, base64) and its characters become values of
-that alphabet. Chi-squared uniformity, the runs test above and below the middle and
+A run's encoding is inferred, as the smallest alphabet that holds it (hex; letters of
+one case; the base32 alphabets and base36 in either case; letters; base58; base62;
+base64), and its characters become values of that alphabet. Chi-squared uniformity, the runs test above and below the middle and
 the lag-1 serial correlation each give a p-value under randomness; a run is no secret
 if three times the least is below ``ALPHA``. What is left is tested against ordinary
 text: its characters coincide more often than random ones do. These p-values go
@@ -45,11 +46,20 @@ TEXT_RATE = 0.065
 BUCKETS = 512
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: In order of size. Those without lower case stand for either case.
 ALPHABETS = {
-    "hex": DIGITS + "abcdef",
+    "hex": DIGITS + "ABCDEF",
+    "base26": UPPER,
     "base32": UPPER + "234567",
+    "base32hex": DIGITS + UPPER[:22],
+    "crockford": DIGITS + "ABCDEFGHJKMNPQRSTVWXYZ",
+    "base36": DIGITS + UPPER,
+    "base52": UPPER + UPPER.lower(),
+    "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base62": UPPER + UPPER.lower() + DIGITS,
     "base64": UPPER + UPPER.lower() + DIGITS + "+/",
 }
+ONE_CASE = tuple(x for x, alphabet in ALPHABETS.items() if alphabet == alphabet.upper())
 SPAN = "struct<s:int,k:int,e:int,n:int,v:string>"
 
 
@@ -98,12 +108,12 @@ def normal_tail(z: Column) -> Column:
 
 def encoding(run: Column) -> Column:
     """The smallest alphabet that holds a run; plain numbers have none."""
-    return (
-        F.when(run.rlike(r"^[0-9]+$"), F.lit(None).cast("string"))
-        .when(run.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(run.rlike(r"^[A-Z2-7]+$"), "base32")
-        .otherwise("base64")
-    )
+    found = F.when(run.rlike("^[0-9]+$"), F.lit(None).cast("string"))
+    for name, alphabet in ALPHABETS.items():
+        cases = (alphabet, alphabet.lower()) if name in ONE_CASE else (alphabet,)
+        if name != "base64":
+            found = found.when(run.rlike("^(?:" + "|".join(f"[{x}]+" for x in cases) + ")$"), name)
+    return found.otherwise("base64")
 
 
 def with_fields(rows: Column, keep: tuple[str, ...], **fields) -> Column:
@@ -125,7 +135,7 @@ def tested(runs: Column) -> Column:
     rows = with_fields(
         F.filter(rows, lambda r: r["kind"].isNotNull()),
         ("s", "e", "kind"),
-        plain=lambda r: F.when(r["kind"] == "hex", F.lower(r["v"])).otherwise(F.translate(r["v"], "-_", "+/")),
+        plain=lambda r: F.when(r["kind"].isin(*ONE_CASE), F.upper(r["v"])).otherwise(F.translate(r["v"], "-_", "+/")),
         alphabet=lambda r: alphabets[r["kind"]],
     )
     place = ("s", "e", "kind")

@@ -330,6 +330,24 @@ def test_secret_scan(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_long_random_tokens_of_each_alphabet_are_found(spark):
+    rng = random.Random(17)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    upper = lower.upper()
+    alphabets = [lower, lower + "234567", digits + lower[:22], digits + "abcdefghjkmnpqrstvwxyz", digits + lower]
+    alphabets += [x.upper() for x in alphabets] + [upper + lower, upper + lower + digits]
+    alphabets += [upper + lower + digits + "+/", upper + lower + digits + "-_"]
+    alphabets.append("123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz")
+    tokens = ["".join(rng.choice(x) for _ in range(n)) for x in alphabets for n in (64, 400, 3000)]
+    tokens.append("".join(rng.choice("0123456789ABCDEF") for _ in range(400)))
+    words = ["thisisanordinarysentencewithnoblanksinsideit", "AbstractBeanFactoryAwareAdvisingPostProcessor"]
+    df = spark.createDataFrame(list(enumerate([f"x {t}, y" for t in tokens + words])), "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.scan(df).select("row.doc_id", "spans").collect()}
+    missed = [t[:64] for i, t in enumerate(tokens) if got[i] != [(2, 3, 2 + len(t))]]
+    assert not missed
+    assert not got[len(tokens)] and not got[len(tokens) + 1]
+
+
 def test_secret_digest_is_of_the_joined_spans(spark):
     df = spark.createDataFrame([(1, "x token=abcdefabcdefabcdef")], "doc_id long, text string")
     row = secrets.scan(df).select(
