@@ -4,7 +4,9 @@ Base kinds, leftmost and not overlapping within a kind: ``assign`` (a value of 1
 more characters given to a name such as password), ``access`` (keys that begin with
 AKIA) and ``hex`` (16 or more hexadecimal digits).
 
-The battery looks at all other runs of 20 or more characters of the base64 alphabets.
+The battery looks at all runs of 20 or more characters of the base64 alphabets that
+base spans do not cover. A run that they cover in part is tested whole, and so are its
+stretches of 20 or more characters outside them, without hyphens at the cut.
 A run's encoding is inferred, as the smallest alphabet that holds it (hex; letters of
 one case; the base32 alphabets and base36 in either case; letters; base58; base62;
 base64), and its characters become values of that alphabet. Chi-squared uniformity, the runs test above and below the middle and
@@ -35,7 +37,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
 #: Runs of characters that the battery tests.
-RUN = r"[A-Za-z0-9+/_-]{20,}"
+LEAST = 20
+RUN = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
 #: Level of the tests against randomness.
 ALPHA = 0.001
 #: Share of ordinary text among what is found.
@@ -220,11 +223,64 @@ def tested(runs: Column) -> Column:
     )
 
 
+def uncovered(runs: Column, base: Column) -> Column:
+    """Runs, and stretches of them, that base spans leave free: array of struct(s, e, v)."""
+
+    def add(state: Column, b: Column) -> Column:
+        gap = F.struct(state["at"].alias("s"), b["s"].alias("e"))
+        gaps = F.when(b["s"] > state["at"], F.concat(state["gaps"], F.array(gap))).otherwise(state["gaps"])
+        return F.struct(F.greatest(state["at"], b["e"]).alias("at"), gaps.alias("gaps"))
+
+    def cut(r: Column, near: Column) -> Column:
+        # base spans are sorted by their start; an empty one stands at the run's end
+        last = F.array(F.struct(r["e"].alias("s"), r["e"].alias("e")))
+        start = F.struct(r["s"].alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("gaps"))
+        return F.aggregate(F.concat(near, last), start, add, lambda x: x["gaps"])
+
+    def stretches(r: Column, gaps: Column) -> Column:
+        parts = F.transform(
+            gaps, lambda g: F.struct(g.alias("g"), F.substring(r["v"], g["s"] - r["s"] + 1, g["e"] - g["s"]).alias("v"))
+        )
+        # separators next to a base span are no part of a token
+        parts = with_fields(
+            parts, ("g",), v=lambda x: F.when(x["g"]["s"] > r["s"], F.ltrim(x["v"], F.lit("-_"))).otherwise(x["v"])
+        )
+        parts = with_fields(
+            parts,
+            (),
+            s=lambda x: x["g"]["e"] - F.length(x["v"]),
+            v=lambda x: F.when(x["g"]["e"] < r["e"], F.rtrim(x["v"], F.lit("-_"))).otherwise(x["v"]),
+        )
+        parts = with_fields(parts, ("s",), e=lambda x: x["s"] + F.length(x["v"]), v=lambda x: x["v"])
+        return F.filter(parts, lambda x: x["e"] - x["s"] >= LEAST)
+
+    rows = with_fields(
+        with_fields(runs, ("s", "e", "v")),
+        (),
+        run=lambda r: r,
+        near=lambda r: F.filter(base, lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])),
+    )
+    rows = with_fields(
+        rows,
+        ("run", "near"),
+        gaps=lambda x: F.when(
+            F.size(x["near"]) > 0,
+            cut(x["run"], F.transform(x["near"], lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e")))),
+        ),
+    )
+    tests = F.transform(
+        rows,
+        lambda x: F.when(x["gaps"].isNull(), F.array(x["run"]))
+        .when(F.size(x["gaps"]) > 0, F.concat(F.array(x["run"]), stretches(x["run"], x["gaps"])))
+        .otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>")),
+    )
+    return F.flatten(tests)
+
+
 def candidates(runs: Column, base: Column) -> Column:
-    """Runs outside base spans that randomness is not rejected for, with bucket and stratum."""
-    free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
+    """Runs not covered by base spans that randomness is not rejected for, with bucket and stratum."""
     return F.transform(
-        F.filter(tested(free), lambda c: c["random"] >= ALPHA),
+        F.filter(tested(uncovered(runs, base)), lambda c: c["random"] >= ALPHA),
         lambda c: F.struct(
             c["s"].alias("s"),
             c["e"].alias("e"),

@@ -348,6 +348,22 @@ def test_long_random_tokens_of_each_alphabet_are_found(spark):
     assert not got[len(tokens)] and not got[len(tokens) + 1]
 
 
+def test_rest_of_a_run_outside_base_spans_is_tested(spark):
+    rng = random.Random(23)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(2)]
+    a, b = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(60)) for _ in "ab")
+    texts = [f"{hexes[0]}-{a}", f"x {a}_{hexes[0]}.", f"{a}-{hexes[0]}--{b}-{hexes[1]}-zz", f"{hexes[0]} {hexes[1]}"]
+    texts += [f"token={hexes[0]}-{a}", f"of_an_ordinary_production_environment_password={hexes[0]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.scan(df).select("row.doc_id", "spans").collect()}
+    assert {(0, 2, 32), (33, 3, 93)} <= set(got[0]) and {(2, 3, 62), (63, 2, 95)} <= set(got[1])
+    assert {(0, 3, 60), (61, 2, 93), (95, 3, 155), (156, 2, 188)} <= set(got[2])
+    assert all(k != 3 for i in (3, 4, 5) for _, k, _ in got[i])
+    masked = {r.doc_id: r.text for r in secrets.without_secrets(df).collect()}
+    for i in range(3):
+        assert a not in masked[i] and b not in masked[i] and "[SECRET]" in masked[i]
+
+
 def test_secret_digest_is_of_the_joined_spans(spark):
     df = spark.createDataFrame([(1, "x token=abcdefabcdefabcdef")], "doc_id long, text string")
     row = secrets.scan(df).select(
