@@ -3,7 +3,8 @@
 A page is cut into flat blocks at its block-level tags. A block has its words, its link
 density (share of words inside links), both of its neighbours, and where it stands:
 inside the article, inside elements that by tag or name hold other matter, or as a
-heading. A decision tree over these measures, fitted by Spark ML on a small labelled
+heading. A class, id or role counts as a whole or by its head word, and not on an element
+that holds an article, main or h1. A decision tree over these measures, fitted by Spark ML on a small labelled
 table, keeps or drops the block. Scripts, styles, form controls and comments in the
 markup never become text. Only scripts, styles, textareas and titles without an end tag
 reach to the end of the page; what else is silent ends with the element around it, and
@@ -44,7 +45,7 @@ BREAKING = frozenset(
 )
 #: Elements without an end tag.
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements, and words in class, id and role, that hold other matter than the article.
+#: Elements, and names in class, id and role, that hold other matter than the article.
 OTHER_TAGS = frozenset("nav footer aside form menu dialog button label fieldset".split())
 OTHER_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent
@@ -52,6 +53,9 @@ OTHER_NAMES = frozenset(
     navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies reply
     respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget""".split()
 )
+#: Last words that leave a name's meaning to the word before, and first words of states.
+PARTS = frozenset("area bar box form item items link links list posts section slot unit".split())
+STATES = frozenset("has is no not with without".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -81,6 +85,18 @@ FEATURES = (
 )
 
 
+def is_other(token: str) -> bool:
+    """Whether a class, id or role names other matter, as a whole or by its head word."""
+    if token.lower() in OTHER_NAMES:
+        return True
+    words = [x.lower() for x in _NAME.findall(token)]
+    if not words or words[0] in STATES:
+        return False
+    while len(words) > 1 and words[-1] in PARTS and words[-1] not in OTHER_NAMES:
+        words.pop()
+    return words[-1] in OTHER_NAMES
+
+
 def raw_end(page: str, tag: str, at: int) -> int:
     stop = _RAW_END[tag].search(page, at)
     return stop.end() if stop else len(page)
@@ -143,9 +159,11 @@ def silent_ends(page: str) -> dict[int, int]:
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """Flat blocks of a page in order: text, measures."""
-    found: list[tuple[str, int, int, list[float]]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, article, other tag, other name
-    counts = [0, 0, 0]
+    found: list[tuple[str, int, int, list]] = []
+    # tag, article, other tag, hidden, other name, number of blocks before
+    stack: list[tuple[str, bool, bool, bool, bool, int]] = []
+    named: list[int] = []  # places in the stack of other names
+    counts = [0, 0, 0, 0]
     pieces: list[str] = []
     linked: list[str] = []
     link = heading = False
@@ -155,15 +173,32 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if text:
             words = text.count(" ") + 1
             in_links = len(entities.unescape(" ".join(linked)).split())
-            place = [float(counts[0] > 0), float(counts[1] > 0), float(counts[2] > 0), float(heading)]
+            place = [counts[0] > 0, counts[1] > 0, counts[2] > 0, counts[3], heading]
             found.append((text, words, min(in_links, words), place))
         pieces.clear()
         linked.clear()
 
     def pop() -> None:
-        _, *marks = stack.pop()
-        for k in range(3):
+        _, *marks, _ = stack.pop()
+        for k in range(4):
             counts[k] -= marks[k]
+        if marks[3]:
+            named.pop()
+
+    def unmark() -> None:
+        """Take back the names of all open elements, for they hold the article."""
+        if not named:
+            return
+        firsts = [stack[x][5] for x in named]
+        passed = 0
+        for number in range(firsts[0], len(found)):
+            while passed < len(firsts) and firsts[passed] <= number:
+                passed += 1
+            found[number][3][3] -= passed
+        for x in named:
+            stack[x] = (*stack[x][:4], False, stack[x][5])
+        counts[3] = 0
+        named.clear()
 
     ends = silent_ends(page) if _NESTED.search(page) else {}
     at, end = 0, len(page)
@@ -209,16 +244,21 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         while stack and stack[-1][0] in ("p", "li" if tag == "li" else "p"):
             pop()  # end tags that may be left out
         inside_article = counts[0] > 0
-        names = {
-            x.lower() for v in _NAMES.findall(attributes) for x in _NAME.findall(v[0] or v[1] or v[2])
-        }
+        tokens = [x for v in _NAMES.findall(attributes) for x in (v[0] or v[1] or v[2]).split()]
+        main = tag == "main" or any("main" in map(str.lower, _NAME.findall(x)) for x in tokens)
+        other = tag != "main" and any(map(is_other, tokens))
+        if tag in ("main", "h1") or (tag == "article" and not other):
+            unmark()
         marks = (
-            tag in ("article", "main") or "main" in names,
+            tag == "article" or main,
             tag in OTHER_TAGS or (tag == "header" and not inside_article),
-            bool(names & OTHER_NAMES) or bool(_HIDDEN.search(attributes)),
+            bool(_HIDDEN.search(attributes)),
+            other,
         )
-        stack.append((tag, *marks))
-        for k in range(3):
+        if other:
+            named.append(len(stack))
+        stack.append((tag, *marks, len(found)))
+        for k in range(4):
             counts[k] += marks[k]
     close_block()
     has_article = float(any(x[3][0] for x in found))
@@ -228,6 +268,8 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         for near in (k - 1, k + 1):
             known = 0 <= near < len(found)
             row += [float(found[near][1]), found[near][2] / found[near][1]] if known else [0.0, 0.0]
+        article, other_tag, hidden, names, title = place
+        place = [float(article), float(other_tag), float(hidden or names > 0), float(title)]
         out.append((text, [*row, *place, has_article, float(text[-1] in ".!?:;…\"'»”)")]))
     return out
 
@@ -262,6 +304,9 @@ def labelled_pages() -> list[tuple[list[float], float]]:
         foot = f"<footer>{'x ' * (4 + 8 * wide)}x.</footer>" if number % 4 != 3 else menu
         holder = ("article", "main", "article", "div")[number // len(lengths)]
         story = f"<{holder}>{body}{inner}<p>{'m ' * 5}m.</p></{holder}>"
+        # names that speak of other matter around the article itself
+        wrapper = ("", "has-sidebar", "comments-open", "elementor-widget-container", "widget")[number % 5]
+        story = f"<div class='{wrapper}'>{story}</div>" if wrapper else story
         page = f"<body>{head}{nav}{outer}{story}{other[(number + 1) % 6]}{foot}</body>"
         rows += [(measures, float(x.startswith("m"))) for x, measures in blocks(page)]
     return rows

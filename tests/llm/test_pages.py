@@ -107,6 +107,23 @@ def test_silent_elements_end_with_what_holds_them(spark):
     assert len(html_blocks.blocks("<p>a</p>" + "<div><svg>" * 50_000 + "<option>" * 50_000)) == 1
 
 
+def test_names_around_the_article_do_not_hide_it(spark):
+    nodes = html_blocks.fit_tree(spark)
+    body = f"<p>{'Words of the story. ' * 9}</p><p>{'And its end, too. ' * 9}</p>"
+    want = html_blocks.main_text(nodes, f"<article>{body}</article>")
+    assert want.count("\n") == 1
+    for x in ("has-sidebar", "comments-open", "elementor-widget-container", "widget", "with-ads"):
+        for page in (f"<div class='{x}'><article>{body}</article></div>", f"<main class='{x}'>{body}</main>"):
+            assert html_blocks.main_text(nodes, page) == want, page
+    title = html_blocks.main_text(nodes, f"<div id=sidebar><p>a b c.</p><div class=ad><p>x.</p></div><h1>T</h1>{body}</div>")
+    assert title.endswith(want)
+    marked = lambda page: [x[8] for _, x in html_blocks.blocks(page)]
+    for x in ("ad", "AD", "ad-slot", "cookie-notice", "comment-list", "related-posts", "navBar", "post-comments"):
+        assert marked(f"<div class='a {x}'><p>b</p></div><p>c</p>") == [1.0, 0.0]
+    assert marked("<div class=ad><p>a</p><div class=ad><p>b</p></div><h1>c</h1><p>d</p></div>") == [0.0, 1.0, 0.0, 0.0]
+    assert marked("<div class=comments><article class=comment><p>a</p></article></div>") == [1.0]
+
+
 def test_labelled_table_is_learnt(spark):
     nodes = html_blocks.fit_tree(spark)
     rows = html_blocks.labelled_pages()
