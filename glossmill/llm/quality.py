@@ -9,7 +9,9 @@ sequence ends at the first cutoff that fails, so it needs no further correction,
 the shares correct for the strata and rules (weighted Bonferroni). With probability 1 - ``ERROR`` no stratum loses
 more than ``RISK`` of its good rows. Of the safe cutoffs the one that rejects the most
 bad rows per good row lost is used, the mildest among equals; without a safe one that
-helps, the rule is off in that stratum.
+helps, the rule is off in that stratum. Even with no good row rejected a rule needs
+log(share * ERROR / strata) / log(1 - share * RISK) good rows in a stratum: with four
+strata 201 for symbols, 835 for marks and repeats, 1,334 for duplicate_lines and capitals.
 
 Null texts have no words. Rows without a language form a stratum. Unlabelled rows and
 rows without a key are judged, not learnt from. A key with several labels counts once

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -265,6 +266,16 @@ def test_tail_is_the_binomial_sum():
         assert quality.tail(k, n, p) == pytest.approx(want)
 
 
+def test_readme_states_the_least_good_rows_of_each_rule():
+    readme = (Path(__file__).parents[2] / "README.md").read_text()
+    for strata in (1, 2, 4, 8):
+        least = []
+        for rule in ("symbols", "marks", "duplicate_lines"):
+            rate, level = quality.RULES[rule] * quality.RISK, quality.RULES[rule] * quality.ERROR / strata
+            least.append(next(n for n in range(1, 9999) if quality.tail(0, n, rate) <= level))
+        assert f"| {strata} | {least[0]} | {least[1]} | {least[2]} |" in readme
+
+
 def test_quality_rules(spark):
     rng = random.Random(9)
     data, known = [], []
