@@ -17,9 +17,12 @@ from glossmill.operators.vocabulary import dense_ids, word_counts
 from glossmill.session import checked_broadcast, materialise
 
 TARGET_SIZE = 1000
-MAX_PIECE = 20
-#: Shortest piece of each counting pass.
-PASSES = (2, 5, 9)
+#: Longest piece of the first counting pass; each pass doubles it.
+FIRST_PASS = 4
+#: Pieces that may reach every task: all code points and as many longer pieces again.
+MAX_PIECES = 2 * 0x110000
+#: Characters of a word that one row of a pass starts pieces from.
+CHUNK = 4096
 STRETCH = r"(?s)(?=(.{{{},{}}}))"
 #: Words and the stretches between them; joined they give the text again.
 RUNS = r"([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+)"
@@ -30,60 +33,89 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(RUNS), F.lit(1))
 
 
+def _chunked(words: DataFrame, low: int, high: int) -> DataFrame:
+    """``n, starts``: for parts of every word, the stretches of up to ``high`` characters.
+
+    A part has ``CHUNK`` starts and the characters that stretches reach beyond them, so
+    a row stays small however long a word is.
+    """
+    step = max(CHUNK // high, 1) * 64 if high > 64 else CHUNK
+    parts = F.sequence(F.lit(0), F.floor((F.length("word") - low) / step).cast("int"))
+    length = F.lit(step + high - 1)
+    part = F.when(F.length("word") <= step, F.col("word")).otherwise(
+        F.substring("word", F.col("_part") * step + 1, length)
+    )
+    found = F.regexp_extract_all(part, F.lit(STRETCH.format(low, high)), F.lit(1))
+    return (
+        words.filter(F.length("word") >= low)
+        .select("n", "word", F.explode_outer(parts).alias("_part"))  # never empty
+        .select("n", F.slice(found, 1, step).alias("starts"))
+    )
+
+
 def piece_counts(
-    words: DataFrame, low: int, high: int, inner: DataFrame | None = None
+    words: DataFrame, low: int, high: int, inner: DataFrame | None = None, ends: DataFrame | None = None
 ) -> DataFrame:
     """``piece, n``: occurrences of the substrings of ``low`` to ``high`` characters.
 
-    With ``inner``, frequent pieces of ``low - 1`` characters, only substrings that
-    start and end with one of them are counted. The start is tested before the
-    lengths are unfolded.
+    With ``inner`` and ``ends``, pieces of ``low - 1`` characters, only substrings that
+    start with one of the first and end with one of the second are counted. The start
+    is tested before the lengths are unfolded.
     """
-    stretches = F.regexp_extract_all("word", F.lit(STRETCH.format(low, high)), F.lit(1))
-    found = words.filter(F.length("word") >= low).select("n", F.explode(stretches).alias("_t"))
+    found = _chunked(words, low, high).select("n", F.explode_outer("starts").alias("_t"))
     if inner is not None:
         known = checked_broadcast(inner.select(F.col("piece").alias("_known")))
         found = found.join(known, F.left("_t", F.lit(low - 1)) == F.col("_known"), "left_semi")
     found = found.select(
         "n", "_t", F.explode(F.sequence(F.lit(low), F.length("_t"))).alias("_l")
     ).select("n", F.left("_t", F.col("_l")).alias("piece"))
-    if inner is not None:
+    if ends is not None:
+        known = checked_broadcast(ends.select(F.col("piece").alias("_known")))
         found = found.join(known, F.right("piece", F.lit(low - 1)) == F.col("_known"), "left_semi")
     return found.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def build_subwords(
-    rows: DataFrame, text: Column | str, target_size: int = TARGET_SIZE, max_piece: int = MAX_PIECE
+    rows: DataFrame, text: Column | str, target_size: int = TARGET_SIZE, max_piece: int | None = None
 ) -> DataFrame:
     """``piece, id, n``: all single characters plus the most frequent longer pieces.
 
     The number of longer pieces fills the vocabulary up to ``target_size``. Ids
-    start at 1, by falling frequency; 0 is left for padding.
+    start at 1, by falling frequency; 0 is left for padding. Pieces may be as long as
+    the longest word; ``max_piece`` is a limit for callers who want one.
 
     The text is read once for word counts. Pieces are then counted over distinct
-    words in a few passes of growing length. A piece is never more frequent than
-    the pieces inside it, so a pass only counts extensions of pieces that are at
-    least as frequent as the last one that fits so far. That is exact, ties
-    included, and the shuffles carry few of the corpus' long substrings.
+    words in passes of doubling length. A piece is never more frequent than the
+    pieces inside it, and comes after each piece it starts with, so a pass only counts
+    extensions of pieces that could still enter the vocabulary, ties included. The
+    passes end where no piece of their greatest length is frequent enough. That is
+    exact, and the shuffles carry few of the corpus' long substrings.
     """
     col = F.col(text) if isinstance(text, str) else text
     words = materialise(word_counts(rows, runs(col)))
     single = materialise(piece_counts(words, 1, 1))
     room = max(target_size - single.count(), 0)
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    widest = longest if max_piece is None else min(max_piece, longest)
     best: list[tuple[str, int]] = []  # at most ``room`` pieces
-    counted = None
-    for low, high in zip(PASSES, (*(p - 1 for p in PASSES[1:]), max_piece)):
-        high = min(high, max_piece)
-        if low > high:
-            break
-        least = best[-1][1] if best and len(best) >= room else 1
-        frequent = F.col("n") >= least
-        inner = counted and counted.filter(frequent & (F.length("piece") == low - 1))
-        counted = materialise(piece_counts(words, low, high, inner).filter(frequent))
+    inner = ends = None
+    low, high = 2, FIRST_PASS
+    while room and low <= widest:
+        high = min(high, widest)
+        counted = piece_counts(words, low, high, inner, ends)
+        if len(best) >= room:
+            counted = counted.filter(F.col("n") >= best[-1][1])
+        counted = materialise(counted)
         top = counted.orderBy(F.col("n").desc(), "piece").limit(room).collect()
         best = sorted(best + [(r.piece, r.n) for r in top], key=lambda p: (-p[1], p[0]))[:room]
-        if not top or high == max_piece:
+        inner = ends = counted.filter(F.length("piece") == high)
+        if len(best) >= room:
+            last, least = best[-1]
+            ends = ends.filter(F.col("n") >= least)
+            inner = ends.filter((F.col("n") > least) | (F.col("piece") < last))
+        if not inner.take(1):
             break
+        low, high = high + 1, 2 * high
     longer = rows.sparkSession.createDataFrame(best, "piece string, n long")
     return dense_ids(single.unionByName(longer), F.col("n").desc(), F.col("piece"), first=1).select(
         "piece", "id", "n"
@@ -98,7 +130,7 @@ def _pieces(vocab: DataFrame, bound: int) -> dict[str, int]:
     return {r.piece: r.id for r in found}
 
 
-def encode_subwords(vocab: DataFrame, text: Column, bound: int = 100_000) -> Column:
+def encode_subwords(vocab: DataFrame, text: Column, bound: int = MAX_PIECES) -> Column:
     """Ids of the longest matching pieces, from left to right, within each run.
 
     Characters outside the vocabulary fall back to their bytes, numbered after the
@@ -108,15 +140,17 @@ def encode_subwords(vocab: DataFrame, text: Column, bound: int = 100_000) -> Col
     """
     ids = _pieces(vocab, bound)
     last = max(ids.values(), default=0)
-    widest = max(map(len, ids), default=1)
+    lengths: dict[str, list[int]] = {}  # of the pieces by their first character, longest first
+    for n, first in sorted({(len(p), p[0]) for p in ids}, reverse=True):
+        lengths.setdefault(first, []).append(n)
 
     def encode_run(run: str) -> list[int]:
         out: list[int] = []
         at = 0
         while at < len(run):
-            for n in range(min(widest, len(run) - at), 0, -1):
+            for n in lengths.get(run[at], ()):
                 found = ids.get(run[at : at + n])
-                if found is not None:
+                if found is not None and n <= len(run) - at:
                     out.append(found)
                     at += n
                     break
@@ -144,7 +178,7 @@ def encode_subwords(vocab: DataFrame, text: Column, bound: int = 100_000) -> Col
     return encode(runs(text))
 
 
-def decode_subwords(vocab: DataFrame, ids: Column, bound: int = 100_000) -> Column:
+def decode_subwords(vocab: DataFrame, ids: Column, bound: int = MAX_PIECES) -> Column:
     """Text of subword ids: the inverse of ``encode_subwords``."""
     pieces = {i: p.encode() for p, i in _pieces(vocab, bound).items()}
     last = max(pieces, default=0)

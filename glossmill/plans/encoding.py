@@ -241,7 +241,7 @@ _RUNS = r"unnest(regexp_extract_all({}, '([\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{
 _SUBWORDS = f"""WITH words AS (SELECT word, count(*) AS n FROM (
   SELECT {_RUNS.format('text')} AS word FROM documents) GROUP BY 1),
 pieces AS (SELECT substr(word, i, l) AS piece, sum(n)::BIGINT AS n FROM (
-  SELECT word, n, i, unnest(range(1, least({subwords.MAX_PIECE}, length(word) - i + 1) + 1)) AS l FROM (
+  SELECT word, n, i, unnest(range(1, length(word) - i + 2)) AS l FROM (
     SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)) GROUP BY 1),
 chosen AS (SELECT piece, n FROM pieces WHERE length(piece) = 1 UNION ALL
   SELECT piece, n FROM (SELECT piece, n, row_number() OVER (ORDER BY n DESC, piece) AS r
@@ -267,7 +267,7 @@ steps AS (
   UNION ALL
   SELECT word, p0 + width, step + 1, new_id FROM (
     SELECT s.word, s.p0, s.step, length(p.piece) AS width, p.id AS new_id
-    FROM (SELECT word, p0, step, unnest(range(1, least({subwords.MAX_PIECE}, length(word) - p0 + 1) + 1)) AS l
+    FROM (SELECT word, p0, step, unnest(range(1, length(word) - p0 + 2)) AS l
           FROM steps WHERE p0 <= length(word)) s
     JOIN subwords p ON p.piece = substr(s.word, s.p0, s.l)
     QUALIFY row_number() OVER (PARTITION BY s.word, s.p0 ORDER BY s.l DESC) = 1)),
@@ -300,13 +300,13 @@ _PATTERN = r"([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+)"
 
 def sql_side(side: str) -> dict[str, str]:
     """CTEs from the entries' column to ``<side>_bounded``: ids between start and end."""
-    longest, size = subwords.MAX_PIECE, subwords.TARGET_SIZE
+    size = subwords.TARGET_SIZE
     w, s = f"{side}_words", f"{side}_steps"
     runs = f"regexp_extract_all({side}, '{_PATTERN}', 1)"
     return {
         w: f"SELECT word, count(*) AS n FROM (SELECT unnest({runs}) AS word FROM length_mix) GROUP BY ALL",
         f"{side}_pieces": f"""SELECT substr(word, i, l) AS piece, sum(n)::BIGINT AS n
-FROM (SELECT *, unnest(range(1, least({longest}, length(word) - i + 1) + 1)) AS l
+FROM (SELECT *, unnest(range(1, length(word) - i + 2)) AS l
   FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM {w})) GROUP BY ALL""",
         f"{side}_ids": f"""SELECT piece, row_number() OVER (ORDER BY n DESC, piece) AS id FROM {side}_pieces
 WHERE length(piece) = 1 OR piece IN (SELECT piece FROM {side}_pieces WHERE length(piece) > 1
@@ -314,7 +314,7 @@ WHERE length(piece) = 1 OR piece IN (SELECT piece FROM {side}_pieces WHERE lengt
         s: f"""SELECT word, 1 AS place, 0 AS step, NULL::BIGINT AS id FROM {w}
 UNION ALL SELECT word, place + width, step + 1, id FROM (
   SELECT x.word, x.place, x.step, length(p.piece) AS width, p.id
-  FROM (SELECT word, place, step, unnest(range(1, least({longest}, length(word) - place + 1) + 1)) AS l
+  FROM (SELECT word, place, step, unnest(range(1, length(word) - place + 2)) AS l
     FROM {s} WHERE place <= length(word)) x JOIN {side}_ids p ON p.piece = substr(x.word, x.place, x.l)
   QUALIFY row_number() OVER (PARTITION BY x.word, x.place ORDER BY x.l DESC) = 1)""",
         f"{side}_coded": f"SELECT word, list(id ORDER BY step) AS ids FROM {s} WHERE step > 0 GROUP BY ALL",

@@ -327,47 +327,59 @@ def distinct_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PATHS = """SELECT id, array_to_string(list_sort(array_agg(path)), '|') AS paths, count(*) AS n_paths
-FROM (SELECT id, unnest(paths) AS path FROM function_lines WHERE length(comments) >= 2) GROUP BY 1"""
+def _path_rows(view: str, size: int, keys: str = "id") -> str:
+    """SQL of the run-length path arrays: ``size`` distinct paths a row."""
+    return f"""SELECT {keys}, part, string_agg(path || '*' || copies, '|' ORDER BY path) AS paths,
+  sum(copies)::BIGINT AS n FROM (
+    SELECT *, ((row_number() OVER (PARTITION BY {keys} ORDER BY path) - 1) // {size})::BIGINT AS part
+    FROM (SELECT {keys}, path, count(*) AS copies FROM (
+      SELECT {keys}, unnest(paths) AS path FROM {view} WHERE length(comments) >= 2) GROUP BY ALL))
+GROUP BY {keys}, part"""
 
 
-@query("a4_array_agg", with_inputs("function_lines", _PATHS))
+def written(paths: str) -> Column:
+    """A run-length array as text: ``path*copies`` joined by bars."""
+    return F.array_join(F.transform(paths, lambda p: F.concat_ws("*", p.path, p.copies.cast("string"))), "|")
+
+
+@query("a4_array_agg", with_inputs("function_lines", _path_rows("function_lines", 2)))
 def array_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = ranking.function_paths(inputs.function_lines(spark, sf_dir))
-    repeated = F.flatten(F.collect_list(F.expr("array_repeat(path, int(copies))")))
-    return paths.groupBy("id").agg(
-        F.array_join(F.sort_array(repeated), "|").alias("paths"), F.sum("copies").alias("n_paths")
+    """Paths of every id with their copies, two paths a row."""
+    paths = materialise(ranking.function_paths(inputs.function_lines(spark, sf_dir)))
+    return ranking.path_arrays(paths, size=2).select(
+        "id",
+        F.col("part").cast("long").alias("part"),
+        written("paths").alias("paths"),
+        F.aggregate("paths", F.lit(0).cast("long"), lambda n, p: n + p.copies).alias("n"),
     )
 
 
+_FIRST = """QUALIFY row_number() OVER (PARTITION BY id ORDER BY line, "character",
+  substr(md5(comments || chr(0) || text), 1, 15)) = 1"""
+
+
 @query(
     "a5_any_value",
     with_inputs(
         "function_lines",
-        """SELECT id, line, "character", comments, text FROM function_lines WHERE length(comments) >= 2
-QUALIFY row_number() OVER (PARTITION BY id ORDER BY line, "character", comments, text) = 1""",
+        f"""SELECT id, line, "character", comments, text FROM function_lines WHERE length(comments) >= 2
+{_FIRST}""",
     ),
 )
 def any_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = ("line", "character", "comments", "text")
-    return (
-        ranking.commented(inputs.function_lines(spark, sf_dir))
-        .groupBy("id")
-        .agg(F.min(F.struct(*fields)).alias("f"))
-        .select(
-            "id",
-            F.col("f.line").cast("long").alias("line"),
-            F.col("f.character").cast("long").alias("character"),
-            "f.comments",
-            "f.text",
-        )
+    return ranking.first_functions(ranking.numbered(inputs.function_lines(spark, sf_dir))).select(
+        "id",
+        F.col("line").cast("long").alias("line"),
+        F.col("character").cast("long").alias("character"),
+        "comments",
+        "text",
     )
 
 
-_RANKED_FUNCTIONS = """SELECT f.id, p.paths, f.line, f."character", f.comments, f.text, l.stars FROM
-  (SELECT * FROM functions WHERE length(comments) >= 2
-   QUALIFY row_number() OVER (PARTITION BY id ORDER BY line, "character", comments, text) = 1) f
-JOIN paths p USING (id) JOIN (SELECT id, max(stars) AS stars FROM lookups GROUP BY 1) l USING (id)"""
+_RANKED_FUNCTIONS = f"""SELECT p.id, p.part, p.paths, t.n_paths, f.line, f."character", f.comments, f.text, l.stars
+FROM paths p JOIN (SELECT id, sum(n)::BIGINT AS n_paths FROM paths GROUP BY 1) t USING (id)
+JOIN (SELECT id, max(stars) AS stars FROM lookups GROUP BY 1) l USING (id)
+LEFT JOIN (SELECT * FROM functions WHERE length(comments) >= 2 {_FIRST}) f ON f.id = p.id AND p.part = 0"""
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +387,9 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = materialise(stars_of(spark, sf_dir))
     return ranking.rank_functions(inputs.functions(spark, sf_dir), stars).select(
         "id",
-        F.array_join("paths", "|").alias("paths"),
+        F.col("part").cast("long").alias("part"),
+        written("paths").alias("paths"),
+        "n_paths",
         F.col("line").cast("long").alias("line"),
         F.col("character").cast("long").alias("character"),
         "comments",
@@ -388,7 +402,7 @@ _RANKED_SQL = with_inputs(
     "stars_table functions",
     _RANKED_FUNCTIONS,
     lookups=_LOOKUP,
-    paths=_PATHS.replace("function_lines", "functions").replace(", count(*) AS n_paths", ""),
+    paths=_path_rows("functions", ranking.PART),
 )
 
 
@@ -401,12 +415,15 @@ def ranked_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "a6_ranked_per_function",
     with_inputs(
         "stars_table function_lines",
-        """SELECT f.id, f.line, array_to_string(list_sort(array_agg(f.path)), '|') AS paths,
-  min(f.comments) AS comments, max(s.stars) AS stars
-FROM (SELECT *, string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS repo FROM
-      (SELECT id, line, comments, unnest(paths) AS path FROM function_lines
-       WHERE length(comments) >= 2)) f
-LEFT JOIN stars_table s ON s.repo_name = f.repo GROUP BY 1, 2""",
+        """SELECT f.id, f.line, string_agg(f.path || '*' || f.copies, '|' ORDER BY f.path) AS paths,
+  sum(f.copies)::BIGINT AS n_paths, max(s.stars) AS stars, min(c.comments) AS comments
+FROM (SELECT id, line, path, count(*) AS copies, string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS repo
+  FROM (SELECT id, line, unnest(paths) AS path FROM function_lines WHERE length(comments) >= 2) GROUP BY ALL) f
+LEFT JOIN stars_table s ON s.repo_name = f.repo
+JOIN (SELECT id, line, comments FROM function_lines WHERE length(comments) >= 2
+  QUALIFY row_number() OVER (PARTITION BY id, line
+    ORDER BY substr(md5(comments || chr(0) || text), 1, 15)) = 1) c ON c.id = f.id AND c.line = f.line
+GROUP BY 1, 2""",
     ),
 )
 def ranked_per_function(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,18 +433,18 @@ def ranked_per_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(
         "id",
         F.col("line").cast("long").alias("line"),
-        F.array_join("paths", "|").alias("paths"),
+        written("paths").alias("paths"),
+        "n_paths",
         "comments",
         "stars",
     )
 
 
-@query("f12_popular", f"SELECT id, stars FROM ({_RANKED_SQL}) WHERE stars >= 20")
+@query("f12_popular", f"SELECT id, stars FROM ({_RANKED_SQL}) WHERE stars >= 20 AND part = 0")
 def popular(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = materialise(stars_of(spark, sf_dir))
-    return ranking.popular(
-        ranking.rank_functions(inputs.functions(spark, sf_dir), stars), 20
-    ).select("id", "stars")
+    ranked_rows = ranking.rank_functions(inputs.functions(spark, sf_dir), stars)
+    return ranking.popular(ranked_rows, 20).filter("part = 0").select("id", "stars")
 
 
 @query("w1_row_number", _RANKED)

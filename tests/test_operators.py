@@ -151,6 +151,30 @@ def test_pieces_against_brute_force(spark, target, widest):
     assert [r.piece for r in got] == want
 
 
+@pytest.mark.parametrize("target", [30, 120, 700])
+def test_long_pieces_enter_the_vocabulary(spark, target, monkeypatch):
+    """No length is cut off: runs of 500 brackets, and a sentence without blanks."""
+    monkeypatch.setattr(subwords, "CHUNK", 97)  # words are read in many parts
+    texts = ["(" * 500 + ")"] * 3 + ["x" + "abcdefghij" * 6] * 40 + ["[" * 33, "word", "wort"] * 5
+    counts = Counter()
+    for text in texts:
+        for run in re.findall(r"\w+|\W+", text):
+            counts.update(run[i:j] for i in range(len(run)) for j in range(i + 1, len(run) + 1))
+    order = lambda p: (-p[1], p[0])
+    single = [p for p in counts.items() if len(p[0]) == 1]
+    longer = sorted((p for p in counts.items() if len(p[0]) > 1), key=order)[: max(target - len(single), 0)]
+    got = subwords.build_subwords(spark.createDataFrame([(t,) for t in texts], "text string"), "text", target)
+    found = [(r.piece, r.n) for r in got.orderBy("id").collect()]
+    assert found == sorted(single + longer, key=order)
+    assert max(len(p) for p, _ in found) > {30: 12, 120: 20, 700: 400}[target]
+
+
+def test_a_vocabulary_of_one_text_ends_with_its_longest_word(spark):
+    df = spark.createDataFrame([("abcabc",), (None,), ("",)], "text string")
+    got = {r.piece for r in subwords.build_subwords(df, "text", 1000).collect()}
+    assert got == {"abcabc"[i:j] for i in range(6) for j in range(i + 1, 7)}
+
+
 def test_unseen_characters_fall_back_to_bytes(spark):
     corpus = spark.createDataFrame([("aa ab",)], "text string")
     vocab = subwords.build_subwords(corpus, "text", 6)

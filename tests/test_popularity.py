@@ -1,6 +1,9 @@
 import datetime as dt
+import hashlib
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from glossmill.operators import popularity, ranking
@@ -83,14 +86,54 @@ def test_ranking_keeps_one_whole_function_per_id(spark):
     out = {r.id: r for r in ranking.rank_functions(fs, stars).collect()}
     assert set(out) == {"i", "j"}
     assert tuple(out["i"]) == (
-        "i", ["a/x/1.ts", "a/x/1.ts", "b/y/2.ts", "b/y/2.ts"], 3, 1, "first", "t3", 7,
+        "i", 0, [("a/x/1.ts", 2), ("b/y/2.ts", 2)], 4, 3, 1, "first", "t3", 7,
     )
-    assert out["j"].stars is None and out["j"].paths == ["odd"]
+    assert out["j"].stars is None and out["j"].paths == [("odd", 1)]
     per_function = ranking.rank_functions(fs, stars, ("id", "line", "character"))
     assert per_function.count() == 3
     assert ranking.popular(per_function, 7).count() == 2
 
 
+def test_equal_positions_are_decided_by_the_texts(spark):
+    rows = [("i", ["a/x/1.ts"], 2, 5, f"comment {i}", f"text {i % 3}") for i in range(12)]
+    rows += [("i", ["a/x/1.ts"], 2, 6, "later", "t"), ("n", ["a/x/1.ts"], 0, 0, "no text", None)]
+    key = lambda r: hashlib.md5(f"{r[4]}\0{r[5]}".encode()).hexdigest()[:15]
+    want = min(rows[:12], key=key)
+    for n in (1, 5):
+        stored = ranking.numbered(functions(spark, rows).repartition(n))
+        got = {r.id: tuple(r) for r in ranking.first_functions(stored).collect()}
+        assert got["i"] == ("i", *want[2:]) and got["n"] == ("n", 0, 0, "no text", None)
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_large_ids_have_a_row_per_range_of_paths(spark, size):
+    """An id that owns most rows is split; every path keeps its copies, in order."""
+    paths = [f"a/x/{i:03}.ts" for i in range(10)]
+    rows = [("hot", paths[: 1 + i % 10], i, 0, "comment", f"t{i}") for i in range(60)]
+    rows += [(f"cold{i}", paths[:2], 0, 0, "comment", "t") for i in range(25)]
+    stars = spark.createDataFrame([("a/x", 5)], "repo_name string, stars long")
+    got = ranking.rank_functions(functions(spark, rows).repartition(4), stars, size=size).collect()
+    assert all(len(r.paths) <= size and r.stars == 5 for r in got)
+    assert all((r.text is not None) == (r.part == 0) for r in got)
+    for id_ in {r[0] for r in rows}:
+        mine = sorted((r for r in got if r.id == id_), key=lambda r: r.part)
+        assert [r.part for r in mine] == list(range(len(mine)))
+        want = sorted(Counter(p for r in rows if r[0] == id_ for p in r[1]).items())
+        assert [tuple(p) for r in mine for p in r.paths] == want
+        assert {r.n_paths for r in mine} == {sum(n for _, n in want)}
+
+
+def test_ranking_sorts_no_texts(spark):
+    fs = functions(spark, [("i", ["a/x/1.ts"], i, 0, "comment", "t" * 9) for i in range(5)])
+    stored = ranking.numbered(fs)
+    plan = ranking.first_functions(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "Window" not in plan
+    stars = spark.createDataFrame([("a/x", 5)], "repo_name string, stars long")
+    plan = ranking.rank_functions(fs, stars)._jdf.queryExecution().executedPlan().toString()
+    # arrays of at most PART paths are the only objects that are aggregated
+    assert "SortAggregate" not in plan and "array_repeat" not in plan and plan.count("collect_list") <= 4
+
+
 def test_paths_of_a_hot_content_are_combined_before_the_shuffle(spark):
     fs = functions(spark, [("hot", ["a/x/1.ts"], i, 0, "comment", "t") for i in range(3000)])
     paths = ranking.function_paths(fs)
