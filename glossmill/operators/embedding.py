@@ -1,27 +1,259 @@
-"""Word vectors and their projection."""
+"""Word vectors and their projection, without a model on the driver.
+
+Skip-gram with negative samples factorises the words' shifted log ratios: for words that
+occur ``n`` times within a window, ``log(n N / (n_i n_j)) - log(negative)``, where that is
+positive. The vectors here are that matrix' leading singular vectors, found by randomised
+block power iteration:
+
+1. co-occurrences are counted, joined with their words' totals and kept as a sparse table;
+   entries of a row block and a column are one row, so that every array is bounded;
+2. a random basis of a few hundred columns, a row per word, is multiplied with the table by
+   a join and a grouped sum, and made orthonormal, some times over;
+3. only square matrices of the basis' width reach the driver.
+
+A basis as wide as the vocabulary spans everything; then no iteration is needed and the
+result is exact.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, Word2Vec
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.operators.vocabulary import word_counts
+from glossmill.operators.vocabulary import context_pairs, dense_ids, word_counts
+from glossmill.session import materialise
 
 # Training parameters of the published word vectors.
 DIMENSIONS = 300
 MIN_COUNT = 3
+MIN_COUNT_STRUCTURES = 1
 WINDOW = 7
-EPOCHS = 5
 SEED = 1
-#: Parts of a training round; fixed, so that vectors do not depend on the cluster.
-PARTITIONS = 8
-#: Longer than any text, so that no window is cut inside one.
-MAX_SENTENCE = 2**31 - 1
 
-#: The trainer keeps ``vocabulary x dimensions`` floats on the driver.
-MAX_WEIGHTS = 500_000_000
+NEGATIVE = 5
+#: Columns of the basis besides the dimensions asked for.
+OVERSAMPLE = 10
+ITERATIONS = 4
+#: Words of a row block.
+BLOCK = 2048
+#: Products that are summed at once.
+_ENTRIES = 16_384
+_VECTORS = "id long, vector array<double>"
+
+
+# --- the matrix ------------------------------------------------------------------------
+
+
+def numbered_words(
+    rows: DataFrame, tokens: Column, min_count: int = MIN_COUNT, max_words: int | None = None
+) -> DataFrame:
+    """``word, n, id`` of frequent words, the most frequent first; stored."""
+    counts = word_counts(rows, tokens, min_count)
+    words = materialise(
+        dense_ids(counts, F.col("n").desc(), F.col("word"), kind="long").select("word", "n", "id")
+    )
+    return words if max_words is None else words.filter(F.col("id") < max_words)
+
+
+def log_ratios(
+    rows: DataFrame, tokens: Column, words: DataFrame, window: int = WINDOW, negative: float = NEGATIVE
+) -> DataFrame:
+    """``i, j, value``: the positive shifted log ratios of the words' co-occurrences; stored."""
+    pairs = materialise(
+        context_pairs(rows, tokens, window)
+        .join(words.select(F.col("word").alias("center"), F.col("id").alias("i")), "center")
+        .join(words.select(F.col("word").alias("context"), F.col("id").alias("j")), "context")
+        .select("i", "j", "n")
+    )
+    totals = materialise(pairs.groupBy("i").agg(F.sum("n").cast("double").alias("total")))
+    all_pairs = totals.agg(F.coalesce(F.sum("total"), F.lit(0.0))).first()[0]
+    expected = F.col("total") * F.col("other") / F.lit(all_pairs)
+    value = F.log(F.col("n") / expected) - F.log(F.lit(float(negative)))
+    return materialise(
+        pairs.join(totals, "i")
+        .join(totals.select(F.col("i").alias("j"), F.col("total").alias("other")), "j")
+        .select("i", "j", value.alias("value"))
+        .filter(F.col("value") > 0)
+    )
+
+
+def sparse_columns(entries: DataFrame, blocks: int) -> DataFrame:
+    """``block, j, places, values``: a column's entries within a row block; stored.
+
+    Ids are dealt to the blocks in turn, so that frequent words spread evenly.
+    """
+    cell = F.struct(F.floor(F.col("i") / blocks).cast("int").alias("place"), "value")
+    return materialise(
+        entries.groupBy((F.col("i") % blocks).cast("int").alias("block"), "j")
+        .agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+        .select("block", "j", F.col("cells.place").alias("places"), F.col("cells.value").alias("values"))
+    )
+
+
+# --- bases: tables of (id, vector) ---------------------------------------------------------
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _vectors(ids: pa.Array, made: np.ndarray) -> pa.RecordBatch:
+    bounds = pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1])
+    lists = pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(made).reshape(-1)))
+    return pa.RecordBatch.from_arrays([ids, lists], ["id", "vector"])
+
+
+def first_basis(words: DataFrame, width: int, n: int, seed: int) -> DataFrame:
+    """Random rows, from the word's number alone; unit rows if the basis is wide enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            if width >= n:
+                made = np.zeros((len(ids), width))
+                made[np.arange(len(ids)), ids] = 1.0
+            else:
+                made = np.array([np.random.default_rng((seed, i)).standard_normal(width) for i in ids.tolist()])
+            if len(ids):
+                yield _vectors(batch.column(0), made.reshape(len(ids), width))
+
+    return words.select("id").mapInArrow(run, _VECTORS)
+
+
+def transformed(basis: DataFrame, map_: np.ndarray) -> DataFrame:
+    """Every vector times a small matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _vectors(batch.column(0), _matrix(batch.column(1), len(map_)) @ map_)
+
+    return basis.mapInArrow(run, _VECTORS)
+
+
+def gram(basis: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Products of all columns with each other, and the columns' sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width + 1, width))
+        for batch in batches:
+            some = _matrix(batch.column(1), width)
+            total[:width] += some.T @ some
+            total[width] += some.sum(axis=0)
+        cells = np.arange(total.size, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.reshape(-1))], ["cell", "v"])
+
+    rows = basis.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+    out = np.zeros((width + 1) * width)
+    for cell, v in rows.collect():
+        out[cell] = v
+    out = out.reshape(width + 1, width)
+    return (out[:width] + out[:width].T) / 2, out[width]
+
+
+def orthonormal(basis: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """The basis with orthonormal columns, and their number; dependent columns go."""
+    map_ = np.eye(width)
+    for _ in range(2):  # the second round mends the rounding of the first
+        values, axes = np.linalg.eigh(gram(transformed(basis, map_), map_.shape[1])[0])
+        kept = values > 1e-13 * max(values[-1], 0.0)
+        map_ = map_ @ (axes[:, kept] / np.sqrt(values[kept]))
+    return transformed(basis, map_), map_.shape[1]
+
+
+def multiplied(columns: DataFrame, basis: DataFrame, width: int, blocks: int, n: int) -> DataFrame:
+    """The matrix times the basis: a join by column, sums by row block; stored.
+
+    Rows of a block arrive in the order of columns and are added to one array of
+    ``BLOCK`` rows, so memory does not depend on the number of entries.
+    """
+    met = columns.join(basis.withColumnRenamed("id", "j"), "j")
+    placed = met.select("block", "places", "values", "vector", "j").repartition("block")
+
+    def added(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        place = batch.column(1).flatten().to_numpy()
+        value = batch.column(2).flatten().to_numpy()
+        vectors = _matrix(batch.column(3), width)
+        column = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(place, kind="stable")
+        for start in range(0, len(order), _ENTRIES):
+            some = order[start : start + _ENTRIES]
+            rows, firsts = np.unique(place[some], return_index=True)
+            total[rows] += np.add.reduceat(value[some, None] * vectors[column[some]], firsts)
+
+    def finished(block: int, total: np.ndarray) -> pa.RecordBatch:
+        return _vectors(pa.array(np.arange(len(total), dtype=np.int64) * blocks + block), total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for batch in batches:
+            marks = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if marks[a] != at:
+                    if at is not None:
+                        yield finished(at, total)
+                    at = int(marks[a])
+                    total = np.zeros((-(-(n - at) // blocks), width))
+                added(total, batch.slice(a, b - a))
+        if at is not None:
+            yield finished(at, total)
+
+    return materialise(placed.sortWithinPartitions("block", "j").mapInArrow(run, _VECTORS))
+
+
+# --- vectors ---------------------------------------------------------------------------------
+
+
+def factorised(
+    entries: DataFrame,
+    words: DataFrame,
+    dimensions: int = DIMENSIONS,
+    power: float = 0.5,
+    seed: int = SEED,
+    iterations: int = ITERATIONS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``word, vector``: singular vectors of the symmetric ``entries`` times ``singular ** power``.
+
+    With ``power`` 1 the products of vectors are those of the matrix' rows. Dimensions
+    beyond the rank are zero; a word without entries has the zero vector. Components are
+    signed so that their sum over all words is not negative.
+    """
+    n = words.count()
+    width = min(dimensions + OVERSAMPLE, n)
+    blocks = max(-(-n // block), 1)
+    zero = F.array_repeat(F.lit(0.0), dimensions)
+    if not n:
+        return words.select("word", zero.alias("vector"))
+    columns = sparse_columns(entries, blocks)
+    basis = first_basis(words, width, n, seed)
+    if width < n:
+        for _ in range(iterations):
+            basis, width = orthonormal(multiplied(columns, basis, width, blocks, n), width)
+            if not width:
+                return words.select("word", zero.alias("vector"))
+    image = multiplied(columns, basis, width, blocks, n)
+    products, sums = gram(image, width)
+    values, axes = np.linalg.eigh(products)
+    order = np.argsort(-values, kind="stable")[:dimensions]
+    singular, axes = np.sqrt(np.maximum(values[order], 0)), axes[:, order]
+    axes = axes * np.where(sums @ axes < 0, -1.0, 1.0)
+    real = singular > 1e-7 * max(singular[0], 1e-300)
+    scale = np.where(real, np.where(real, singular, 1.0) ** (power - 1), 0.0)
+    map_ = np.zeros((width, dimensions))
+    map_[:, : len(order)] = axes * scale
+    found = transformed(image, map_)
+    return words.join(found, "id", "left").select("word", F.coalesce("vector", zero).alias("vector"))
 
 
 def train_word_vectors(
@@ -30,37 +262,49 @@ def train_word_vectors(
     dimensions: int = DIMENSIONS,
     min_count: int = MIN_COUNT,
     window: int = WINDOW,
-    epochs: int = EPOCHS,
     seed: int = SEED,
-    partitions: int = PARTITIONS,
+    max_words: int | None = None,
+    power: float = 0.5,
+    iterations: int = ITERATIONS,
 ) -> DataFrame:
-    """``word, vector`` (array of floats) by skip-gram training.
+    """``word, vector`` of all words seen ``min_count`` times, stored.
 
-    The size of the model is checked before training: it grows with the
-    vocabulary, which ``min_count`` controls.
+    ``max_words`` keeps the most frequent ones only, if a caller wants that.
     """
-    words = word_counts(rows, tokens, min_count).count()
-    if words * dimensions > MAX_WEIGHTS:
-        raise ValueError(
-            f"{words} words of {dimensions} dimensions are too many; raise min_count"
-        )
-    sentences = rows.select(tokens.alias("tokens"))
-    model = Word2Vec(
-        vectorSize=dimensions,
-        minCount=min_count,
-        windowSize=window,
-        maxIter=epochs,
-        seed=seed,
-        numPartitions=partitions,
-        maxSentenceLength=MAX_SENTENCE,
-        inputCol="tokens",
-        outputCol="v",
-    ).fit(sentences)
-    return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
+    words = numbered_words(rows, tokens, min_count, max_words)
+    entries = log_ratios(rows, tokens, words, window)
+    return materialise(factorised(entries, words, dimensions, power, seed, iterations))
+
+
+def similarity(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``center, context, product, cosine`` of given pairs of words."""
+
+    def product(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    sized = vectors.withColumn("size", F.sqrt(product("vector", "vector")))
+    one = sized.select(F.col("word").alias("center"), F.col("vector").alias("_a"), F.col("size").alias("_m"))
+    two = sized.select(F.col("word").alias("context"), F.col("vector").alias("_b"), F.col("size").alias("_n"))
+    both = pairs.select("center", "context").join(one, "center").join(two, "context")
+    return both.select("center", "context", product("_a", "_b").alias("product"), "_m", "_n").select(
+        "center", "context", "product", F.try_divide("product", F.col("_m") * F.col("_n")).alias("cosine")
+    )
+
+
+def nearest(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``word, neighbour, cosine``: of the words a word occurs with, the most similar one."""
+    found = similarity(vectors, pairs.filter(F.col("center") != F.col("context")))
+    cosine = F.round("cosine", 6)
+    return (
+        found.filter(F.col("cosine").isNotNull())
+        .groupBy(F.col("center").alias("word"))
+        .agg(F.min(F.struct((-cosine).alias("c"), "context")).alias("best"))
+        .select("word", F.col("best.context").alias("neighbour"), (-F.col("best.c")).alias("cosine"))
+    )
 
 
 def project(vectors: DataFrame) -> DataFrame:
-    """``word, x, y``: the two principal components of the word vectors."""
+    """``word, x, y``: the two principal components of stored word vectors."""
     features = vectors.select("word", array_to_vector("vector").alias("features"))
     xy = PCA(k=2, inputCol="features", outputCol="xy").fit(features).transform(features)
     return xy.select("word", vector_to_array("xy").alias("xy")).select(

@@ -376,10 +376,17 @@ def training_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- vectors ------------------------------------------------------------------------------
 
 
+#: Vectors trained by this application, by their source; both queries read the stored table.
+_TRAINED: dict[tuple[str, ...], DataFrame] = {}
+
+
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding.train_word_vectors(
-        inputs.texts(spark, sf_dir), F.split("text", " ")
-    )
+    """Word vectors of the documents, trained once for the same files and stored."""
+    source = inputs.texts(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(source.inputFiles()))
+    if key not in _TRAINED:
+        _TRAINED[key] = embedding.train_word_vectors(source, F.split("text", " "))
+    return _TRAINED[key]
 
 
 @query("v1_word_vectors")
@@ -405,6 +412,90 @@ def trained_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words of the vocabulary whose vectors are exact, so that SQL can state their products.
+EXACT_WORDS = 256
+
+
+def _ratio_sql(source: str, tokens: str, words: str) -> str:
+    """CTEs to ``ratios``: the shifted log ratios of the words' co-occurrences."""
+    return f"""split_rows AS (SELECT row_number() OVER () AS r, string_split({tokens}, ' ') AS ws FROM {source}),
+tokens AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM split_rows),
+words AS ({words}),
+kept AS (SELECT * FROM tokens SEMI JOIN words USING (word)),
+near AS (SELECT r, word, i + d AS j FROM (SELECT *, unnest([-7, -6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6, 7]) AS d FROM kept)),
+pairs AS (SELECT n.word AS center, k.word AS context, count(*) AS n
+  FROM near n JOIN kept k ON k.r = n.r AND k.i = n.j GROUP BY ALL),
+totals AS (SELECT center AS word, sum(n)::DOUBLE AS total FROM pairs GROUP BY ALL),
+ratios AS (SELECT center, context,
+    ln(n / (a.total * b.total / (SELECT sum(total) FROM totals))) - ln({float(embedding.NEGATIVE)}) AS value
+  FROM pairs JOIN totals a ON a.word = center JOIN totals b ON b.word = context),
+positive AS (SELECT * FROM ratios WHERE value > 0),
+products AS (SELECT a.center, b.center AS context, sum(a.value * b.value) AS product
+  FROM positive a JOIN positive b ON b.context = a.context GROUP BY ALL)"""
+
+
+_FREQUENT = f"SELECT word FROM tokens GROUP BY word ORDER BY count(*) DESC, word LIMIT {EXACT_WORDS}"
+_PRODUCTS = """SELECT p.center, p.context, round(coalesce(q.product, 0), 4) AS product
+FROM positive p LEFT JOIN products q USING (center, context)"""
+
+
+def exact_vectors(rows: DataFrame, tokens: Column, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors as wide as the vocabulary, whose products are those of the matrix' rows, and its entries."""
+    entries = embedding.log_ratios(rows, tokens, words)
+    vectors = materialise(embedding.factorised(entries, words, words.count(), power=1.0))
+    named = (
+        entries.join(words.select(F.col("id").alias("i"), F.col("word").alias("center")), "i")
+        .join(words.select(F.col("id").alias("j"), F.col("word").alias("context")), "j")
+        .select("center", "context")
+    )
+    return vectors, named
+
+
+def _products(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    found = embedding.similarity(vectors, pairs)
+    return found.select("center", "context", (F.round("product", 4) + F.lit(0.0)).alias("product"))
+
+
+def frequent_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, tokens = inputs.texts(spark, sf_dir), F.split("text", " ")
+    return exact_vectors(docs, tokens, embedding.numbered_words(docs, tokens, 1, EXACT_WORDS))
+
+
+@query("v1_products", f"WITH {_ratio_sql('documents', 'text', _FREQUENT)}\n{_PRODUCTS}")
+def vector_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the vectors of frequent words that occur together: the matrix is rebuilt."""
+    return _products(*frequent_vectors(spark, sf_dir))
+
+
+@query(
+    "v1_neighbours",
+    f"""WITH {_ratio_sql('documents', 'text', _FREQUENT)},
+sizes AS (SELECT center AS word, sqrt(product) AS size FROM products WHERE center = context),
+cosines AS (SELECT p.center AS word, p.context AS neighbour,
+    round(coalesce(q.product, 0) / (a.size * b.size), 6) AS cosine
+  FROM positive p LEFT JOIN products q USING (center, context)
+  JOIN sizes a ON a.word = p.center JOIN sizes b ON b.word = p.context WHERE p.center <> p.context)
+SELECT word, neighbour, cosine FROM cosines
+QUALIFY row_number() OVER (PARTITION BY word ORDER BY cosine DESC, neighbour) = 1""",
+)
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar of the words that a frequent word occurs with."""
+    return embedding.nearest(*frequent_vectors(spark, sf_dir))
+
+
+@query(
+    "v1_structure_vectors",
+    with_inputs("length_mix", "")[:-1]
+    + f",\n{_ratio_sql('length_mix', 'ast', 'SELECT DISTINCT word FROM tokens')}\n{_PRODUCTS}",
+)
+def structure_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structure side: every token of the trees has a vector, also those seen once."""
+    trees = materialise(inputs.length_mix(spark, sf_dir).select("ast"))
+    tokens = F.split("ast", " ")
+    words = embedding.numbered_words(trees, tokens, embedding.MIN_COUNT_STRUCTURES)
+    return _products(*exact_vectors(trees, tokens, words))
+
+
 @query("v2_projection")
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.project(document_vectors(spark, sf_dir))

@@ -1,7 +1,9 @@
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,16 +231,78 @@ def test_language_of_tiny_texts(spark):
 
 def test_word_vectors(spark):
     df = spark.createDataFrame([(["a", "b", "c"],)] * 20 + [(["rare"],)], "t array<string>")
-    vectors = embedding.train_word_vectors(df, F.col("t"), dimensions=8, epochs=1)
+    vectors = embedding.train_word_vectors(df, F.col("t"), dimensions=8)
     rows = vectors.collect()
     assert {r.word for r in rows} == {"a", "b", "c"} and all(len(r.vector) == 8 for r in rows)
     assert embedding.project(vectors).columns == ["word", "x", "y"]
-
-
-def test_model_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(embedding, "MAX_WEIGHTS", 10)
-    with pytest.raises(ValueError):
-        embedding.train_word_vectors(spark.createDataFrame([(["a"] * 5,)], "t array<string>"), F.col("t"))
+    none = spark.createDataFrame([(["a"],), (None,), ([],)], "t array<string>")
+    assert embedding.train_word_vectors(none, F.col("t"), dimensions=8).count() == 0
+    lone = embedding.train_word_vectors(none, F.col("t"), dimensions=3, min_count=1).collect()
+    assert [tuple(r) for r in lone] == [("a", [0.0, 0.0, 0.0])]
+
+
+def low_rank(spark, n, seed, rank=6):
+    """A symmetric matrix of low rank and some noise, its entries, its words."""
+    rng = np.random.default_rng(seed)
+    factor = rng.normal(size=(n, rank)) * np.linspace(4, 1, rank)
+    dense = factor @ factor.T + rng.normal(size=(n, n)) * 1e-3
+    dense = (dense + dense.T) / 2
+    entries = [(i, j, float(dense[i, j])) for i in range(n) for j in range(n)]
+    words = spark.createDataFrame([(f"w{i}", 1, i) for i in range(n)], "word string, n long, id long")
+    return dense, spark.createDataFrame(entries, "i long, j long, value double"), words
+
+
+@pytest.mark.parametrize("n, dimensions, block", [(40, 60, 7), (90, 6, 16), (90, 6, 1000)])
+def test_vectors_equal_the_dense_factorisation(spark, n, dimensions, block):
+    dense, entries, words = low_rank(spark, n, 5)
+    got = embedding.factorised(entries, words, dimensions, power=1.0, block=block).collect()
+    made = np.array([r.vector for r in sorted(got, key=lambda r: int(r.word[1:]))])
+    u, s, _ = np.linalg.svd(dense)
+    k = min(dimensions, n)
+    want = (u[:, :k] * s[:k]) @ (u[:, :k] * s[:k]).T
+    assert made.shape == (n, dimensions) and np.abs(made @ made.T - want).max() < 1e-5 * np.abs(want).max()
+    assert (made.sum(axis=0) >= -1e-9 * np.abs(made).sum()).all()
+
+
+def test_vectors_do_not_depend_on_partitions(spark):
+    _, entries, words = low_rank(spark, 80, 9)
+    made = []
+    for partitions in (2, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found = embedding.factorised(entries.repartition(partitions), words, 5, block=11).collect()
+        made.append(np.array([r.vector for r in sorted(found, key=lambda r: int(r.word[1:]))]))
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert np.abs(np.abs(made[0]) - np.abs(made[1])).max() < 1e-8
+
+
+def test_log_ratios_against_plain_counts(spark):
+    rng = random.Random(2)
+    texts = [[rng.choice("abcdefg") for _ in range(rng.randrange(1, 15))] for _ in range(25)]
+    df = spark.createDataFrame([(t,) for t in texts], "t array<string>")
+    words = embedding.numbered_words(df, F.col("t"), 1)
+    name = {r.id: r.word for r in words.collect()}
+    pairs = Counter()
+    for t in texts:
+        for i, a in enumerate(t):
+            pairs.update((a, b) for j, b in enumerate(t) if i != j and abs(i - j) <= 2)
+    total = Counter()
+    for (a, _), n in pairs.items():
+        total[a] += n
+    want = {
+        (a, b): math.log(n * sum(total.values()) / (total[a] * total[b]) / 1.1) for (a, b), n in pairs.items()
+    }
+    got = embedding.log_ratios(df, F.col("t"), words, window=2, negative=1.1).collect()
+    found = {(name[r.i], name[r.j]): r.value for r in got}
+    assert found == pytest.approx({k: v for k, v in want.items() if v > 0})
+
+
+def test_only_small_matrices_reach_the_driver(spark, monkeypatch):
+    """The widest thing collected is a basis' width squared, whatever the vocabulary."""
+    _, entries, words = low_rank(spark, 120, 3)
+    sizes, collect = [], type(entries).collect
+    monkeypatch.setattr(type(entries), "collect", lambda self: sizes.append(len(x := collect(self))) or x)
+    embedding.factorised(entries, words, 4, block=16)
+    assert sizes and max(sizes) <= (4 + embedding.OVERSAMPLE + 1) * (4 + embedding.OVERSAMPLE)
 
 
 # --- decoding, spans ------------------------------------------------------------------
