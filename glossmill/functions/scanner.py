@@ -69,20 +69,31 @@ class Unbalanced(ValueError):
 
 
 def _template_end(src: str, pos: int) -> int:
-    """Offset behind the template literal that opens at ``pos``."""
+    """Offset behind the template literal that opens at ``pos``, nested to any depth."""
+    depths: list[int] = []  # of braces, for each expression that is open
     pos = _TEMPLATE_TEXT.match(src, pos + 1).end()
-    while src.startswith("${", pos):
-        depth, pos = 1, pos + 2
-        while depth:
+    while True:
+        if src.startswith("${", pos):
+            depths.append(1)
+            pos += 2
+        elif src.startswith("`", pos):
+            pos += 1
+            if not depths:
+                return pos
+        else:
+            raise Unbalanced("template")
+        while depths[-1]:
             m = _IN_TEMPLATE.search(src, pos)
             if m is None:
                 raise Unbalanced("template")
-            pos = _template_end(src, m.start()) if m.group() == "`" else m.end()
-            depth += {"{": 1, "}": -1}.get(m.group(), 0)
+            if m.group() == "`":
+                pos = m.start() + 1
+                break
+            depths[-1] += {"{": 1, "}": -1}.get(m.group(), 0)
+            pos = m.end()
+        else:
+            depths.pop()
         pos = _TEMPLATE_TEXT.match(src, pos).end()
-    if not src.startswith("`", pos):
-        raise Unbalanced("template")
-    return pos + 1
 
 
 def _word_before_group(text: str) -> str | None:
@@ -308,7 +319,7 @@ def _class_bodies(text: str, partner: dict[int, int]) -> set[int]:
 def _is_object(text: str, brace: int) -> bool:
     """True if the brace opens an object: where a value is expected, no block begins."""
     end = _end_before(text, brace)
-    if end == 0 or text[:end].endswith("=>") or text[end - 1] in ";{})":
+    if end == 0 or text.endswith("=>", 0, end) or text[end - 1] in ";{})":
         return False
     if text[end - 1] == ":":
         start = max(text.rfind(c, 0, end) for c in ";{}\n") + 1
@@ -384,10 +395,7 @@ def find_functions(src: str | None) -> list[dict]:
     """Functions and methods whose body has a statement, in text order."""
     if not src:
         return []
-    try:
-        text = _blanked(src)
-    except RecursionError:
-        return []
+    text = _blanked(src)
     partner, around = _partners(text)
     found = []
     for first, kind, name_start, name_end, opening in _candidates(text, partner, around):

@@ -19,6 +19,8 @@ from glossmill.session import MAX_BROADCAST_ROWS
 MAX_COMMENT_LENGTH = 200
 MAX_AST_LENGTH = 500
 N_OBSERVATIONS = 100_000
+#: Positions the driver samples to find the bound of a cap.
+SAMPLE = 20_000
 
 
 def prepare_entries(found: DataFrame) -> DataFrame:
@@ -58,16 +60,49 @@ def keep_fitting(entries: DataFrame, **limits: int) -> DataFrame:
     return entries.filter(fits_limits(F.col("comments"), F.col("ast"), **limits))
 
 
+def position_bound(places: DataFrame, n: int) -> tuple | None:
+    """A position that at least ``n`` rows do not exceed, and few more; None for all rows.
+
+    Positions are sampled by hash, about ``SAMPLE`` of them; the one whose rank in the
+    sample stands for ``n`` rows and a margin is tried, with a wider margin if rows lack.
+    """
+    total = places.count()
+    if total <= n:
+        return None
+    share = max(1, total // SAMPLE)
+    sampled = places.where(F.pmod(F.xxhash64(*places.columns), F.lit(share)) == 0).collect()
+    sampled = sorted(map(tuple, sampled), key=lambda p: tuple((x is not None, x) for x in p))
+    expected, margin = n / share, 4.0
+    while True:
+        at = int(expected + margin * (expected**0.5 + 1))
+        if at >= len(sampled):
+            return None
+        if places.where(_not_behind(places, sampled[at])).count() >= n:
+            return sampled[at]
+        margin *= 2
+
+
+def _not_behind(places: DataFrame, bound: tuple) -> Column:
+    given = F.struct(*[F.lit(v).cast(places.schema[c].dataType) for c, v in zip(places.columns, bound, strict=True)])
+    return F.struct(*places.columns) <= given
+
+
 def capped(entries: DataFrame, n: int = N_OBSERVATIONS) -> DataFrame:
     """The first ``n`` entries by position (``id, line, character``, unique).
 
-    A plain sorted limit would send up to ``n`` wide rows of every task to one task.
-    Here only the positions are ranked, over all tasks, and the ``n`` first ones
-    select the entries; they are few enough to broadcast up to the checked bound.
+    A plain sorted limit would send up to ``n`` wide rows of every task to one task, and
+    a global sort would move every position. Here a bound is selected that little more
+    than ``n`` positions keep within; they alone are ranked exactly, over all tasks, and
+    select the entries.
     """
     position = ["id", "line", "character"]
-    ranked = dense_ids(entries.select(*position), *position, out="_rank", kind="long")
+    places = entries.select(*position)
+    bound = position_bound(places, n)
+    kept = places if bound is None else places.where(_not_behind(places, bound))
+    ranked = dense_ids(kept, *position, out="_rank", kind="long")
     first = ranked.filter(F.col("_rank") < n).drop("_rank")
+    if bound is not None:
+        entries = entries.where(_not_behind(places, bound))
     return entries.join(F.broadcast(first) if n <= MAX_BROADCAST_ROWS else first, position, "left_semi")
 
 

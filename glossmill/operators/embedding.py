@@ -41,7 +41,7 @@ NEGATIVE = 5
 OVERSAMPLE = 10
 ITERATIONS = 4
 #: Words of a row block.
-BLOCK = 2048
+BLOCK = 8192
 #: Products that are summed at once.
 _ENTRIES = 16_384
 _VECTORS = "id long, vector array<double>"

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 WATCH = "WatchEvent"
 
 
-def watch_events(events: DataFrame, watch_type: str = WATCH) -> DataFrame:
+def watch_events(events: DataFrame, watch_type: str = WATCH, *more: str) -> DataFrame:
     """Flatten the log to ``repo_id, repo_name, actor_id, created_at`` of stars.
 
-    Both predicates sit directly on the scan so that they reach the reader.
+    Both predicates sit directly on the scan so that they reach the reader. ``more`` are
+    columns of the log that are kept as they are.
     """
     return events.filter(
         (F.col("type") == watch_type) & F.col("repo.id").isNotNull()
@@ -20,6 +21,7 @@ def watch_events(events: DataFrame, watch_type: str = WATCH) -> DataFrame:
         F.col("repo.name").alias("repo_name"),
         F.col("actor.id").alias("actor_id"),
         "created_at",
+        *more,
     )
 
 
@@ -81,7 +83,11 @@ def stars_table(events: DataFrame, watch_type: str = WATCH) -> DataFrame:
     it below the window; the rank filter becomes a group limit on both sides of
     the shuffle, which leaves one row per name and map task.
     """
-    profile = repository_profile(watch_events(events, watch_type))
+    return latest_names(repository_profile(watch_events(events, watch_type)))
+
+
+def latest_names(profile: DataFrame) -> DataFrame:
+    """A row per repository name, for the id that was starred last under it."""
     return (
         ranked_names(profile)
         .filter(F.col("repo_name").like("%/%") & (F.col("rn") == 1))

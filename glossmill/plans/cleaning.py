@@ -373,22 +373,30 @@ def leading_trivia(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Offsets in quarters of a text: the last one is its end.
+_QUARTERS = (0, 1, 2, 3, 4)
+
+
 @query(
     "t19_line_character",
-    """SELECT doc_id, len(string_split(prefix, chr(10))) - 1 AS line,
+    """SELECT doc_id, off, len(string_split(prefix, chr(10))) - 1 AS line,
   length(string_split(prefix, chr(10))[-1]) AS "character"
-FROM (SELECT doc_id, substr(text, 1, n_chars // 2) AS prefix FROM documents)""",
+FROM (SELECT doc_id, off, substr(text, 1, off) AS prefix FROM (
+  SELECT doc_id, text, unnest(list_transform([0, 1, 2, 3, 4], lambda q: q * length(text) // 4)) AS off
+  FROM documents))""",
 )
 def line_character(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text, middle = F.col("text"), F.floor(F.col("n_chars") / 2).cast("int")
-    return inputs.texts(spark, sf_dir).select(
+    """Positions of the quarters of every text, its end included."""
+    text = F.col("text")
+    places = F.array(*[F.floor(F.length(text) * q / 4).cast("int") for q in _QUARTERS])
+    return inputs.texts(spark, sf_dir).select("doc_id", "text", F.explode_outer(places).alias("off")).select(
         "doc_id",
-        C.line_of(text, middle).cast("long").alias("line"),
-        C.character_of(text, middle).cast("long").alias("character"),
+        F.col("off").cast("long").alias("off"),
+        C.line_of(text, F.col("off")).cast("long").alias("line"),
+        C.character_of(text, F.col("off")).cast("long").alias("character"),
     )
 
 
-
 @query(
     "t20_json_scalars",
     with_inputs(

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.operators import popularity, ranking
+from glossmill.operators import popularity, ranking, shards
 from glossmill.operators.extraction import extract_functions, register_sql
 from glossmill.operators.vocabulary import dense_ids
 from glossmill.plans import inputs
 from glossmill.plans.oracle_inputs import statements, with_inputs
 from glossmill.plans.registry import query
-from glossmill.session import materialise
+from glossmill.session import materialise, scratch_path
 from glossmill.sources.readers import read_shards
 
 CLICK = "click"
@@ -59,6 +59,51 @@ def shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DAY = "yyyyMMdd"
+
+
+def _sharded(spark: SparkSession, sf_dir: str) -> str:
+    """The log written in shards of a day; the path."""
+    path = scratch_path(spark, "log")
+    shards.write_shards(inputs.watch_log(spark, sf_dir), path, DAY)
+    return path
+
+
+@query(
+    "s1_shard_states",
+    with_inputs(
+        "stars_table",
+        f"SELECT repo_id, stars, repo_name, {sql_stamp('last_star_date')}, {sql_stamp('first_star_date')} FROM stars_table",
+    ),
+)
+def shard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stars table from states of the shards, the later half of which arrives later."""
+    path, state = _sharded(spark, sf_dir), scratch_path(spark, "states")
+    names = sorted(shards.shards_in(spark, path))
+    arrived = scratch_path(spark, "arrived")
+    for part in (names[: len(names) // 2], names[len(names) // 2 :]):
+        if part:
+            some = shards.read_period(spark, path, part[0], part[-1]).drop(shards.SHARD)
+            shards.write_shards(some, arrived, DAY)
+            shards.update_states(spark, arrived, state, CLICK)
+    found = shards.merged_table(spark, state)
+    return found.select("repo_id", "stars", "repo_name", stamp("last_star_date"), stamp("first_star_date"))
+
+
+@query(
+    "s1_period",
+    with_inputs(
+        "watch_log",
+        f"""SELECT repo_id, count(DISTINCT actor_id) AS stars FROM watch_log
+WHERE {CLICKS} AND created_at >= TIMESTAMP '2024-01-10' AND created_at < TIMESTAMP '2024-01-20' GROUP BY 1""",
+    ),
+)
+def period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stars within ten of the shards."""
+    log = shards.read_period(spark, _sharded(spark, sf_dir), "20240110", "20240119")
+    return popularity.repository_stars(popularity.watch_events(log, CLICK))
+
+
 @query(
     "s2_array_scan",
     with_inputs(

@@ -126,3 +126,12 @@ def test_sql_surface(spark):
     assert spark.sql(empty).first().n == 0
     many = spark.sql("SELECT size(found_in_array('function f(a) { a } function g() { b }')) AS n")
     assert many.first().n == 2
+
+
+def test_templates_of_any_depth():
+    """Nested templates need no recursion: the functions around them are found."""
+    deep = "`${" * 5000 + "1" + "}`" * 5000
+    src = f"/** c */\nfunction f(a) {{ return {deep}; }}\nfunction g() {{ return `${{`${{ {{}} }}}}`}}`; }}"
+    assert [f["name"] for f in find_functions(src)] == ["f", "g"]
+    broken = "function f() { return 1; }\nconst t = " + "`${" * 3000
+    assert [f["name"] for f in find_functions(broken)] == ["f"]
