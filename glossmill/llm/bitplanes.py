@@ -13,8 +13,8 @@ A plane holds one byte (or bit) of every id of its block, so the high planes of
 small ids are runs of zeros. Blocks do not end with documents: a reader finds the
 block of an id by division and only inflates blocks it needs.
 
-Documents are written in ascending key order over all files (null keys first, texts
-decide between equal keys). Null texts count as empty and hold the end id alone; an
+Documents are written in ascending key order over all files (null keys first, hashes
+of the texts and texts decide between equal keys). Null texts count as empty and hold the end id alone; an
 empty table gives no file. Other columns are not read.
 """
 
@@ -25,24 +25,24 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import filesystem, fresh_name, map_batches, shared_uri, texts
-from glossmill.llm.pretokens import pattern, units
+from glossmill.llm.pretokens import blank_runs, pattern, units
 from glossmill.llm.token_counts import parts, specials, tokenizer
 from glossmill.session import materialise
 
 MAGIC = b"IDPLANES"
 #: Ids per block.
 BLOCK = 1 << 16
-#: Pre-tokens the tokenizer encodes at once.
-MISSES = 2_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -173,45 +173,109 @@ class Reader:
             start += count
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def pretokens(unit: str) -> list[str]:
+    """The pre-tokens of a unit; Latin words with marks behind them need no pattern."""
+    word = unit.rstrip(punctuation)
+    letters = word[1:] if word.startswith(" ") else word
+    if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+        return [unit] if len(word) == len(unit) else [word, unit[len(word) :]]
+    return pattern().findall(unit)
+
+
 class LibraryCodec:
     """Ids by the tokenizers library; a worker has every pre-token encoded once.
 
-    Both tables are bounded: they start anew before a batch once they are full.
+    A batch is cut into units and made a dictionary by Arrow. Units of the dictionary
+    that are new are parted into pre-tokens, new ones of these go through the library's
+    model, and ids are gathered as arrays. The table of units and pre-tokens is bounded:
+    once it is full, those of the current batch stay, which frequent ones are among.
     """
 
-    UNITS, PRETOKENS = 400_000, 1_000_000
+    KNOWN = 800_000
 
     def __init__(self, path: str):
         self.tokenizer, self.marks = tokenizer(path), specials(path)
-        self.units: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
-
-    def _encode(self, found: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(found, add_special_tokens=False)
-        return [struct.pack(f"<{len(x)}I", *x.ids) for x in encoded]
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        before = config["pre_tokenizer"] or {}
+        plain = config["normalizer"] is None and before.get("type") == "ByteLevel"
+        self.direct = plain and not before["add_prefix_space"] and before.get("use_regex", True)
+        self.letters = byte_letters()
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, found: list[str]) -> None:
+        """Encode pre-tokens, by the model itself where nothing stands before it."""
+        if not self.direct:
+            self.known.update((x, self._whole(x)) for x in found)
+            return
+        tokenize, letters, known = self.tokenizer.model.tokenize, self.letters, self.known
+        for token in found:
+            ids = [x.id for x in tokenize(token.encode().decode("latin-1").translate(letters))]
+            known[token] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, found: list[str]) -> list[bytes]:
+        """The ids of units."""
+        if len(self.known) > self.KNOWN:
+            self.known = {x: self.known[x] for x in found if x in self.known}
+        known = self.known
+        missing = [x for x in found if x not in known]
+        cut = list(map(pretokens, missing))
+        self._learn([x for x in {x for tokens in cut for x in tokens} if x not in known])
+        get = known.__getitem__
+        for unit, tokens in zip(missing, cut, strict=True):
+            if len(tokens) > 1:
+                known[unit] = b"".join(map(get, tokens))
+        return list(map(get, found))
+
+    def _gathered(self, batch: list[str]) -> list[bytes]:
+        """Ids of texts whose units begin at the blanks."""
+        pieces = pc.split_pattern(pa.array(batch, pa.large_string()), " ")
+        bounds = pieces.offsets.to_numpy()
+        flat = pieces.flatten().dictionary_encode()
+        first = np.zeros(len(flat), dtype=np.int64)
+        first[bounds[:-1]] = 1  # the first piece of a text has no blank before it
+        codes, which = np.unique(
+            2 * flat.indices.to_numpy().astype(np.int64) + first, return_inverse=True
+        )
+        named = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        units_ = [named[c >> 1] if c & 1 else " " + named[c >> 1] for c in codes.tolist()]
+        found = [b"" if not x else None for x in units_]
+        made = iter(self._ids([x for x in units_ if x]))
+        values = [next(made) if x is None else x for x in found]
+        sizes = np.fromiter((len(x) >> 2 for x in values), np.int64, len(values))
+        pool = np.frombuffer(b"".join(values), "<u4")
+        size = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        shift = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], size)
+        ids = pool[shift + np.arange(ends[-1])]
+        places = ends[bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(places, places[1:], strict=False)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of whole texts, without special tokens but those the texts spell out."""
-        if len(self.units) > self.UNITS:
-            self.units.clear()
-        if len(self.pretokens) > self.PRETOKENS:
-            self.pretokens.clear()
-        # texts with such tokens are parted by the library itself
-        cut = [None if parts(x, self.marks)[1] else units(x) for x in batch]
-        new = set().union(*(x for x in cut if x)).difference(self.units)
-        made = {unit: pattern().findall(unit) for unit in new}
-        fresh = list(set().union(*made.values()).difference(self.pretokens))
-        for start in range(0, len(fresh), MISSES):
-            some = fresh[start : start + MISSES]
-            self.pretokens.update(zip(some, self._encode(some), strict=True))
-        ids_of = self.pretokens.__getitem__
-        for unit, tokens in made.items():
-            self.units[unit] = b"".join(map(ids_of, tokens))
-        get = self.units.__getitem__
-        return [
-            self._encode([text])[0] if x is None else b"".join(map(get, x))
-            for text, x in zip(batch, cut, strict=True)
-        ]
+        out: list[bytes] = [b""] * len(batch)
+        simple = []
+        for i, text in enumerate(batch):
+            if parts(text, self.marks)[1]:
+                out[i] = self._whole(text)  # the library itself parts such texts
+            elif blank_runs(text):
+                out[i] = b"".join(self._ids(units(text)))
+            elif text:
+                simple.append(i)
+        for i, ids in zip(simple, self._gathered([batch[i] for i in simple]), strict=True):
+            out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -227,7 +291,14 @@ def write_ids(
     Files hold ascending ranges of the key in ascending order of ``part``.
     """
     uri = shared_uri(docs.sparkSession, "ids")
-    ordered = texts(docs, key).repartitionByRange(F.col(key)).sortWithinPartitions(key, "text")
+    # rows of one key, or of none, may be many: the hash of the text parts them
+    ordered = (
+        texts(docs, key)
+        .withColumn("_h", F.xxhash64("text"))
+        .repartitionByRange(F.col(key), F.col("_h"))
+        .sortWithinPartitions(key, "_h", "text")
+        .drop("_h")
+    )
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

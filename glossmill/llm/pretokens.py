@@ -17,6 +17,11 @@ def pattern() -> regex.Pattern:
     return regex.compile(public_tokenizers.PATTERN)
 
 
+def blank_runs(text: str) -> bool:
+    """True if units of a text are its pre-tokens, not the stretches from blank to blank."""
+    return _RUN.search(text) is not None
+
+
 def units(text: str) -> list[str]:
     """Pieces of a text whose pre-tokens, one piece after the other, are those of the text.
 
