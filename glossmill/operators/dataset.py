@@ -23,13 +23,14 @@ N_OBSERVATIONS = 100_000
 SAMPLE = 20_000
 
 
-def prepare_entries(found: DataFrame) -> DataFrame:
+def prepare_entries(found: DataFrame, *more: Column | str) -> DataFrame:
     """``id, line, character, code, comments, ast`` of extracted functions.
 
     Expects the columns of ``extract_functions``. All steps are expressions of one
-    projection.
+    projection. ``more`` are columns that are kept as they are.
     """
     return found.select(
+        *more,
         "id",
         "line",
         "character",

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glossmill.session import checked_broadcast, materialise
+from glossmill.session import materialise
 
 UNK = "UNK"
+#: Largest lookup table that travels to every task, and what an entry takes besides its bytes.
+MAX_LOOKUP_BYTES, ENTRY_BYTES = 64 << 20, 200
 
 
 def word_counts(rows: DataFrame, tokens: Column | str, min_count: int = 1) -> DataFrame:
@@ -62,12 +69,53 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     return unknown.unionByName(known)
 
 
-def _lookup(vocab: DataFrame) -> DataFrame:
-    """Both lookup columns under private names, broadcast if the size allows it.
+def lookup_bytes(vocab: DataFrame) -> int:
+    """What a lookup table takes in memory, by its tokens' bytes and their number."""
+    row = vocab.agg(F.sum(F.octet_length("token")), F.count(F.lit(1))).first()
+    return (row[0] or 0) + ENTRY_BYTES * row[1]
+
 
-    ``vocab`` should be a stored table: it is counted here and read by the join.
+def word_ids(tokens: Column, vocab: DataFrame) -> Column:
+    """Ids of an array of words, 1 where a word is unknown; ``vocab`` is of checked bytes.
+
+    A batch makes a dictionary of its words, looks each of them up once and gathers the
+    ids as arrays. Nothing is unfolded, shuffled or regrouped.
     """
-    return checked_broadcast(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id")))
+    known = dict(vocab.select("token", "id").toPandas().itertuples(index=False))
+    shared = vocab.sparkSession.sparkContext.broadcast(known)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        get = shared.value.get
+        for batch in batches:
+            words = batch.flatten().dictionary_encode()
+            found = [get(w, 1) for w in words.dictionary.to_pylist()]
+            ids = pa.array(found, pa.int32()).take(words.indices).fill_null(1)
+            yield _rebuilt(batch, ids)
+
+    return ids_of(F.coalesce(tokens, F.array().cast("array<string>")))
+
+
+def id_words(ids: Column, vocab: DataFrame) -> Column:
+    """The words of an array of ids: the inverse of ``word_ids``."""
+    known = {i: t for t, i in vocab.select("token", "id").toPandas().itertuples(index=False)}
+    shared = vocab.sparkSession.sparkContext.broadcast(known)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def words_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        get = shared.value.get
+        for batch in batches:
+            numbers = batch.flatten().dictionary_encode()
+            found = [get(i, UNK) for i in numbers.dictionary.to_pylist()]
+            yield _rebuilt(batch, pa.array(found, pa.string()).take(numbers.indices).fill_null(UNK))
+
+    return words_of(F.coalesce(ids, F.array().cast("array<int>")))
+
+
+def _rebuilt(batch: pa.Array, values: pa.Array) -> pa.Array:
+    """Other values in the lists of a batch that has no null list."""
+    bounds = np.asarray(batch.offsets)
+    return pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), values)
 
 
 def _in_order(found: DataFrame, key: str, value: Column, out: str) -> DataFrame:
@@ -81,23 +129,31 @@ def _in_order(found: DataFrame, key: str, value: Column, out: str) -> DataFrame:
     )
 
 
-def encode_words(rows: DataFrame, key: str, tokens: Column | str, vocab: DataFrame) -> DataFrame:
+def encode_words(
+    rows: DataFrame, key: str, tokens: Column | str, vocab: DataFrame, max_bytes: int = MAX_LOOKUP_BYTES
+) -> DataFrame:
     """``key, ids``: ids of each row's tokens in order, 1 where a word is unknown.
 
-    With a vocabulary of checked size the lookup stays in the task that reads the
-    text, and the arrays are assembled there before the shuffle by ``key``.
+    ``vocab`` is a stored table. Up to ``max_bytes`` it travels to the tasks that read the
+    texts; a larger one is joined by word, and the arrays are put together again by key.
     """
     col = F.col(tokens) if isinstance(tokens, str) else tokens
+    if lookup_bytes(vocab) <= max_bytes:
+        return rows.select(key, word_ids(col, vocab).alias("ids"))
     words = rows.select(key, F.posexplode_outer(col).alias("_pos", "_token"))
-    found = words.join(_lookup(vocab), "_token", "left")
-    return _in_order(found, key, F.coalesce("_id", F.lit(1)), "ids")
+    lookup = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
+    return _in_order(words.join(lookup, "_token", "left"), key, F.coalesce("_id", F.lit(1)), "ids")
 
 
-def decode_words(rows: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
+def decode_words(
+    rows: DataFrame, key: str, ids: str, vocab: DataFrame, max_bytes: int = MAX_LOOKUP_BYTES
+) -> DataFrame:
     """``key, tokens``: the inverse lookup of ``encode_words``."""
+    if lookup_bytes(vocab) <= max_bytes:
+        return rows.select(key, id_words(F.col(ids), vocab).alias("tokens"))
     numbers = rows.select(key, F.posexplode_outer(ids).alias("_pos", "_id"))
-    found = numbers.join(_lookup(vocab), "_id", "left")
-    return _in_order(found, key, F.coalesce("_token", F.lit(UNK)), "tokens")
+    lookup = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
+    return _in_order(numbers.join(lookup, "_id", "left"), key, F.coalesce("_token", F.lit(UNK)), "tokens")
 
 
 def context_pairs(rows: DataFrame, tokens: Column | str, window: int = 7) -> DataFrame:

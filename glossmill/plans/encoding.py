@@ -100,6 +100,84 @@ def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), joined(F.col("ids")).alias("ids"))
 
 
+def structure_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, tokens``: the blank-separated structures of the entries."""
+    return inputs.length_mix(spark, sf_dir).select("id", F.split("ast", " ").alias("tokens"))
+
+
+def structure_vocabulary(tokens: DataFrame) -> DataFrame:
+    """The structure side keeps every token, also those seen once."""
+    return vocabulary.vocabulary(
+        vocabulary.word_counts(tokens, "tokens", embedding.MIN_COUNT_STRUCTURES)
+    )
+
+
+def sql_structures(body: str) -> str:
+    return with_inputs(
+        "length_mix",
+        body,
+        ast_toks="""SELECT id AS doc_id, unnest(range(len(ts))) AS pos, unnest(ts) AS token
+FROM (SELECT id, string_split(ast, ' ') AS ts FROM length_mix)""",
+        ast_vocab="""SELECT token, (1 + row_number() OVER (ORDER BY n DESC, token))::INT AS id, n
+FROM (SELECT token, count(*) AS n FROM ast_toks GROUP BY 1) UNION ALL SELECT 'UNK', 1, NULL""",
+    )
+
+
+@query("a10_structure_counts", sql_structures("SELECT token AS word, n FROM ast_vocab WHERE token <> 'UNK'"))
+def structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.word_counts(
+        structure_tokens(spark, sf_dir), "tokens", embedding.MIN_COUNT_STRUCTURES
+    )
+
+
+@query(
+    "j5_encode_structures",
+    sql_structures(
+        """SELECT doc_id AS id, count(*) AS n, string_agg(v.id, ' ' ORDER BY pos) AS ids
+FROM ast_toks JOIN ast_vocab v USING (token) GROUP BY 1"""
+    ),
+)
+def encode_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = materialise(structure_tokens(spark, sf_dir))
+    vocab = materialise(structure_vocabulary(tokens))
+    ids = vocabulary.encode_words(tokens, "id", "tokens", vocab)
+    return ids.select("id", F.size("ids").cast("long").alias("n"), joined(F.col("ids")).alias("ids"))
+
+
+@query(
+    "s8_both_vocabularies",
+    sql_structures("SELECT 1")[: -len("SELECT 1")].rstrip()
+    + ",\n"
+    + sql_encoded(
+        f"""SELECT side, token, id::BIGINT AS id, {COMMENT_LIMIT}::BIGINT AS max_comment_length,
+  {AST_LIMIT}::BIGINT AS max_ast_length, (SELECT count(*) FROM vocab) AS comment_vocab_size,
+  (SELECT count(*) FROM ast_vocab) AS ast_vocab_size
+FROM (SELECT 'comment' AS side, token, id FROM vocab UNION ALL SELECT 'ast', token, id FROM ast_vocab)"""
+    ).removeprefix("WITH "),
+)
+def both_vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export a predictor reads: both lookups and all parameters, written and read back."""
+    made = {
+        "comment": materialise(comment_vocabulary(materialise(comment_tokens(spark, sf_dir)))),
+        "ast": materialise(structure_vocabulary(materialise(structure_tokens(spark, sf_dir)))),
+    }
+    params = {"max_comment_length": COMMENT_LIMIT, "max_ast_length": AST_LIMIT}
+    params |= {f"{side}_vocab_size": vocab.count() for side, vocab in made.items()}
+    path, out = scratch_path(spark, "export"), None
+    for side, vocab in made.items():
+        writers.write_vocabulary(vocab, params, f"{path}/{side}")
+        tokens, stored = readers.read_vocabulary(spark, f"{path}/{side}")
+        values = stored.groupBy().pivot("name", list(params)).agg(F.max("value")).first()
+        rows = tokens.select(
+            F.lit(side).alias("side"),
+            "token",
+            F.col("id").cast("long").alias("id"),
+            *[F.lit(values[name]).cast("long").alias(name) for name in params],
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "a11_max_length",
     sql_encoded("SELECT least(max(len(ids)), 500)::BIGINT AS max_length FROM encoded"),

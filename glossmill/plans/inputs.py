@@ -162,7 +162,7 @@ def function_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_files(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Source files to mine: every line of a document becomes a declaration.
 
     Lines take turns as function, class method, decoys (an empty body and a
@@ -203,10 +203,18 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return docs.select(
         "doc_id",
+        *more,
         F.array_join(F.transform(F.split("text", "\n"), snippet), "\n").alias("content"),
     )
 
 
+def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files as a store of contents holds them: ``id, paths, content``."""
+    doc = _s(F.col("doc_id"))
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), doc, F.lit(".ts"))
+    return source_files(spark, sf_dir, doc.alias("id"), F.array(path).alias("paths")).drop("doc_id")
+
+
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector next to the vector with the following id."""
     v = read_table(spark, sf_dir, "embeddings")

@@ -540,13 +540,14 @@ FROM (SELECT *, coalesce(sum(height) OVER (PARTITION BY doc_id ORDER BY i
 WHERE i % 4 <> 2"""
 
 
+MINED_VIEWS = {
+    "snippets": _SNIPPETS.replace("{statements}", statements("s", "'a'", "'b'")),
+    "mined": _MINED,
+}
+
+
 def mined_sql(body: str) -> str:
-    return with_inputs(
-        "",
-        body,
-        snippets=_SNIPPETS.replace("{statements}", statements("s", "'a'", "'b'")),
-        mined=_MINED,
-    )
+    return with_inputs("", body, **MINED_VIEWS)
 
 
 @query("r1_extract", mined_sql("SELECT * FROM mined"))

@@ -100,6 +100,25 @@ def test_vocabulary_and_round_trip(spark):
     assert {r.id: r.tokens for r in words.collect()}[2] == ["b", "UNK", "a"]
 
 
+@pytest.mark.parametrize("max_bytes", [0, 1 << 20])
+def test_lookups_of_any_size_agree(spark, max_bytes):
+    """Beyond the checked bytes the lookup is a join; nulls and empty rows have a result."""
+    data = [(i, [f"w{(i * j) % 17}" for j in range(i % 9)]) for i in range(200)]
+    data += [(500, None), (501, []), (502, ["w1", None, "new"])]
+    rows = spark.createDataFrame(data, "id int, t array<string>").repartition(5)
+    vocab = materialise(vocabulary.vocabulary(vocabulary.word_counts(rows.filter("id < 500"), "t", 2)))
+    known = {r.token: r.id for r in vocab.collect()}
+    ids = vocabulary.encode_words(rows, "id", "t", vocab, max_bytes)
+    got = {r.id: r.ids for r in ids.collect()}
+    assert got == {i: [known.get(w, 1) for w in t or []] for i, t in data}
+    words = vocabulary.decode_words(ids, "id", "ids", vocab, max_bytes)
+    back = {r.id: r.tokens for r in words.collect()}
+    assert back == {i: [w if w in known else "UNK" for w in t or []] for i, t in data}
+    plan = vocabulary.encode_words(materialise(rows), "id", "t", vocab, max_bytes)
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert ("Generate" in plan and "Exchange" in plan) == (max_bytes == 0)
+
+
 def test_context_pairs_against_brute_force(spark):
     rng = random.Random(1)
     texts = [[rng.choice("abcde") for _ in range(rng.randrange(30))] for _ in range(40)]
@@ -370,6 +389,45 @@ def test_suggestions_against_brute_force(spark):
     assert matrix.columns == ["fid", *suggestion.VARIANTS] and matrix.count() == 60
 
 
+def test_partners_have_a_comment_and_most_stars(spark):
+    """Stars decide between equal structures; functions without a comment only ask."""
+    rng = random.Random(6)
+    rows = [
+        (f"f{i:03d}", "n", ["p"], rng.choice(["A ( B )", "A ( C )"]), rng.choice(["", f"text {i}"]), rng.choice([None, 3, 50]))
+        for i in range(80)
+    ]
+    df = spark.createDataFrame(
+        rows, "fid string, name string, params array<string>, ast string, canonical string, stars long"
+    )
+    got = {r.fid: r.partner for r in suggestion.suggest(df).collect()}
+    for row in rows:
+        others = [o for o in rows if o[0] != row[0] and o[3] == row[3] and o[4]]
+        assert got[row[0]] == min(others, key=lambda o: (-(o[5] or 0), o[0]))[0]
+
+
+def test_a_hot_signature_is_split(spark):
+    """A signature of nearly all functions meets its two best in many tasks of the join."""
+    df = spark.range(60_000).select(
+        F.format_string("f%06d", "id").alias("fid"), F.lit("n").alias("name"), F.array(F.lit("p")).alias("params"),
+        F.lit("A ( B )").alias("ast"), F.lit("c").alias("canonical"),
+    )
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    found = suggestion.partners(df)
+    assert found.count() == 4 * 60_000
+    plan = materialise(found)
+    sizes = [r.n for r in plan.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    for k in conf:
+        spark.conf.unset(k)
+    assert len(sizes) > 4 and max(sizes) < 60_000
+
+
 def test_broadcast_only_within_the_bound(spark):
     big = spark.range(100)
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
