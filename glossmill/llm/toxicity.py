@@ -37,8 +37,6 @@ from glossmill.session import materialise
 
 #: Labelled rows of each class that are learnt from, at most.
 PER_CLASS = 10_000
-#: Candidate terms whose contexts are counted, at most.
-CANDIDATES = 20_000
 #: Lengths of stems.
 STEMS = (4, 5, 6)
 #: Words on either side of a hit that make its context.
@@ -57,7 +55,13 @@ def errors_allowed(term: str) -> int:
 
 
 class Automaton:
-    """All terms' Levenshtein automata, determinised along the trie as words come."""
+    """All terms' Levenshtein automata, determinised along the trie as words come.
+
+    States and moves are made when a word first needs them. Once ``MAX_MOVES`` moves
+    are held they are made anew, so a worker's memory has a bound whatever it reads.
+    """
+
+    MAX_MOVES = 40_000
 
     def __init__(self, terms: list[str]):
         self.children: list[dict[str, int]] = [{}]
@@ -75,10 +79,15 @@ class Automaton:
                 node = self.children[node][c]
                 self.slack[node] = max(self.slack[node], allowed)
             self.term[node] = term
+        self.renew()
+
+    def renew(self) -> None:
+        """Forget all states but the first."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[str, int] | None] = []
+        self.made = 0
         self.start = self._state({0: 0})
 
     def _state(self, errors: dict[int, int]) -> int:
@@ -113,11 +122,14 @@ class Automaton:
             reach(node, e + 1)  # a letter too many
             for letter, child in self.children[node].items():
                 reach(child, e + (letter != c))
+        self.made += 1
         self.moves[state][c] = self._state(after) if after else -1
         return self.moves[state][c]
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its errors, and the errors."""
+        if self.made > self.MAX_MOVES:
+            self.renew()
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
@@ -130,7 +142,7 @@ class Automaton:
 class Lexicon:
     """Terms and stems with their weights, and what clean texts use instead."""
 
-    MAX_MEMO = 300_000
+    MAX_MEMO = 100_000
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: set[str]):
         self.terms, self.stems, self.clean = terms, stems, clean
@@ -188,7 +200,11 @@ class Lexicon:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, key: str) -> DataFrame:
-    """key, text, toxic, fit: labelled rows that are not held out, each text once."""
+    """text, toxic, fit, weight: labelled rows that are not held out, each text once.
+
+    A text with both labels is toxic. A row's weight is the number of usable labels of
+    its class for each sampled one, so that the sample's bound does not shift scores.
+    """
     usable = (
         labels.select(F.col(key).alias("k"), F.col("toxic").cast("int").alias("toxic"))
         .where("k is not null and toxic in (0, 1)")
@@ -196,17 +212,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, key: str
         .groupBy("k")
         .agg(F.max("toxic").alias("toxic"))
     )
+    usable = materialise(usable)
+    sizes = dict(usable.groupBy("toxic").agg(F.count("*")).collect())
     order = F.xxhash64("k")
     chosen = None
     for value in (0, 1):
         some = usable.where(F.col("toxic") == value).orderBy(order, "k").limit(per_class)
+        some = some.withColumn("weight", F.lit(max(1.0, sizes.get(value, 0) / per_class)))
         chosen = some if chosen is None else chosen.union(some)
     # at most 2 * per_class rows, by the limit
     rows = texts(docs, key).join(F.broadcast(chosen), F.col(key) == F.col("k"))
     return materialise(
-        rows.select("text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(3)) != 0).alias("fit"))
-        .where("text <> ''")
-        .dropDuplicates(["text"])
+        rows.where("text <> ''")
+        .groupBy("text")
+        .agg(F.max(F.struct("toxic", "weight")).alias("of"))
+        .select("text", "of.toxic", "of.weight", (F.pmod(F.xxhash64("text"), F.lit(3)) != 0).alias("fit"))
     )
 
 
@@ -280,10 +300,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     least = max(3, math.ceil(math.log(max(vocabulary, 2)) / -math.log(share)))
     odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - math.log(share / (1 - share))
     likely = (
-        counts.where((F.col("toxic") >= least) & (odds > 2))
-        .orderBy(odds.desc(), "term")
-        .limit(CANDIDATES)
-        .toPandas()["term"]
+        counts.where((F.col("toxic") >= least) & (odds > 2)).toPandas()["term"]  # of the bounded sample
     )
     contexts = context_counts(rows, set(likely)).toPandas()
     contexts["weight"] = np.log((contexts["toxic"] + 0.5) / (contexts["clean"] + 0.5)) - math.log(
@@ -317,18 +334,19 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: s
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shared.value.features(x) for x in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["features", "label"]
+            [pa.array(found, pa.list_(pa.float64())), batch.column(1), batch.column(2)],
+            ["features", "label", "weight"],
         )
 
     rows = map_batches(
-        sample.where("not fit").select("text", F.col("toxic").cast("double")),
+        sample.where("not fit").select("text", F.col("toxic").cast("double"), "weight"),
         run,
-        "features array<double>, label double",
-    ).select(array_to_vector("features").alias("features"), "label")
+        "features array<double>, label double, weight double",
+    ).select(array_to_vector("features").alias("features"), "label", "weight")
     rows = materialise(rows)
     if rows.select("label").distinct().count() < 2:
         return lexicon, None
-    model = LogisticRegression(regParam=1e-3, maxIter=50).fit(rows)
+    model = LogisticRegression(regParam=1e-3, maxIter=50, weightCol="weight").fit(rows)
     return lexicon, [*model.coefficients.toArray().tolist(), model.intercept]
 
 
