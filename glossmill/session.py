@@ -5,12 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of (narrow) rows a job may hand to ``broadcast``.
 MAX_BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch while a table is written.
+ARROW_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def local_session(cores: int | str = "*", app: str = "glossmill") -> SparkSession:
@@ -51,6 +56,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Let Python tasks get at most ``rows`` rows at once while a job of ours runs.
+
+    Rows hold whole texts, so the default of 10,000 rows can be hundreds of megabytes in
+    every task, outside the heap. A smaller setting of the session is kept.
+    """
+    before = spark.conf.get(_ARROW_ROWS)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(_ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of a repeatedly read table: write it once and read it back.
 
@@ -59,7 +82,8 @@ def materialise(df: DataFrame) -> DataFrame:
     that later joins can plan with.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    with small_arrow_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
