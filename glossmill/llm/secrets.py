@@ -24,6 +24,8 @@ key. An empty table has no thresholds. Other columns are not read by ``scan``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ FALSE_DISCOVERY = 0.01
 TEXT_RATE = 0.065
 #: Buckets of -ln p, eight for each unit.
 BUCKETS = 512
+#: Numbers of an array that are summed at once; characters of a piece of a text.
+PART, PIECE = 128, 4096
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: In order of size. Those without lower case stand for either case.
@@ -66,6 +70,46 @@ ONE_CASE = tuple(x for x, alphabet in ALPHABETS.items() if alphabet == alphabet.
 SPAN = "struct<s:int,k:int,e:int,n:int,v:string>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def ends_of(lengths: Column) -> Column:
+    """Running sums of an array, in time that follows its length.
+
+    Appending to an array copies it, so sums are taken in parts of ``PART`` numbers and
+    the parts moved by what stands before them.
+    """
+    none = F.array().cast("array<int>")
+
+    def sums(numbers: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(
+            numbers,
+            start,
+            lambda state, n: F.struct(
+                (state["at"] + n).alias("at"), F.concat(state["out"], F.array(state["at"] + n)).alias("out")
+            ),
+            lambda state: state["out"],
+        )
+
+    def moved(parts: Column) -> Column:
+        before = sums(F.transform(parts, lambda x: F.element_at(x, -1)))
+        return F.flatten(
+            bound(
+                before,
+                lambda sums_: F.transform(
+                    parts, lambda x, i: F.transform(x, lambda n: n + F.coalesce(F.get(sums_, i - 1), F.lit(0)))
+                ),
+            )
+        )
+
+    places = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / PART).cast("int"))
+    parts = F.transform(places, lambda c: sums(F.slice(lengths, c * PART + 1, F.lit(PART))))
+    return F.when(F.size(lengths) > PART, bound(parts, moved)).when(F.size(lengths) > 0, sums(lengths)).otherwise(none)
+
+
 def spans_of(text: Column, pattern: str, order: int, group: int = 0) -> Column:
     """Matches of a pattern with their places: array of SPAN.
 
@@ -73,28 +117,33 @@ def spans_of(text: Column, pattern: str, order: int, group: int = 0) -> Column:
     """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    # the last gap has no match behind it
     zipped = F.zip_with(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
-        values,
-        lambda x, v: F.struct(x.g.alias("g"), x.m.alias("m"), v.alias("v")),
+        F.slice(gaps, F.lit(1), F.size(found)),
+        found,
+        lambda g, m: F.struct((F.length(g) + F.length(m)).alias("step"), F.length(m).alias("m")),
+    )
+    sized = F.zip_with(
+        zipped, values, lambda x, v: F.struct(x["step"].alias("step"), x["m"].alias("m"), v.alias("v"))
     )
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        span = F.struct(
-            start.alias("s"),
-            F.lit(order).alias("k"),
-            end.alias("e"),
-            F.length(x["v"]).alias("n"),
-            x["v"].alias("v"),
+    def placed(matches: Column) -> Column:
+        ends = bound(F.transform(matches, lambda x: x["step"]), ends_of)
+        return F.zip_with(
+            matches,
+            ends,
+            lambda x, end: F.struct(
+                (end - x["m"]).alias("s"),
+                F.lit(order).alias("k"),
+                end.alias("e"),
+                F.length(x["v"]).alias("n"),
+                x["v"].alias("v"),
+            ),
         )
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
     none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
     # most texts have no match: the places are only worked out where one exists
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, add, lambda x: x["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), bound(sized, placed)).otherwise(none)
 
 
 def normal_tail(z: Column) -> Column:
@@ -387,20 +436,67 @@ def counted(spans: Column, order: int) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch of overlapping spans replaced by a mark."""
-
-    def add(state: Column, x: Column) -> Column:
-        # a span inside what is already replaced only moves the end
-        fresh = x["s"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, F.greatest(x["s"] - state["at"], F.lit(0)))
-        out = F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(out.alias("out"), F.greatest(state["at"], x["e"]).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(
-        spans,
-        start,
-        add,
-        lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """The text with every stretch of overlapping spans replaced by a mark.
+
+    Spans are sorted by their start. The text is cut into pieces of fixed size once and what
+    stays is taken from them, so a place deep in a long text costs no more than another.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(cut: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+        head = F.coalesce(F.get(cut, first), F.lit(""))
+        tail = F.coalesce(F.get(cut, last), F.lit(""))
+        whole = F.array_join(F.slice(cut, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(first == last, F.substring(head, start % PIECE + 1, end - start)).otherwise(
+            F.concat(F.substring(head, start % PIECE + 1, F.lit(PIECE)), whole, F.substring(tail, F.lit(1), end % PIECE))
+        )
+
+    def merged(reach: Column) -> Column:
+        """Stretches that stay: from the furthest end so far to a span that begins behind it."""
+        rows = F.zip_with(
+            reach,
+            F.slice(F.concat(F.transform(spans, lambda x: x["s"]), F.array(F.length(text))), F.lit(2), F.size(spans)),
+            lambda at, s: F.struct(at.alias("from"), s.alias("to")),
+        )
+        # touching spans are two marks, overlapping ones are one
+        return F.filter(rows, lambda r: r["to"] >= r["from"])
+
+    def rebuilt(cut: Column) -> Column:
+        first = between(cut, F.lit(0), F.get(spans, 0)["s"])
+        rest = F.transform(merged(bound(F.transform(spans, lambda x: x["e"]), furthest)), lambda r: between(cut, r["from"], r["to"]))
+        return F.concat(first, F.lit(mark), F.array_join(rest, mark))
+
+    return F.when(F.size(spans) > 0, bound(pieces, rebuilt)).otherwise(text)
+
+
+def furthest(ends: Column) -> Column:
+    """The largest number so far at every place of an array, in parts like ``ends_of``."""
+    none = F.array().cast("array<int>")
+
+    def tops(numbers: Column, start: Column) -> Column:
+        return F.aggregate(
+            numbers,
+            F.struct(start.alias("at"), none.alias("out")),
+            lambda state, n: F.struct(
+                F.greatest(state["at"], n).alias("at"),
+                F.concat(state["out"], F.array(F.greatest(state["at"], n))).alias("out"),
+            ),
+            lambda state: state["out"],
+        )
+
+    def moved(parts: Column) -> Column:
+        before = tops(F.transform(parts, lambda x: F.element_at(x, -1)), F.lit(0))
+        return F.flatten(
+            bound(
+                before,
+                lambda tops_: F.transform(
+                    parts,
+                    lambda x, i: F.transform(x, lambda n: F.greatest(n, F.coalesce(F.get(tops_, i - 1), F.lit(0)))),
+                ),
+            )
+        )
+
+    places = F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / PART).cast("int"))
+    parts = F.transform(places, lambda c: tops(F.slice(ends, c * PART + 1, F.lit(PART)), F.lit(0)))
+    return F.when(F.size(ends) > PART, bound(parts, moved)).otherwise(tops(ends, F.lit(0)))
