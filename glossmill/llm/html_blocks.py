@@ -12,7 +12,12 @@ without an end tag of its own at the first block inside.
 
 The labelled table is built here by rule: layouts with and without an article element,
 with menus, notices, sidebars, adverts and reader comments around short and long
-paragraphs, every block labelled by the element that made it.
+paragraphs, every block labelled by the element that made it. Part of them are plain
+pages of div and table elements without telling tags or names, whose blocks differ by words,
+links and neighbours alone. A link reaches over the blocks inside it.
+
+What has neither a telling tag or name nor links, such as a reader's comment in the midst of
+an article under an unknown name, cannot be told from the article by these measures.
 
 Null pages, and pages without text, have an empty text. Repeated rows give equal
 results. Only key, url and html are read; html is read whole, and nesting is followed
@@ -67,6 +72,7 @@ _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 _NESTED = re.compile(rf"<(?:{'|'.join(sorted(NESTED))})\b", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_TARGET = re.compile(r"\bhref\b", re.I)
 _HIDDEN = re.compile(r"""(?:\s|^)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 FEATURES = (
@@ -166,7 +172,8 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     counts = [0, 0, 0, 0]
     pieces: list[str] = []
     linked: list[str] = []
-    link = heading = False
+    link: int | None = None  # elements open where a link began; it ends with any of them
+    heading = False
 
     def close_block() -> None:
         text = " ".join(entities.unescape("".join(pieces)).split())
@@ -179,6 +186,9 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         linked.clear()
 
     def pop() -> None:
+        nonlocal link
+        if link is not None and len(stack) <= link:
+            link = None
         _, *marks, _ = stack.pop()
         for k in range(4):
             counts[k] -= marks[k]
@@ -207,7 +217,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         text = page[at : m.start() if m else end]
         if text:
             pieces.append(text)
-            if link:
+            if link is not None:
                 linked.append(text)
         if m is None:
             break
@@ -220,7 +230,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             pieces.append(" ")
             continue
         if tag == "a":
-            link = not closing
+            link = None if closing or not _TARGET.search(attributes) else len(stack)
         if tag in SILENT:
             if not closing and not attributes.endswith("/"):
                 at = ends[m.start()] if ends else raw_end(page, tag, at)
@@ -240,7 +250,6 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                     pop()
                 pop()
             continue
-        link = False
         while stack and stack[-1][0] in ("p", "li" if tag == "li" else "p"):
             pop()  # end tags that may be left out
         inside_article = counts[0] > 0
@@ -274,6 +283,51 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     return out
 
 
+def plain_pages() -> list[str]:
+    """Pages of div and table elements without names: menus, cards and share lines around text."""
+    out = []
+    lengths = ((30, 60, 25), (45, 12, 80), (20, 35), (14, 30, 22, 19), (90, 60, 40, 25))
+    link = "<a href='#'>{}</a>"
+    for number in range(30):
+        n, wide = lengths[number % len(lengths)], number % 3
+        cell = "td" if number % 2 else "div"
+        word = link.format("x" + " x" * wide)
+        menu = f"<{cell}>x</{cell}>" * (number % 4 == 0) + f"<{cell}>{word}</{cell}>" * (4 + wide)
+        bar = f"<div>{' | '.join([word] * (3 + wide))}</div>"
+        share = f"<div>x x {' '.join([link.format('x')] * (2 + wide))}</div>"
+        card = f"<div>{link.format('<h3>x x x</h3><p>' + 'x ' * (6 + 4 * wide) + 'x.</p>')}</div>"
+        more = f"<div>{link.format('x ' * (3 + wide) + 'x')}</div>" * 3
+        foot = f"<div>x x x {word} {word}</div>" if number % 3 else f"<div>{word} {word}</div>"
+        part = "p" if number % 5 else "div"
+        text = "".join(
+            f"<{part}>{'m ' * (k - 1)}m.</{part}>" + (share if i == 0 and number % 6 == 5 else "")
+            for i, k in enumerate(n)
+        )
+        cited = f"<{part}>m m m m m m {link.format('m m')} {'m ' * 9}m.</{part}>" * (number % 2)
+        story = f"<h1>m m {'m ' * wide}m</h1>{text}{cited}<h2>m m</h2><{part}>{'m ' * 17}m.</{part}>"
+        if cell == "td":
+            story = f"<table><tr><td>{story}</td></tr></table>"
+            menu = f"<table><tr>{menu}</tr></table>"
+        behind = (share, card * 3, more, bar)[number % 4]
+        out.append(f"<body><div>{menu if number % 3 else bar}</div><div>{story}</div>{behind}{foot}</body>")
+    return out
+
+
+def bare_pages() -> list[str]:
+    """Pages of an article and next to nothing else, of one block or a few."""
+    out = []
+    for words in (6, 12, 30, 120, 500, 2000):
+        for k in (1, 2, 3):
+            text = "".join(f"<p>{'m ' * (words + 7 * i)}m.</p>" for i in range(k))
+            for holder in ("article", "main", "body"):
+                out += [f"<{holder}>{text}</{holder}>", f"<{holder}><h1>m m m</h1>{text}</{holder}>"]
+                if holder != "body":
+                    # without a name, but outside an article that the page does mark
+                    before, behind = (f"<div>{'x ' * n}x.</div>" for n in (2 + words % 40, 5 * k + words % 25))
+                    out.append(f"<body>{before}<{holder}><h1>m m m</h1>{text}</{holder}>{behind}</body>")
+    return out
+
+
 def labelled_pages() -> list[tuple[list[float], float]]:
     """The labelled table: measures of blocks of made pages, 1 for blocks of the article.
 
@@ -309,10 +363,12 @@ def labelled_pages() -> list[tuple[list[float], float]]:
         story = f"<div class='{wrapper}'>{story}</div>" if wrapper else story
         page = f"<body>{head}{nav}{outer}{story}{other[(number + 1) % 6]}{foot}</body>"
         rows += [(measures, float(x.startswith("m"))) for x, measures in blocks(page)]
+    for page in plain_pages() + bare_pages():
+        rows += [(measures, float(x.startswith("m"))) for x, measures in blocks(page)]
     return rows
 
 
-def fit_tree(spark: SparkSession, depth: int = 6) -> list[tuple]:
+def fit_tree(spark: SparkSession, depth: int = 8) -> list[tuple]:
     """The tree as nodes (feature, threshold, left, right, label), the root first."""
     rows = spark.createDataFrame(labelled_pages(), "features array<double>, label double")
     model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=2, seed=1).fit(

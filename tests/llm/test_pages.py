@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import random
 
 from glossmill.llm import html_blocks, warc
 from glossmill.llm.common import filesystem
@@ -129,3 +130,56 @@ def test_labelled_table_is_learnt(spark):
     rows = html_blocks.labelled_pages()
     right = sum(html_blocks.keeps(nodes, x) == bool(label) for x, label in rows)
     assert right / len(rows) > 0.98
+
+
+def test_links_reach_over_the_blocks_inside_them():
+    found = html_blocks.blocks("<div><a href=x><h3>a b</h3><p>c d e</p></a><p>f</p></div><div><a href=y><p>g</p></div><p>h</p>")
+    assert [(t, m[1]) for t, m in found] == [("a b", 1.0), ("c d e", 1.0), ("f", 0.0), ("g", 1.0), ("h", 0.0)]
+    assert [m[1] for _, m in html_blocks.blocks("<a name=top><p>a</p><p>b</p>")] == [0.0, 0.0]
+
+
+def test_the_tree_uses_words_links_and_neighbours(spark):
+    nodes = html_blocks.fit_tree(spark)
+    used = {html_blocks.FEATURES[n[0]] for n in nodes if n[0] >= 0}
+    assert {"words", "links"} <= used
+    assert used & {"words_before", "links_before", "words_behind", "links_behind"}
+
+
+def held_out_pages(seed=5, n=60):
+    """Layouts the labelled table does not have: (page, blocks of the article)."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice("river stone paper light window garden early later found made".split())
+    some = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    for _ in range(n):
+        box = rng.choice(["div", "section", "center"])
+        title, parts = some(3, 7), [some(18, 90) + "." for _ in range(rng.randint(2, 6))]
+        links = lambda k, a, b: [f"<a href='/{i}'>{some(a, b)}</a>" for i in range(k)]
+        menu = "".join(f"<li>{x}</li>" for x in links(rng.randint(4, 9), 1, 2))
+        cards = "".join(f"<{box}><a href=z><h4>{some(2, 5)}</h4><p>{some(5, 14)}.</p></a></{box}>" for _ in range(3))
+        story = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in parts)
+        share = f"<{box}>{some(1, 2)} {' '.join(links(3, 1, 1))}</{box}>"
+        foot = f"<{box}>{' - '.join(links(4, 1, 2))}</{box}>"
+        page = f"<html><body><ul>{menu}</ul><{box}>{story}{share}</{box}>{cards}{foot}</body></html>"
+        yield page, [title, *parts]
+
+
+def test_held_out_layouts(spark):
+    nodes, right, given, wanted = html_blocks.fit_tree(spark), 0, 0, 0
+    for page, story in held_out_pages():
+        got = html_blocks.main_text(nodes, page).split("\n")
+        right += len(set(got) & set(story))
+        given, wanted = given + len(got), wanted + len(story)
+    assert 2 * right / (given + wanted) >= 0.95
+
+
+def test_unnamed_matter_around_and_inside_articles(spark):
+    nodes = html_blocks.fit_tree(spark)
+    body = [f"{'Words of the story stand here. ' * 9}".strip(), f"{'And its end, which is long, too. ' * 9}".strip()]
+    text = "".join(f"<p>{x}</p>" for x in body)
+    share = "<div class=zz>Share this on <a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></div>"
+    assert html_blocks.main_text(nodes, f"<article>{text}{share}</article>").split("\n") == body
+    menu = "<table><tr><td>Menu</td>" + "".join(f"<td><a href=/{i}>Part {i}</a></td>" for i in range(6)) + "</tr></table>"
+    page = f"<body>{menu}<table><tr><td><h1>Some title here</h1>{text}</td></tr></table></body>"
+    assert html_blocks.main_text(nodes, page).split("\n") == ["Some title here", *body]
+    cards = "".join(f"<div><a href=/{i}><h3>Another one</h3><p>{'Read more of it. ' * 3}</p></a></div>" for i in range(3))
+    assert html_blocks.main_text(nodes, f"<div><h1>Some title here</h1>{text}</div>{cards}").split("\n")[-2:] == body
