@@ -10,11 +10,15 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructType
 
 from glossmill.session import scratch_path
 
 
+#: Rows that a worker turns into Python objects at once.
+ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,26 +31,39 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
 ) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch; batches of no rows are skipped."""
+    """Apply ``fn`` to slices of at most ``ROWS`` rows of every Arrow batch.
+
+    A worker so holds the Python objects and the results of few rows at once, however
+    many rows the session puts in a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for start in range(0, batch.num_rows, ROWS):
+                yield fn(batch.slice(start, ROWS))
 
     return df.mapInArrow(run, schema)
 
 
+
+
 def filter_rows(
     docs: DataFrame, keeps: Callable[[str | None], bool], text: str = "text"
 ) -> DataFrame:
-    """The rows whose text is kept, with all their columns, without moving any."""
-    place = docs.columns.index(text)
+    """The rows whose text is kept, with all their columns, without moving any.
+
+    Only texts go to the Python workers and only decisions come back.
+    """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(list(map(keeps, batch.column(place).to_pylist())), pa.bool_()))
+    @F.arrow_udf(BooleanType())
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found: list[bool] = []
+            for start in range(0, len(batch), ROWS):
+                found += map(keeps, batch.slice(start, ROWS).to_pylist())
+            yield pa.array(found, pa.bool_())
 
-    return map_batches(docs, run, docs.schema)
+    return docs.where(kept(F.col(f"`{text}`")))
 
 
 def shared_uri(spark: SparkSession, name: str) -> str:
