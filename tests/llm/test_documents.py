@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -411,3 +412,85 @@ def test_pipeline(spark, sf_dir, tmp_path):
         path = str(tmp_path / name)
         after.write.parquet(path)
         docs = spark.read.parquet(path)
+
+
+def test_many_secrets_in_one_text_take_time_in_proportion(spark):
+    """Places and masks of thousands of matches, far into a text, agree with plain ones."""
+    rng = random.Random(8)
+    took = []
+    for n in (2_000, 16_000):
+        words = ["".join(rng.choices("0123456789abcdef", k=rng.choice([12, 16, 40]))) + rng.choice([" é ", "\n", "-"]) for _ in range(n)]
+        text = "".join(words)
+        df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+        start = time.perf_counter()
+        row = secrets.scan(df).select("base", "spans").first()
+        masked = secrets.without_secrets(df).first().text
+        took.append(time.perf_counter() - start)
+        want = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
+        assert [tuple(x) for x in row.base] == want
+        out, at = [], 0
+        for s, _, e in map(tuple, row.spans):
+            if s >= at:
+                out += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert masked == "".join(out) + text[at:]
+    assert took[1] < 8 * took[0] + 10
+
+
+def test_copies_of_labelled_texts_count_once(spark):
+    """A thousand copies of one good text prove no more than the text itself."""
+    good = " ".join(f"word{i}" for i in range(80))
+    bad = good + " #" * 40
+    docs = [(i, good, "en") for i in range(1500)] + [(5000 + i, bad, "en") for i in range(300)]
+    labels = [(i, 1) for i in range(1500)] + [(5000 + i, 0) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert all(r.kept for r in quality.judge(df, known).collect())
+    own = spark.createDataFrame([(i, f"{t} own{i}", l) for i, t, l in docs], "doc_id long, text string, lang string")
+    judged = {r.doc_id: r.kept for r in quality.judge(own, known).collect()}
+    assert all(judged[i] for i in range(1500)) and not any(judged[5000 + i] for i in range(300))
+
+
+def test_texts_with_both_labels_are_toxic(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 3}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 7)) for i in range(60)], "doc_id long, toxic int")
+    for n in (1, 6):
+        sample = toxicity.labelled_sample(docs.repartition(n), labels.repartition(n), 50, "doc_id")
+        assert {r.text: r.toxic for r in sample.collect()} == {"text 0": 0, "text 1": 1, "text 2": 0}
+
+
+def test_automata_are_made_anew_beyond_their_bound(monkeypatch):
+    terms = ["horrible", "dreadful", "awful"]
+    whole = toxicity.Automaton(terms)
+    monkeypatch.setattr(toxicity.Automaton, "MAX_MOVES", 5)
+    small = toxicity.Automaton(terms)
+    for word in ["horible", "dreadfull", "awful", "lawful", "xyz", "horrible", "dredful"] * 3:
+        assert small.match(word) == whole.match(word)
+        assert small.made <= 5 + len(word)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 900):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 2**63, n // 9 + 1).astype(np.uint64)]))
+        odd = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(ngram_join.parity(x), ngram_join.parity(y), strict=True))
+        assert odd <= len(np.setxor1d(x, y)) and ngram_join.parity(x) == ngram_join.parity(x)
+
+
+def test_shingle_sets_against_plain_ones():
+    """Equal sets of word runs have equal sets of hashes, and no others, in any batch."""
+    rng = random.Random(12)
+    texts = ["", " \t\n", "One", "one two", "ONE  two\x0bthree four", "é É e", "x" * 5000, "one\x1ftwo three four five"]
+    texts += [" ".join(rng.choices(["a", "B", "é", "cc", "d\x85e", "f g"], k=rng.randrange(20))) for _ in range(120)]
+    for width in (1, 4, 5):
+        plain = []
+        for text in texts:
+            w = text.encode().lower().split()
+            n = min(width, len(w))
+            plain.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else frozenset())
+        made = ngram_join.shingle_sets(texts, width)
+        assert [len(x) for x in made] == [len(x) for x in plain]
+        for (a, x), (b, y) in itertools.combinations(zip(plain, made, strict=True), 2):
+            assert len(a & b) == len(np.intersect1d(x, y))
+        assert all(np.array_equal(x, ngram_join.shingles(t, width)) for t, x in zip(texts, made, strict=True))
