@@ -154,7 +154,8 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
     source = texts(docs, key)
-    return map_batches(source, run, f"{key} {source.schema[key].dataType.simpleString()}, ids binary")
+    kind = source.schema[key].dataType.simpleString()
+    return map_batches(source, run, f"{key} {kind}, ids binary", tables=codec)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -175,5 +176,8 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     source = texts(docs, key)
     kind = source.schema[key].dataType.simpleString()
     return map_batches(
-        source, run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        source,
+        run,
+        f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        tables=codec,
     )

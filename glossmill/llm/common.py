@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,19 +30,50 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+#: The cached function whose tables this Python worker holds from task to task.
+_HELD = None
+
+
+def hold(tables=None) -> None:
+    """Begin a task: tables that a worker still has from other operators go.
+
+    ``tables`` is the ``lru_cache`` function that makes this operator's own ones. Workers
+    serve one job after the other, so without this the tables of all stages add up.
+    """
+    global _HELD
+    if _HELD is not None and _HELD is not tables:
+        _HELD.cache_clear()
+        give_back()
+    _HELD = tables
+
+
+def give_back() -> None:
+    """Return freed memory to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
+    df: DataFrame,
+    fn: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: str | StructType,
+    tables=None,
 ) -> DataFrame:
     """Apply ``fn`` to slices of at most ``ROWS`` rows of every Arrow batch.
 
     A worker so holds the Python objects and the results of few rows at once, however
-    many rows the session puts in a batch.
+    many rows the session puts in a batch. ``tables`` see ``hold``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(tables)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 yield fn(batch.slice(start, ROWS))
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -57,11 +90,13 @@ def filter_rows(
 
     @F.arrow_udf(BooleanType())
     def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hold()
         for batch in batches:
             found: list[bool] = []
             for start in range(0, len(batch), ROWS):
                 found += map(keeps, batch.slice(start, ROWS).to_pylist())
             yield pa.array(found, pa.bool_())
+        give_back()
 
     return docs.where(kept(F.col(f"`{text}`")))
 
