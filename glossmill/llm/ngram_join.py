@@ -16,7 +16,10 @@ Exact, by token-combination prefixes. A set's tokens are 64-bit hashes of its sh
    subclass make up for what is missing, and pairs of tokens of one subclass are
    indexed: a linked class shares a rare token or two frequent ones of a subclass. The
    number of subclasses grows with the size, so pairs stay in proportion to the size.
-5. Classes of different components that meet under a key are verified on whole sets,
+5. A class has a vector of ``PARITY`` bits, each the parity of the tokens dealt to it. Sets
+   differ in at least as many tokens as their vectors in bits, so classes whose vectors
+   differ too much cannot link: the join under a key leaves them out at once.
+6. Classes of different components that meet otherwise are verified on whole sets,
    and all links are joined to components.
 
 The frequent tokens only fix an order of tokens; any order gives the same links.
@@ -33,8 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import Bloom, map_batches, texts
@@ -50,22 +52,18 @@ FREQUENT = 12
 WITNESSES = 24
 #: Bits of the tables over tokens and over keys, as powers of two.
 TOKEN_BITS, KEY_BITS = 26, 24
+#: Bits of a class's parity vector, as 64-bit numbers.
+PARITY = 512
 INDEX = "token long, rep long, n long, length long"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class WordHashes(dict):
-    MAX = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MAX:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
+#: Values of the bytes, A-Z as a-z, and which bytes part words.
+_VALUES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+_VALUES[65:91] = _VALUES[97:123]
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -73,17 +71,55 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of all words, without a loop over them."""
+    octets = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate(([False], ~_WHITE[octets], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()))
+    within = place - np.repeat(first, sizes)
+    powers = np.full(int(sizes.max()), _FACTOR)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    values = _VALUES[octets[within + np.repeat(starts, sizes)]] * powers[within]
+    return starts, mixed(np.add.reduceat(values, first) + sizes.astype(np.uint64))
+
+
+def shingle_sets(texts_: list[str], width: int = WIDTH) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of every text, worked out together."""
+    raw = [x.encode() for x in texts_]
+    bounds = np.cumsum([0] + [len(x) + 1 for x in raw])  # a white byte parts the texts
+    starts, words = word_hashes(b"\n".join(raw))
+    ends = np.searchsorted(starts, bounds)
+    runs = np.full(max(len(words) - width + 1, 0), width, np.uint64)
+    for k in range(width):
+        runs = runs * _FACTOR + words[k : k + len(runs)]
+    runs = mixed(runs)
+    out = []
+    for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        if b - a >= width:
+            out.append(np.unique(runs[a : b - width + 1]))
+            continue
+        whole = np.full(min(b - a, 1), b - a, np.uint64)
+        for k in range(a, b):
+            whole = whole * _FACTOR + words[k]
+        out.append(mixed(whole))
+    return out
+
+
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = text.encode().lower().split()  # A-Z and the ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(ids))
-    out = np.full(len(ids) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = out * _FACTOR + ids[k : k + len(out)]
-    return np.unique(mixed(out))
+    return shingle_sets([text], width)[0]
+
+
+def parity(tokens: np.ndarray) -> list[int]:
+    """Of each bin of tokens whether it holds an odd number, packed in 64-bit numbers."""
+    bins = (mixed(tokens) % np.uint64(PARITY)).astype(np.int64)
+    odd = (np.bincount(bins, minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def misses(n, percent: int = PERCENT):
@@ -107,7 +143,7 @@ def linked(n: int, m: int, both: int, percent: int = PERCENT) -> bool:
 def sketches(
     docs: DataFrame, key: str, width: int, percent: int, frequent: Bloom | None = None
 ) -> DataFrame:
-    """key, n, digest of the set, its prefix, and the length of the prefix.
+    """key, n, digest of the set, its prefix, the length of the prefix, parity.
 
     The prefix is by hash order, or with ``frequent`` by rare tokens first; the length
     is 0 where it has pairs of tokens.
@@ -116,9 +152,8 @@ def sketches(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         often = shared.value
-        sizes, digests, prefixes, lengths = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            found = shingles(text, width)
+        sizes, digests, prefixes, lengths, parities = [], [], [], [], []
+        for found in shingle_sets(batch.column(1).to_pylist(), width):
             n = len(found)
             if often is None or not misses(n + 1, percent):
                 # sets that may lack no token are in no index
@@ -130,6 +165,7 @@ def sketches(
             digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
             prefixes.append(prefix.tobytes())
             lengths.append(length)
+            parities.append(parity(found) if often is None else None)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -137,13 +173,15 @@ def sketches(
                 pa.array(digests, pa.binary()),
                 pa.array(prefixes, pa.binary()),
                 pa.array(lengths, pa.int64()),
+                pa.array(parities, pa.list_(pa.int64())),
             ],
-            [key, "n", "digest", "prefix", "length"],
+            [key, "n", "digest", "prefix", "length", "parity"],
         )
 
     source = texts(docs, key)
     kind = source.schema[key].dataType.simpleString()
-    return map_batches(source, run, f"{key} {kind}, n long, digest binary, prefix binary, length long")
+    schema = f"{key} {kind}, n long, digest binary, prefix binary, length long, parity array<long>"
+    return map_batches(source, run, schema)
 
 
 def index_rows(prefixes: DataFrame, keep: Bloom) -> DataFrame:
@@ -187,18 +225,8 @@ def repeated_tokens(prefixes: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [
-            [x.to_numpy(zero_copy_only=False) for x in batch.columns] for batch in batches if batch.num_rows
-        ]
-        if not got:
-            return
-        values, places = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-        counts = np.bincount(places, np.concatenate([x[1] for x in got]))
-        yield pa.RecordBatch.from_arrays([pa.array(values[counts > 1])], ["token"])
-
     once = prefixes.select("prefix").mapInArrow(combined, "token long, n long")
-    return once.repartition(F.col("token")).mapInArrow(repeated, "token long")
+    return once.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").select("token")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, key: str, width: int) -> DataFrame:
@@ -208,7 +236,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, key: str, width: int) -> DataFra
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(bits.value.has(keys))
-        found = [shingles(x, width).tobytes() for x in batch.column(1).take(pa.array(rows)).to_pylist()]
+        found = [x.tobytes() for x in shingle_sets(batch.column(1).take(pa.array(rows)).to_pylist(), width)]
         return pa.RecordBatch.from_arrays(
             [pa.array(keys[rows]), pa.array(found, pa.binary())], ["rep", "tokens"]
         )
@@ -300,6 +328,19 @@ def with_components(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
+def may_link(x: str, y: str, percent: int) -> Column:
+    """False only where parities prove that sets of sizes ``n`` differ too much to link.
+
+    Linked sets differ in (100 - percent) / (100 + percent) of their sizes' sum at most.
+    """
+    odd = sum(
+        F.bit_count(F.get(f"parity{x}", k).bitwiseXOR(F.get(f"parity{y}", k)))
+        for k in range(PARITY // 64)
+    )
+    sizes = F.col(f"size{x}") + F.col(f"size{y}")
+    return F.coalesce((100 + percent) * odd <= (100 - percent) * sizes, F.lit(True))
+
+
 def star_pairs(index: DataFrame, found: DataFrame | None, percent: int, smallest: bool) -> DataFrame:
     """Each class with the head it shares most tokens with, in another component: a, b.
 
@@ -366,17 +407,21 @@ def combination_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) ->
     return np.concatenate(keys), length
 
 
-def cross_pairs(index: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(index: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Classes of different components that share enough of their prefixes: a, b.
 
     The prefix that ends first lacks no shared token of the other, so linked classes
     share its length less what may miss; classes indexed by pairs share one key.
     """
     least = F.col("length") - (F.col("n") - F.ceil(F.col("n") * percent / 100))
-    rows = index.select("token", "rep", "n", "comp", F.greatest(least, F.lit(1)).alias("least"))
+    rows = index.join(parities, "rep").select(
+        "token", "rep", "n", "comp", F.greatest(least, F.lit(1)).alias("least"), "size", "parity"
+    )
     x, y = (rows.select("token", *(F.col(c).alias(c + k) for c in rows.columns[1:])) for k in "xy")
     fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    met = x.join(y, "token").where("repx < repy and compx <> compy").where(fits)
+    met = x.join(y, "token").where("repx < repy and compx <> compy").where(
+        fits & may_link("x", "y", percent)
+    )
     return (
         met.groupBy(
             F.col("repx").alias("a"), F.col("repy").alias("b"), F.least("leastx", "leasty").alias("least")
@@ -420,6 +465,14 @@ class Classes:
             .select(key, "digest")
         )
         self.few = fits_broadcast(self.copies)
+        # rows that repeat a key may have several sets; their pairs are all verified
+        one = F.min("digest") == F.max("digest")
+        self.parities = materialise(
+            self.base.where(self.indexed)
+            .join(self.classes.select(F.col("rep").alias(key)), key, "left_semi")
+            .groupBy(F.col(key).cast("long").alias("rep"))
+            .agg(F.max("n").alias("size"), F.when(one, F.max("parity")).alias("parity"))
+        )
 
     def prefixes(self, frequent: Bloom | None = None) -> DataFrame:
         """rep, n, length, prefix; with ``frequent`` in the order of rare tokens first."""
@@ -435,6 +488,11 @@ class Classes:
         return found if self.few and frequent is None else materialise(found)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that link."""
+        for end in ("a", "b"):
+            columns = [F.col(c).alias(new) for c, new in (("rep", end), ("size", f"size{end}"), ("parity", f"parity{end}"))]
+            pairs = pairs.join(self.parities.select(columns), end)
+        pairs = pairs.where(may_link("a", "b", self.percent)).select("a", "b")
         return verified(self.docs, pairs, self.key, self.width, self.percent)
 
 
@@ -483,7 +541,7 @@ def links_between(own: Classes, frequent: int = FREQUENT) -> DataFrame:
         common = Bloom.of(often.union(widened(own, located, often)), "token", KEY_BITS)
         located = materialise(with_components(indexed(own.prefixes(common)), found))
     meeting = located.join(mixed_buckets(located).select("token"), "token")
-    return links.union(own.verified(cross_pairs(meeting, percent)))
+    return links.union(own.verified(cross_pairs(meeting, own.parities, percent)))
 
 
 def groups(
