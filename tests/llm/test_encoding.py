@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from functools import lru_cache
 from io import BytesIO
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from glossmill.llm import bitplanes, bpe, pretokens, token_counts
+from glossmill.llm import bitplanes, bpe, common, pretokens, token_counts
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -152,3 +153,17 @@ def test_ids_are_written_in_key_order(rows, library):
         start += len(ids)
     assert got == want
     assert bitplanes.read_ids(bitplanes.write_ids(df.limit(0), JSON)).count() == 0
+
+
+def test_a_worker_holds_the_tables_of_one_operator_at_a_time():
+    @lru_cache(maxsize=1)
+    def own(path):
+        return [path]
+
+    common.hold(own)
+    kept = own("a")
+    common.hold(own)
+    assert own("a") is kept  # the next task of the same operator finds them
+    common.hold()
+    assert own.cache_info().currsize == 0
+    common.hold()
