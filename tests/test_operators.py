@@ -433,3 +433,41 @@ def test_broadcast_only_within_the_bound(spark):
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
     assert "strategy=broadcast" in plan(checked_broadcast(big, 100))
     assert "strategy=broadcast" not in plan(checked_broadcast(big, 99))
+
+
+def test_pairs_of_numbers_over_many_parts(spark, monkeypatch):
+    """Texts longer than a part, nulls that take a position, texts without words."""
+    monkeypatch.setattr(vocabulary, "PAIR_TOKENS", 16)
+    rng = random.Random(3)
+    texts = [[rng.choice([None, 0, 1, 2, 70_000]) for _ in range(rng.randrange(60))] for _ in range(30)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, []]], "t array<int>").repartition(3)
+    want = Counter(
+        (t[i], t[j])
+        for t in texts
+        for i in range(len(t))
+        for j in range(len(t))
+        if 1 <= abs(i - j) <= 3 and t[i] is not None and t[j] is not None
+    )
+    got = vocabulary.context_pairs(df, "t", 3)
+    rows = got.collect()
+    assert {(r.center, r.context): r.n for r in rows} == dict(want) and len(rows) == len(want)
+    # pairs travel packed, by bucket: no aggregate by pair is left in the plan
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan and "HashAggregate" not in plan
+
+
+def test_joined_lookup_shuffles_words_once_per_chunk(spark, monkeypatch):
+    """Chunks of rows, rows longer than a chunk, nulls; ids as by the lookup that travels."""
+    monkeypatch.setattr(vocabulary, "CHUNK", 10)
+    rng = random.Random(4)
+    data = [(i, [rng.choice(["a", "b", "c", None, f"x{i}"]) for _ in range(rng.randrange(25))]) for i in range(60)]
+    rows = spark.createDataFrame([*data, (99, None)], "id int, t array<string>").repartition(3)
+    vocab = materialise(vocabulary.vocabulary(vocabulary.word_counts(rows, "t", 3)))
+    known = {r.token: r.id for r in vocab.collect()}
+    for unknown in (1, None):
+        got = vocabulary.encode_words(rows, "id", "t", vocab, 0, unknown)
+        assert {r.id: r.ids for r in got.collect()} == {
+            i: [known.get(w, unknown) for w in t or []] for i, t in [*data, (99, None)]
+        }
+    chunks = vocabulary._chunks(rows, "id", F.col("t")).collect()
+    assert len(chunks) > 30 and all(len(set(c.words)) == len(c.words) for c in chunks)
