@@ -60,3 +60,13 @@ def test_shards_and_spread(spark, tmp_path):
     assert readers.spread(shards.coalesce(1)).rdd.getNumPartitions() == cores
     wide = spark.range(100, numPartitions=cores + 1)
     assert readers.spread(wide) is wide
+
+
+def test_clean_csv_files_are_bounded(spark, tmp_path, monkeypatch):
+    """One task's rows go to several files, since a file with texts over lines is read by one task."""
+    monkeypatch.setattr(writers, "FILE_ROWS", 10)
+    rows = [(f"a{i}", f'x "{i}"\n, y', f"{i}\n") for i in range(35)]
+    clean = spark.createDataFrame(rows, "ast string, comments string, comments_orig string").coalesce(1)
+    writers.write_clean_csv(clean, f"{tmp_path}/clean")
+    assert len(list((tmp_path / "clean").glob("*.csv"))) == 4
+    assert sorted(map(tuple, readers.read_clean_csv(spark, f"{tmp_path}/clean").collect())) == sorted(rows)
