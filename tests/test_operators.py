@@ -471,3 +471,25 @@ def test_joined_lookup_shuffles_words_once_per_chunk(spark, monkeypatch):
         }
     chunks = vocabulary._chunks(rows, "id", F.col("t")).collect()
     assert len(chunks) > 30 and all(len(set(c.words)) == len(c.words) for c in chunks)
+
+
+@pytest.mark.parametrize("unfolded", [1, 7, 100_000])
+def test_subwords_of_a_batch_in_slices(spark, monkeypatch, unfolded):
+    """A batch is unfolded in parts; empty texts and rows longer than a part included."""
+    monkeypatch.setattr(subwords, "UNFOLDED", unfolded)
+    texts = ["", "ab ab, ab", "x" * 40, "né a", "", "a b c d e f g h i j", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    vocab = materialise(subwords.build_subwords(docs, "t", 30))
+    ids = docs.select("i", subwords.encode_subwords(vocab, F.coalesce("t", F.lit(""))).alias("ids"))
+    back = ids.select("i", subwords.decode_subwords(vocab, F.col("ids")).alias("t")).collect()
+    assert {r.i: r.t for r in back} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_slices_hold_few_elements(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(subwords, "UNFOLDED", 10)
+    batch = pa.array([["a"] * n for n in (3, 4, 0, 25, 0, 9, 1, 1)]).slice(1)
+    parts = list(subwords._slices(batch))
+    assert sum((p.to_pylist() for p in parts), []) == batch.to_pylist()
+    assert all(len(p) == 1 or len(p.flatten()) <= 10 for p in parts) and len(parts) > 2
