@@ -1,3 +1,4 @@
+from glossmill.functions import scanner
 from glossmill.functions.scanner import find_functions
 from glossmill.operators.extraction import extract_functions, register_sql
 
@@ -135,3 +136,35 @@ def test_templates_of_any_depth():
     assert [f["name"] for f in find_functions(src)] == ["f", "g"]
     broken = "function f() { return 1; }\nconst t = " + "`${" * 3000
     assert [f["name"] for f in find_functions(broken)] == ["f"]
+
+
+def test_brackets_and_calls_in_bulk():
+    """Matching brackets come from arrays and from the loop alike; calls are no candidates."""
+    texts = ["", "a", "(a[b]{c}(d))[]{}", "{" * 64 + "}" * 64, "f();g(h[1]);{({[]})}", "((]", "é(😀)[\ud800]"]
+    for text in texts:
+        found = scanner._nested(text)
+        if found is not None:
+            bare, scanner._DEEPEST = scanner._DEEPEST, -1
+            try:
+                assert scanner._nested(text) is None and scanner._partners(text) == found
+            finally:
+                scanner._DEEPEST = bare
+    assert scanner._nested("(]") is None and scanner._nested(")(") is None and scanner._nested("(") is None
+    src = "class A { a() { b();\nc().d();\ne(f(), g()); } h() { return 1; } }"
+    assert [f["name"] for f in scanner.find_functions(src)] == ["a", "h"]
+    text = scanner._blanked(src)
+    names = [text[c[2] : c[3]] for c in scanner._candidates(text, *scanner._partners(text))]
+    assert names == ["a", "h"]
+
+
+def test_only_quotes_and_slashes_open_opaque_text():
+    """A division is read on, a pattern is blanked, whatever stands in front of them."""
+    for src, want in {
+        'a / b / "c/d" // e': 'a / b / """""     ',
+        "x = /[/]'/g; y": 'x = """""""; y',
+        "if (x) /a'/.test(y)": 'if (x) """".test(y)',
+        "(x) / 'a' / y": '(x) / """ / y',
+        "return /'/": 'return """',
+        "/'/": "/'/",
+    }.items():
+        assert scanner._blanked(src) == want
