@@ -493,3 +493,17 @@ def test_slices_hold_few_elements(monkeypatch):
     parts = list(subwords._slices(batch))
     assert sum((p.to_pylist() for p in parts), []) == batch.to_pylist()
     assert all(len(p) == 1 or len(p.flatten()) <= 10 for p in parts) and len(parts) > 2
+
+
+def test_bases_are_never_broadcast(spark, monkeypatch):
+    """A row per word of the vocabulary: its vectors stay off the driver, however small they seem."""
+    _, entries, words = low_rank(spark, 60, 3)
+    plans, stored = [], embedding.materialise
+    monkeypatch.setattr(
+        embedding,
+        "materialise",
+        lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df),
+    )
+    embedding.factorised(entries, words, 4, block=16, iterations=1)
+    joins = [p for p in plans if "vector" in p and "Join" in p]
+    assert len(joins) == 2 and not any("Broadcast" in p for p in joins)
