@@ -507,3 +507,11 @@ def test_bases_are_never_broadcast(spark, monkeypatch):
     embedding.factorised(entries, words, 4, block=16, iterations=1)
     joins = [p for p in plans if "vector" in p and "Join" in p]
     assert len(joins) == 2 and not any("Broadcast" in p for p in joins)
+
+
+def test_a_stored_table_takes_the_codec_asked_for(spark):
+    from glossmill.session import materialise
+
+    for codec, df in (("zstd", materialise(spark.range(9), codec="zstd")), ("snappy", materialise(spark.range(9)))):
+        assert df.count() == 9
+        assert all(f".{codec}." in name for name in df.inputFiles())
