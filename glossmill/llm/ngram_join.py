@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Bloom, map_batches, texts
+from glossmill.llm.common import Bloom, hold, map_batches, texts
 from glossmill.session import checked_broadcast, fits_broadcast, materialise
 
 #: Words of a shingle.
@@ -54,6 +54,8 @@ WITNESSES = 24
 TOKEN_BITS, KEY_BITS = 26, 24
 #: Bits of a class's parity vector, as 64-bit numbers.
 PARITY = 512
+#: Bytes of texts whose words are hashed at once.
+TOGETHER = 1 << 18
 INDEX = "token long, rep long, n long, length long"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -90,8 +92,22 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts_: list[str], width: int = WIDTH) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every text, worked out together."""
-    raw = [x.encode() for x in texts_]
+    """The sorted distinct shingle hashes of every text.
+
+    About ``TOGETHER`` bytes of texts are worked out together, as each takes some fifty
+    bytes of numbers meanwhile.
+    """
+    out, held, size = [], [], 0
+    for text in texts_:
+        held.append(text.encode())
+        size += len(held[-1])
+        if size >= TOGETHER:
+            out += _sets(held, width)
+            held, size = [], 0
+    return out + _sets(held, width)
+
+
+def _sets(raw: list[bytes], width: int) -> list[np.ndarray]:
     bounds = np.cumsum([0] + [len(x) + 1 for x in raw])  # a white byte parts the texts
     starts, words = word_hashes(b"\n".join(raw))
     ends = np.searchsorted(starts, bounds)
@@ -206,6 +222,7 @@ def repeated_tokens(prefixes: DataFrame) -> DataFrame:
     """Tokens that occur twice or more in the prefixes, combined in each task: token."""
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -219,7 +236,7 @@ def repeated_tokens(prefixes: DataFrame) -> DataFrame:
             for raw in batch.column(0).to_pylist():
                 held.append(np.frombuffer(raw, np.int64))
                 size += len(held[-1])
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -258,6 +275,7 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, width: int, percent: i
     sent = sets.join(checked_broadcast(materialise(ends)), "rep").select("a", "b", "rep", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         pair, first, found = None, [], []
         for batch in batches:
             for a, b, rep, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -515,6 +533,7 @@ def widened(own: Classes, located: DataFrame, often: DataFrame) -> DataFrame:
     sets = sets_of(own.docs, materialise(chosen), own.key, own.width)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             tokens = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
             if tokens:

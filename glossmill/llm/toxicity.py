@@ -32,11 +32,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import filter_rows, map_batches, texts
+from glossmill.llm.common import filter_rows, hold, map_batches, texts
 from glossmill.session import materialise
 
 #: Labelled rows of each class that are learnt from, at most.
 PER_CLASS = 10_000
+#: Terms that a task counts together.
+MAX_COUNTED = 100_000
 #: Lengths of stems.
 STEMS = (4, 5, 6)
 #: Words on either side of a hit that make its context.
@@ -233,15 +235,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, key: str
 def term_counts(sample: DataFrame) -> DataFrame:
     """Sampled documents by term and class: term, toxic, clean; stems end in ``*``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for text, toxic in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                words = set(_WORD.findall(text.lower()))
-                stems = {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
-                counts[toxic].update(words | stems)
+    def rows(counts: dict[int, Counter]) -> pa.RecordBatch:
         every = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 pa.array(every, pa.string()),
                 pa.array([counts[1][x] for x in every], pa.int64()),
@@ -250,6 +246,19 @@ def term_counts(sample: DataFrame) -> DataFrame:
             ["term", "toxic", "clean"],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        counts = {0: Counter(), 1: Counter()}
+        for batch in batches:
+            for text, toxic in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                words = set(_WORD.findall(text.lower()))
+                stems = {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+                counts[toxic].update(words | stems)
+                if len(counts[0]) + len(counts[1]) > MAX_COUNTED:
+                    yield rows(counts)
+                    counts = {0: Counter(), 1: Counter()}
+        yield rows(counts)
+
     found = sample.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long")
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 

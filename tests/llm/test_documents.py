@@ -494,3 +494,25 @@ def test_shingle_sets_against_plain_ones():
         for (a, x), (b, y) in itertools.combinations(zip(plain, made, strict=True), 2):
             assert len(a & b) == len(np.intersect1d(x, y))
         assert all(np.array_equal(x, ngram_join.shingles(t, width)) for t, x in zip(texts, made, strict=True))
+
+
+def test_shingle_sets_hold_the_numbers_of_few_texts_at_once(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    given = [" ".join(map(str, rng.integers(0, 10**6, n))) for n in rng.integers(0, 900, 500)] + ["", " "]
+    tracemalloc.start()
+    got = ngram_join.shingle_sets(given, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35e6
+    monkeypatch.setattr(ngram_join, "TOGETHER", 1 << 40)
+    assert [x.tolist() for x in got] == [x.tolist() for x in ngram_join.shingle_sets(given, 5)]
+
+
+def test_terms_counted_in_parts_are_the_same(spark, monkeypatch):
+    rows = [(f"alpha{i % 7} beta{i % 5} gamma", i % 2) for i in range(60)]
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    whole = sorted(map(tuple, toxicity.term_counts(sample).collect()))
+    monkeypatch.setattr(toxicity, "MAX_COUNTED", 3)
+    assert sorted(map(tuple, toxicity.term_counts(sample).collect())) == whole
