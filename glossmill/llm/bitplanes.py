@@ -20,12 +20,12 @@ empty table gives no file. Other columns are not read.
 
 from __future__ import annotations
 
+import codecs
 import json
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from string import punctuation
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +36,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import filesystem, fresh_name, map_batches, shared_uri, texts
-from glossmill.llm.pretokens import blank_runs, pattern, units
-from glossmill.llm.token_counts import parts, specials, tokenizer
+from glossmill.llm.pretokens import blank_runs, pattern
+from glossmill.llm.token_counts import specials, tokenizer
 from glossmill.session import materialise
 
 MAGIC = b"IDPLANES"
 #: Ids per block.
 BLOCK = 1 << 16
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -173,32 +175,59 @@ class Reader:
             start += count
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte."""
+def byte_letters() -> str:
+    """The letters that byte-level vocabularies write for the bytes, in their order."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return "".join(letters[b] for b in range(256))
 
 
-def pretokens(unit: str) -> list[str]:
-    """The pre-tokens of a unit; Latin words with marks behind them need no pattern."""
-    word = unit.rstrip(punctuation)
-    letters = word[1:] if word.startswith(" ") else word
-    if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
-        return [unit] if len(word) == len(unit) else [word, unit[len(word) :]]
-    return pattern().findall(unit)
+#: Latin words with marks behind them: two pre-tokens at most, found without the pattern.
+WORD = (
+    r"^ ?[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+"
+    r"(?P<marks>[!-/:-@\[-`{-~]*)$"
+)
+
+
+def spans(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after the other."""
+    ends = np.cumsum(sizes)
+    places = np.repeat(starts - ends + sizes, sizes)
+    places += np.arange(len(places))
+    return pool[places]
+
+
+def strings(found: pa.Array) -> list[str | None]:
+    """The values of an array, faster than one by one."""
+    return found.to_numpy(zero_copy_only=False).tolist()
+
+
+class Numbers(dict):
+    """Numbers strings in the order they are asked for; ``new`` ones wait to be learned."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        self.new.append(unit)
+        return number
 
 
 class LibraryCodec:
     """Ids by the tokenizers library; a worker has every pre-token encoded once.
 
     A batch is cut into units and made a dictionary by Arrow. Units of the dictionary
-    that are new are parted into pre-tokens, new ones of these go through the library's
-    model, and ids are gathered as arrays. The table of units and pre-tokens is bounded:
-    once it is full, those of the current batch stay, which frequent ones are among.
+    get numbers; new ones are parted into pre-tokens, new ones of these go through the
+    library's model. The ids of all units lie in one array, from which those of the
+    texts are gathered by number. The table is bounded: once it is full, units that
+    most batches had stay, half of the table at most.
     """
 
-    KNOWN = 800_000
+    #: Units, and ids of theirs, that the table holds before a batch.
+    KNOWN, IDS = 1_200_000, 16_000_000
 
     def __init__(self, path: str):
         self.tokenizer, self.marks = tokenizer(path), specials(path)
@@ -207,74 +236,114 @@ class LibraryCodec:
         before = config["pre_tokenizer"] or {}
         plain = config["normalizer"] is None and before.get("type") == "ByteLevel"
         self.direct = plain and not before["add_prefix_space"] and before.get("use_regex", True)
-        self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.letters = byte_letters()[:255] + "\n"  # UTF-8 has no byte 255: it parts pre-tokens
+        self.known = Numbers({"": 0})
+        self.pool = np.zeros(0, "<u4")
+        # by number: place and number of the ids, batches with the unit
+        self.starts, self.sizes, self.seen = (np.zeros(1, np.int64) for _ in range(3))
 
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, found: list[str]) -> None:
-        """Encode pre-tokens, by the model itself where nothing stands before it."""
+    def _model(self, tokens: list[str]) -> list[list[int]]:
+        """The ids of pre-tokens, by the model itself where nothing stands before it."""
         if not self.direct:
-            self.known.update((x, self._whole(x)) for x in found)
+            return list(map(self._whole, tokens))
+        tokenize = self.tokenizer.model.tokenize
+        spelt, _ = codecs.charmap_decode(b"\xff".join(map(str.encode, tokens)), "strict", self.letters)
+        return [[x.id for x in tokenize(y)] for y in spelt.split("\n")]
+
+    def _append(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts[places] = len(self.pool) + np.cumsum(sizes) - sizes
+        self.sizes[places] = sizes
+        self.pool = np.concatenate((self.pool, ids))
+
+    def _learn(self) -> None:
+        """Encode the units that are new."""
+        known, new = self.known, self.known.new
+        if not new:
             return
-        tokenize, letters, known = self.tokenizer.model.tokenize, self.letters, self.known
-        for token in found:
-            ids = [x.id for x in tokenize(token.encode().decode("latin-1").translate(letters))]
-            known[token] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def _ids(self, found: list[str]) -> list[bytes]:
-        """The ids of units."""
-        if len(self.known) > self.KNOWN:
-            self.known = {x: self.known[x] for x in found if x in self.known}
-        known = self.known
-        missing = [x for x in found if x not in known]
-        cut = list(map(pretokens, missing))
-        self._learn([x for x in {x for tokens in cut for x in tokens} if x not in known])
-        get = known.__getitem__
-        for unit, tokens in zip(missing, cut, strict=True):
-            if len(tokens) > 1:
-                known[unit] = b"".join(map(get, tokens))
-        return list(map(get, found))
-
-    def _gathered(self, batch: list[str]) -> list[bytes]:
-        """Ids of texts whose units begin at the blanks."""
-        pieces = pc.split_pattern(pa.array(batch, pa.large_string()), " ")
-        bounds = pieces.offsets.to_numpy()
-        flat = pieces.flatten().dictionary_encode()
-        first = np.zeros(len(flat), dtype=np.int64)
-        first[bounds[:-1]] = 1  # the first piece of a text has no blank before it
-        codes, which = np.unique(
-            2 * flat.indices.to_numpy().astype(np.int64) + first, return_inverse=True
+        base, get = len(self.sizes), known.__getitem__
+        marks = pc.extract_regex(pa.array(new, pa.large_string()), WORD).flatten()[0]
+        parted: dict[int, list[int]] = {}  # units of several pre-tokens
+        for place, end in enumerate(strings(marks)):
+            if end:
+                parted[place] = [get(new[place][: -len(end)]), get(end)]
+            elif end is None and len(tokens := pattern().findall(new[place])) > 1:
+                parted[place] = list(map(get, tokens))
+        # pre-tokens of parted units have joined the new ones
+        several = np.fromiter(parted, np.int64, len(parted))
+        single = np.ones(len(new), dtype=bool)
+        single[several] = False
+        places = np.flatnonzero(single)
+        grown = np.zeros(len(new), np.int64)
+        self.starts, self.sizes, self.seen = (
+            np.concatenate((x, grown)) for x in (self.starts, self.sizes, self.seen)
         )
-        named = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-        units_ = [named[c >> 1] if c & 1 else " " + named[c >> 1] for c in codes.tolist()]
-        found = [b"" if not x else None for x in units_]
-        made = iter(self._ids([x for x in units_ if x]))
-        values = [next(made) if x is None else x for x in found]
-        sizes = np.fromiter((len(x) >> 2 for x in values), np.int64, len(values))
-        pool = np.frombuffer(b"".join(values), "<u4")
-        size = sizes[which]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        shift = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], size)
-        ids = pool[shift + np.arange(ends[-1])]
-        places = ends[bounds].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(places, places[1:], strict=False)]
-
-    def encode(self, batch: list[str]) -> list[bytes]:
+        ids = self._model([new[k] for k in places.tolist()])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum()))
+        self._append(base + places, flat, sizes)
+        if parted:
+            bounds = np.cumsum([0, *map(len, parted.values())])
+            members = np.fromiter(chain.from_iterable(parted.values()), np.int64, bounds[-1])
+            flat = spans(self.pool, self.starts[members], self.sizes[members])
+            sizes = np.add.reduceat(self.sizes[members], bounds[:-1])
+            self._append(base + several, flat, sizes)
+        known.new = []
+
+    def _shrink(self) -> None:
+        """Make room in the table once it is full."""
+        if len(self.sizes) <= self.KNOWN and len(self.pool) <= self.IDS:
+            return
+        often = np.argsort(-self.seen, kind="stable")[: self.KNOWN // 2]
+        often = often[(self.seen[often] > 1) & (np.cumsum(self.sizes[often]) <= self.IDS // 2)]
+        kept, names = np.union1d([0], often), list(self.known)
+        self.known = Numbers()  # the table of before goes first
+        self.known.update((names[old], k) for k, old in enumerate(kept.tolist()))
+        self.pool = spans(self.pool, self.starts[kept], self.sizes[kept])
+        self.sizes, self.seen = self.sizes[kept], self.seen[kept] >> 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _numbers(self, found: pa.Array) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, strings(found)), np.int64, len(found))
+
+    def _numbered(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units that begin at the blanks, and where texts begin and end."""
+        pieces = pc.split_pattern(batch, " ")
+        bounds = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.flatten().dictionary_encode()
+        nothing, blank = (pa.scalar(x, batch.type) for x in ("", " "))
+        named = pc.binary_join_element_wise(nothing, flat.dictionary, blank)
+        numbers = self._numbers(named)[flat.indices.to_numpy()]
+        # the first piece of a text has no blank before it
+        numbers[bounds[:-1]] = self._numbers(pieces.flatten().take(pa.array(bounds[:-1])))
+        return numbers, bounds
+
+    def encode(self, batch: pa.Array) -> list[bytes]:
         """Ids of whole texts, without special tokens but those the texts spell out."""
+        self._shrink()
+        whole = np.zeros(len(batch), dtype=bool)
+        for mark in self.marks:
+            whole |= pc.match_substring(batch, mark).to_numpy(zero_copy_only=False)
+        runs = blank_runs(batch) & ~whole
+        plain = ~(whole | runs)
         out: list[bytes] = [b""] * len(batch)
-        simple = []
-        for i, text in enumerate(batch):
-            if parts(text, self.marks)[1]:
-                out[i] = self._whole(text)  # the library itself parts such texts
-            elif blank_runs(text):
-                out[i] = b"".join(self._ids(units(text)))
-            elif text:
-                simple.append(i)
-        for i, ids in zip(simple, self._gathered([batch[i] for i in simple]), strict=True):
-            out[i] = ids
+        for i in np.flatnonzero(whole).tolist():  # the library itself parts such texts
+            out[i] = np.array(self._whole(batch[i].as_py()), "<u4").tobytes()
+        numbers, bounds = self._numbered(batch.filter(pa.array(plain)))
+        cut = [pattern().findall(x) for x in strings(batch.filter(pa.array(runs)))]
+        rest = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+        self._learn()
+        bounds = np.concatenate((bounds, bounds[-1] + np.cumsum([*map(len, cut)], dtype=np.int64)))
+        numbers = np.concatenate((numbers, rest))
+        self.seen[numbers] += 1  # once a batch, however often it has the unit
+        sizes = self.sizes[numbers]
+        ids = spans(self.pool, self.starts[numbers], sizes)
+        places = np.concatenate(([0], np.cumsum(sizes)))[bounds].tolist()
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(runs))).tolist()
+        for i, start, stop in zip(order, places, places[1:], strict=False):
+            out[i] = ids[start:stop].tobytes()
         return out
 
 
@@ -283,6 +352,17 @@ def library_codec(path: str) -> LibraryCodec:
     return LibraryCodec(path)
 
 
+def light_slices(batch: pa.RecordBatch, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices with at most ``limit`` bytes of text in the second column, or of one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        held = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def write_ids(
     docs: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", kind: str = "byte", block: int = BLOCK
 ) -> DataFrame:
@@ -312,9 +392,8 @@ def write_ids(
         with files.open_output_stream(f"{folder}/{name}") as sink:
             writer = Writer(sink, kind, block)
             while batch is not None:
-                for start in range(0, batch.num_rows, 500):
-                    some = batch.slice(start, 500)
-                    encoded = library_codec(path).encode(some.column(1).to_pylist())
+                for some in light_slices(batch):
+                    encoded = library_codec(path).encode(some.column(1))
                     for k, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
                         writer.add(k, ids + end)
                 batch = next(batches, None)

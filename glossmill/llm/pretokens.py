@@ -5,11 +5,19 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: White space before a blank: the pre-token then depends on more than its unit.
 _RUN = re.compile(r"\s ")
+#: The same for Arrow, whose white space is ASCII.
+_ARROW_RUN = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+)
 
 
 @lru_cache(maxsize=1)
@@ -17,9 +25,9 @@ def pattern() -> regex.Pattern:
     return regex.compile(public_tokenizers.PATTERN)
 
 
-def blank_runs(text: str) -> bool:
+def blank_runs(texts: pa.Array) -> np.ndarray:
     """True if units of a text are its pre-tokens, not the stretches from blank to blank."""
-    return _RUN.search(text) is not None
+    return pc.match_substring_regex(texts, _ARROW_RUN).to_numpy(zero_copy_only=False)
 
 
 def units(text: str) -> list[str]:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from functools import lru_cache
 from io import BytesIO
@@ -155,6 +156,53 @@ def test_ids_are_written_in_key_order(rows, library):
     assert bitplanes.read_ids(bitplanes.write_ids(df.limit(0), JSON)).count() == 0
 
 
+def ids_of(codec, texts, kind=None):
+    found = codec.encode(pa.array(texts, kind or pa.string()))
+    return [np.frombuffer(x, "<u4").tolist() for x in found]
+
+
+def test_arrow_finds_the_blank_runs_of_the_pattern():
+    texts = [f"a{chr(c)} b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    want = [re.search(r"\s ", x) is not None for x in texts]
+    assert pretokens.blank_runs(pa.array(texts)).tolist() == want
+
+
+@pytest.mark.parametrize("known", [1, 300, 10**6])
+@pytest.mark.parametrize("direct", [True, False])
+def test_library_codec_agrees_with_the_library(library, known, direct):
+    texts = ODD + made(400) + ["Word's", "it'", "words...", " 's", "ßé,\u0250x;", "a\x00b \xff", "ǅ ×÷"]
+    codec = bitplanes.LibraryCodec(JSON)
+    codec.KNOWN, codec.IDS, codec.direct = known, 10 * known, direct
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    for kind in (pa.string(), pa.large_string()):
+        assert ids_of(codec, texts, kind) == want
+    got = [x for k in range(0, len(texts), 7) for x in ids_of(codec, texts[k : k + 7])]
+    assert got == want
+    assert [ids_of(codec, [x]) for x in texts] == [[x] for x in want]
+    assert codec.encode(pa.array([], pa.string())) == []
+
+
+def test_units_of_most_batches_stay_when_the_table_is_full():
+    codec, asked = bitplanes.LibraryCodec(JSON), []
+    model = codec._model
+    codec._model = lambda tokens: asked.extend(tokens) or model(tokens)
+    codec.KNOWN = 300
+    for k in range(100):
+        often = "all of these words are in most of the batches" if k % 2 else "none"
+        codec.encode(pa.array([often, " ".join(f"{k}x{n}" for n in range(20))]))
+        assert len(codec.known) <= codec.KNOWN + 80  # with what a batch adds
+    # learned once, though half of the batches are without them
+    assert asked.count(" batches") == 1
+
+
+def test_slices_hold_few_bytes_of_text():
+    texts = ["ab", "", "c" * 50, "é" * 5, "d", "e" * 10, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    got = [x.column(1).to_pylist() for x in bitplanes.light_slices(batch, 11)]
+    assert got == [texts[:2], texts[2:3], texts[3:5], texts[5:]]
+    assert list(bitplanes.light_slices(batch.slice(0, 0), 11)) == []
+
+
 def test_a_worker_holds_the_tables_of_one_operator_at_a_time():
     @lru_cache(maxsize=1)
     def own(path):
