@@ -32,14 +32,14 @@ columns are not read. Tables between the steps lie in the shared folder.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Bloom, hold, map_batches, texts
+from glossmill.llm.common import ROWS, Bloom, give_back, hold, map_batches, texts
 from glossmill.session import checked_broadcast, fits_broadcast, materialise
 
 #: Words of a shingle.
@@ -56,6 +56,8 @@ TOKEN_BITS, KEY_BITS = 26, 24
 PARITY = 512
 #: Bytes of texts whose words are hashed at once.
 TOGETHER = 1 << 18
+#: Tokens from which a task hands on what it has counted.
+COUNTED = 1 << 18
 INDEX = "token long, rep long, n long, length long"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -218,50 +220,82 @@ def index_rows(prefixes: DataFrame, keep: Bloom) -> DataFrame:
     return map_batches(prefixes.select("rep", "n", "length", "prefix"), run, INDEX)
 
 
+def counted(sets: Iterator[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+    """Tokens with their number in the sets, after every ``most`` tokens: token, n."""
+
+    def flush() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["token", "n"])
+
+    held, size = [], 0
+    for tokens in sets:
+        held.append(tokens.view(np.int64))
+        size += len(tokens)
+        if size >= most:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
 def repeated_tokens(prefixes: DataFrame) -> DataFrame:
     """Tokens that occur twice or more in the prefixes, combined in each task: token."""
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold()
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            # only whether a token repeats matters
-            return pa.RecordBatch.from_arrays(
-                [pa.array(values), pa.array(np.minimum(counts, 2))], ["token", "n"]
-            )
-
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                held.append(np.frombuffer(raw, np.int64))
-                size += len(held[-1])
-            if size > 1_000_000:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
+        raw = (x for batch in batches for x in batch.column(0).to_pylist())
+        yield from counted((np.frombuffer(x, np.int64) for x in raw), 1_000_000)
 
     once = prefixes.select("prefix").mapInArrow(combined, "token long, n long")
     return once.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").select("token")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, key: str, width: int) -> DataFrame:
-    """Whole sets of the wanted keys, and of a few more: rep, tokens."""
+def read_sets(
+    docs: DataFrame, wanted: DataFrame, key: str, width: int
+) -> tuple[DataFrame, Callable[[pa.RecordBatch], tuple[np.ndarray, list[np.ndarray]]]]:
+    """Rows of keys and texts; the wanted keys, and a few more, of a batch with their sets."""
     bits = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted, "rep", KEY_BITS))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(bits.value.has(keys))
-        found = [x.tobytes() for x in shingle_sets(batch.column(1).take(pa.array(rows)).to_pylist(), width)]
+        return keys[rows], shingle_sets(batch.column(1).take(pa.array(rows)).to_pylist(), width)
+
+    source = texts(docs.where(F.col(key).isNotNull()), key).withColumn(key, F.col(key).cast("long"))
+    return source, read
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, key: str, width: int) -> DataFrame:
+    """Whole sets of the wanted keys, and of a few more: rep, tokens."""
+    source, read = read_sets(docs, wanted, key, width)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, sets = read(batch)
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys[rows]), pa.array(found, pa.binary())], ["rep", "tokens"]
+            [pa.array(keys), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "tokens"]
         )
 
-    source = texts(docs.where(F.col(key).isNotNull()), key).withColumn(key, F.col(key).cast("long"))
     return map_batches(source, run, "rep long, tokens binary")
 
 
+def token_counts(docs: DataFrame, wanted: DataFrame, key: str, width: int) -> DataFrame:
+    """Tokens of the wanted keys' whole sets, and of a few more, with their number: token, n.
+
+    The task that reads a text counts its tokens: sets do not go through the JVM to a
+    second Python worker, which would stay beside the first one for the later stages.
+    """
+    source, read = read_sets(docs, wanted, key, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        slices = (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS))
+        yield from counted((tokens for x in slices for tokens in read(x)[1]), COUNTED)
+        give_back()
+
+    counts = source.mapInArrow(run, "token long, n long")
+    return counts.groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of keys those whose whole sets link; materialised.
 
@@ -530,18 +564,9 @@ def widened(own: Classes, located: DataFrame, often: DataFrame) -> DataFrame:
         .select("rep")
         .distinct()
     )
-    sets = sets_of(own.docs, materialise(chosen), own.key, own.width)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold()
-        for batch in batches:
-            tokens = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
-            if tokens:
-                values, counts = np.unique(np.concatenate(tokens), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["token", "n"])
-
-    counts = sets.select("tokens").mapInArrow(counted, "token long, n long")
-    return counts.groupBy("token").agg(F.sum("n").alias("n")).where("n > 2").select("token")
+    counts = token_counts(own.docs, materialise(chosen), own.key, own.width)
+    # written here, where Arrow batches are small: the texts of 10,000 rows are not
+    return materialise(counts.where("n > 2").select("token"))
 
 
 def links_between(own: Classes, frequent: int = FREQUENT) -> DataFrame:

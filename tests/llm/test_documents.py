@@ -1,5 +1,6 @@
 """Joins, tilings, scores, rules, secrets and the pipeline against plain versions."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -516,3 +517,46 @@ def test_terms_counted_in_parts_are_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, toxicity.term_counts(sample).collect()))
     monkeypatch.setattr(toxicity, "MAX_COUNTED", 3)
     assert sorted(map(tuple, toxicity.term_counts(sample).collect())) == whole
+
+
+def test_witnesses_are_read_and_counted_by_one_worker(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = ngram_join.Classes(docs, "doc_id", 4, 85)
+    located = ngram_join.with_components(ngram_join.indexed(own.prefixes()), None)
+    often = located.select("token").distinct()
+    plans, write = [], ngram_join.materialise
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(ngram_join, "materialise", noted)
+    found = ngram_join.widened(own, located, often)
+    # the texts are read while a table is written, in small batches
+    assert [x.count("MapInArrow") for x in plans if "MapInArrow" in x] == [1]
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+    first = collections.defaultdict(list)
+    rows = located.withColumn("h", F.xxhash64("rep")).select("token", "h", "rep").collect()
+    for token, h, rep in rows:
+        first[token].append((h, rep))
+    chosen = {rep for x in first.values() for _, rep in sorted(x)[: ngram_join.WITNESSES]}
+    counts = collections.Counter(
+        t for rep in chosen for t in ngram_join.shingles(texts[rep]).view(np.int64).tolist()
+    )
+    assert {r["token"] for r in found.collect()} == {t for t, n in counts.items() if n > 2}
+
+
+def test_tokens_are_counted_in_parts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 90, k).astype(np.uint64)) for k in (0, 5, 70, 1, 40, 200)]
+    plain = collections.Counter(t for x in sets for t in x.tolist())
+    for most in (1, 50, 10**6):
+        got, parts = collections.Counter(), list(ngram_join.counted(iter(sets), most))
+        for part in parts:
+            assert len(part) < most + max(map(len, sets))
+            got.update(dict(zip(*(x.to_pylist() for x in part.columns), strict=True)))
+        assert got == plain and (most > 1 or len(parts) == 5)
+    assert not list(ngram_join.counted(iter([]), 1))
