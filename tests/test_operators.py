@@ -515,3 +515,33 @@ def test_a_stored_table_takes_the_codec_asked_for(spark):
     for codec, df in (("zstd", materialise(spark.range(9), codec="zstd")), ("snappy", materialise(spark.range(9)))):
         assert df.count() == 9
         assert all(f".{codec}." in name for name in df.inputFiles())
+
+
+def test_a_chunk_of_vectors_travels_once_per_row_block(spark, monkeypatch):
+    """Products shuffle packed tiles and chunks of words, not a vector per word and row block."""
+    dense, entries, words = low_rank(spark, 90, 4)
+    monkeypatch.setattr(embedding, "CHUNK_BYTES", 8 * 16 * 10)  # chunks of 10 words
+    products, made = [], embedding.multiplied
+
+    def seen(tiles, basis, width, n, blocks, chunks, kind="<f8"):
+        products.append((tiles.count(), tiles.join(basis, "chunk").count(), blocks, chunks))
+        return made(tiles, basis, width, n, blocks, chunks, kind)
+
+    monkeypatch.setattr(embedding, "multiplied", seen)
+    found = embedding.factorised(entries, words, 6, power=1.0, block=30, iterations=2).collect()
+    assert len(products) == 3 and all(p == (27, 27, 3, 9) for p in products)
+    got = np.array([r.vector for r in sorted(found, key=lambda r: int(r.word[1:]))])
+    u, s, _ = np.linalg.svd(dense)
+    want = (u[:, :6] * s[:6]) @ (u[:, :6] * s[:6]).T
+    assert np.abs(got @ got.T - want).max() < 1e-5 * np.abs(want).max()
+
+
+def test_rows_of_any_number_of_entries_are_added(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(embedding, "_ENTRIES", 8)
+    places, columns = np.concatenate((np.full(30, 2), rng.integers(0, 9, 60))), rng.integers(0, 12, 90)
+    values, vectors, total = rng.normal(size=90), rng.normal(size=(12, 4)), np.ones((9, 4))
+    want = np.ones((9, 4))
+    np.add.at(want, places, values[:, None] * vectors[columns])
+    embedding._added(total, places, columns, values, vectors)
+    assert np.allclose(total, want)
