@@ -545,3 +545,19 @@ def test_rows_of_any_number_of_entries_are_added(monkeypatch):
     np.add.at(want, places, values[:, None] * vectors[columns])
     embedding._added(total, places, columns, values, vectors)
     assert np.allclose(total, want)
+
+
+def test_counted_pairs_take_few_bytes():
+    """Pairs of a frequent word are small steps; ids of any size come back as they were."""
+    rng = np.random.default_rng(2)
+    one, two = rng.integers(0, 1 << 31, (2, 400))
+    wide = np.unique(np.minimum(one, two) << 32 | np.maximum(one, two))
+    low = np.unique(rng.integers(0, 300, 60_000) << 32 | rng.integers(300, 5_000, 60_000))
+    for keys, most in ((np.union1d(wide, low), None), (low, 2.5)):
+        n = rng.integers(1, 3, len(keys))
+        rows = vocabulary._split(keys, n).to_pylist()
+        back = [vocabulary._unpacked(r["size"], r["heads"], r["packed"]) for r in rows]
+        found = np.concatenate([k for k, _ in back])
+        order = np.argsort(found)
+        assert (found[order] == keys).all() and (np.concatenate([m for _, m in back])[order] == n).all()
+        assert most is None or sum(len(r["packed"]) for r in rows) < most * len(keys)
