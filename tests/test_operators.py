@@ -561,3 +561,21 @@ def test_counted_pairs_take_few_bytes():
         order = np.argsort(found)
         assert (found[order] == keys).all() and (np.concatenate([m for _, m in back])[order] == n).all()
         assert most is None or sum(len(r["packed"]) for r in rows) < most * len(keys)
+
+
+def test_signatures_of_odd_structures(spark):
+    """Digests of sorted and distinct tokens as the functions of Spark give them; Python does the work."""
+    odd = [None, "", " ", "a", "b [x] a  b", "é z Z [y] é a", "f ( [p q] ) f", "x [open", "ß ] [ [a] ss", "a\nb a", "\U0001f600 ￿ a"]
+    rows = [(str(i), a, ["p"] * (i % 3) if i % 4 else None) for i, a in enumerate(odd * 120)]
+    df = spark.createDataFrame(rows, "fid string, ast string, params array<string>")
+    plain = F.regexp_replace("ast", r" \[[^\]]*\]", "")
+    tokens = F.sort_array(F.split(plain, " "))
+    shape = F.concat_ws(
+        ":", F.substring_index(plain, " ", 1), F.size("params").cast("string"), F.length(F.bin(F.size(tokens).cast("long"))).cast("string")
+    )
+    keys = (F.md5(plain), F.md5(F.array_join(tokens, " ")), F.md5(F.array_join(F.array_distinct(tokens), " ")), shape)
+    want = {(r.fid, i): r[i + 1] for r in df.select("fid", *(k.alias(f"k{i}") for i, k in enumerate(keys))).collect() for i in range(4)}
+    got = suggestion.signatures(df)
+    assert {(r.fid, r.level): r.signature for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "sort_array" not in plan
