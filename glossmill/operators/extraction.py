@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,13 @@ FUNCTION_TYPE = T.StructType(
 def functions_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """All functions of each source text; unreadable text gives an empty array."""
     rows = to_arrow_type(T.ArrayType(FUNCTION_TYPE))
+    kinds = {f.name: f.type for f in rows.value_type}
     for content in batches:
-        yield pa.array([find_functions(s.as_py()) for s in content], type=rows)
+        found = [find_functions(s.as_py()) for s in content]
+        columns = [pa.array([f[c] for file in found for f in file], kind) for c, kind in kinds.items()]
+        flat = pa.StructArray.from_arrays(columns, fields=list(rows.value_type))
+        bounds = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        yield pa.ListArray.from_arrays(pa.array(bounds), flat, type=rows)
 
 
 def extract_functions(files: DataFrame, content: str = "content") -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from glossmill.functions import scanner
 from glossmill.functions.scanner import find_functions
 from glossmill.operators.extraction import extract_functions, register_sql
@@ -168,3 +170,27 @@ def test_only_quotes_and_slashes_open_opaque_text():
         "/'/": "/'/",
     }.items():
         assert scanner._blanked(src) == want
+
+
+def test_functions_of_a_batch_are_built_by_column(spark, monkeypatch):
+    """Files without functions, null files, several functions; no value is converted as a dictionary."""
+    from glossmill.operators import extraction
+
+    texts = [None, "", "function f(a) { return a; }", "class C { m(x, y) { x(); }\n n() { y(); } }", "no (code) {", "let functions = 1; function g(é) { é(); }"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 40)], "i int, t string")
+    got = {r.i: [f.asDict() for f in r.f] for r in df.select("i", extraction.functions_of(F.col("t")).alias("f")).collect()}
+    assert got == {i: find_functions(t) for i, t in enumerate(texts * 40)} and len(got[5]) == 1
+    kinds, array = [], extraction.pa.array
+    monkeypatch.setattr(extraction.pa, "array", lambda x, *a, **k: kinds.extend(map(type, x)) or array(x, *a, **k))
+    out = list(extraction.functions_of.func(iter([array(texts)])))
+    assert out[0].to_pylist() == [find_functions(t) for t in texts] and dict not in kinds
+
+
+def test_words_are_looked_for_as_the_patterns_match():
+    from glossmill.functions import scanner
+
+    texts = ["function function (", "xfunction f( function*g<", "a.function h( class\nclass {classs classclass {", "$class { class{", "functionclass class function\n\n(", "", "function"]
+    for pattern, word in ((scanner._FUNCTION, "function"), (scanner._CLASS, "class")):
+        for text in texts:
+            want = [m.span() for m in pattern.finditer(text)]
+            assert [m.span() for m in scanner._beginning(pattern, word, text)] == want
